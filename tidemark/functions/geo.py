@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,30 +61,45 @@ def is_utm() -> Column:
     return F.col("epsg").between(32601, 32660) | F.col("epsg").between(32701, 32760)
 
 
-def utm_to_lonlat(easting: Column, northing: Column, epsg: Column) -> Column:
-    """Inverse UTM by the Krueger series of order four: struct(lon, lat)."""
+def add_map_lonlat(df: DataFrame, mx: Column, my: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Add WGS84 columns for a map position: inverse UTM by the Krueger series of order four.
+
+    The steps are separate projections. Each intermediate value is used several times, and Spark keeps
+    such projections apart, so every series is evaluated once and the generated code stays small.
+    """
+    epsg = F.col("epsg")
     south = epsg >= 32700
-    zone = F.when(south, epsg - 32700).otherwise(epsg - 32600)
-    xi = (northing - F.when(south, UTM_FALSE_NORTH_SOUTH).otherwise(0.0)) / (UTM_SCALE * _RECT)
-    eta = (easting - UTM_FALSE_EAST) / (UTM_SCALE * _RECT)
+    k = UTM_SCALE * _RECT
+    out = df.withColumns({"_mx": mx, "_my": my}).withColumns({
+        "_xi": (F.col("_my") - F.when(south, UTM_FALSE_NORTH_SOUTH).otherwise(0.0)) / k,
+        "_eta": (F.col("_mx") - UTM_FALSE_EAST) / k,
+    })
+    xi, eta = F.col("_xi"), F.col("_eta")
     xi1, eta1 = xi, eta
     for j, b in enumerate(_BETA, start=1):
         xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
+    out = out.withColumns({"_xi1": xi1, "_eta1": eta1})
+    out = out.withColumn("_chi", F.asin(F.sin("_xi1") / F.cosh("_eta1")))
+    chi = F.col("_chi")
+    rad = chi
     for j, d in enumerate(_DELTA, start=1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + zone * 6.0 - 183.0
-    return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))
+        rad = rad + d * F.sin(2 * j * chi)
+    lon_utm = F.degrees(F.atan2(F.sinh("_eta1"), F.cos("_xi1"))) + central_meridian()
+    return out.withColumns({
+        lon: F.when(is_geographic(), F.col("_mx")).when(is_utm(), lon_utm),
+        lat: F.when(is_geographic(), F.col("_my")).when(is_utm(), F.degrees(rad)),
+    }).drop("_mx", "_my", "_xi", "_eta", "_xi1", "_eta1", "_chi")
 
 
-def pixel_to_lonlat(x, y) -> Column:
-    """struct(lon, lat) of a pixel centre; null where the scene has no usable CRS."""
-    mx, my = map_x(x), map_y(y)
-    return F.when(is_geographic(), F.struct(mx.alias("lon"), my.alias("lat"))).when(
-        is_utm(), utm_to_lonlat(mx, my, F.col("epsg"))
-    )
+def central_meridian() -> Column:
+    epsg = F.col("epsg")
+    return F.when(epsg >= 32700, epsg - 32700).otherwise(epsg - 32600) * 6.0 - 183.0
+
+
+def add_lonlat(df: DataFrame, x, y, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Add the position of a pixel centre; null where the scene has no usable CRS."""
+    return add_map_lonlat(df, map_x(x), map_y(y), lon, lat)
 
 
 def ground_metres_per_pixel(x, y) -> tuple[Column, Column]:
@@ -195,16 +210,14 @@ def box_iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when((inter > 0) & (union > 1e-12), inter / union).otherwise(0.0)
 
 
-def grid_convergence(x, y) -> Column:
-    """Angle of grid north from true north in degrees; 0 outside UTM. Uses the pixel corner."""
+def add_convergence(df: DataFrame, x, y, name: str = "convergence_deg") -> DataFrame:
+    """Add the angle of grid north from true north in degrees; 0 outside UTM. Uses the pixel corner."""
     mx = F.col("x0") + col(x) * F.col("a")
     my = F.col("y0") + col(y) * F.col("e")
-    epsg = F.col("epsg")
-    ll = utm_to_lonlat(mx, my, epsg)
-    zone = F.when(epsg >= 32700, epsg - 32700).otherwise(epsg - 32600)
-    central = zone * 6.0 - 183.0
-    gamma = F.degrees(F.atan(F.tan(F.radians(ll["lon"] - central)) * F.sin(F.radians(ll["lat"]))))
-    return F.when(F.coalesce(is_utm(), F.lit(False)), gamma).otherwise(0.0)
+    gamma = F.degrees(F.atan(F.tan(F.radians(F.col("_lon") - central_meridian())) * F.sin(F.radians("_lat"))))
+    return add_map_lonlat(df, mx, my, "_lon", "_lat").withColumn(
+        name, F.when(F.coalesce(is_utm(), F.lit(False)), gamma).otherwise(0.0)
+    ).drop("_lon", "_lat")
 
 
 def _vincenty(lon1, lat1, lon2, lat2, rounds: int = 20):
@@ -251,8 +264,8 @@ def _geodesic_udf():
     )
 
     def batch(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
-        d, az = _vincenty(lon1, lat1, lon2, lat2)
-        return pd.DataFrame({"dist_m": d, "bearing_deg": az})
+        d, az = _vincenty(lon1, lat1, lon2, lat2)  # missing positions come as NaN and stay missing
+        return pd.DataFrame({"dist_m": pd.Series(d).where(lon1.notna()), "bearing_deg": pd.Series(az).where(lon1.notna())})
 
     batch.__annotations__ = {k: pd.Series for k in ("lon1", "lat1", "lon2", "lat2")} | {"return": pd.DataFrame}
     return F.pandas_udf(batch, schema)
@@ -274,11 +287,13 @@ def ground_distance(x1, y1, x2, y2) -> Column:
     return F.when(geo, F.abs(line["dist_m"])).otherwise(F.hypot(bx - ax, by - ay))
 
 
-def bearing(x1, y1, x2, y2) -> Column:
-    """Geodesic bearing between two pixels, each first rounded to a quarter pixel."""
+def add_bearing(df: DataFrame, x1, y1, x2, y2, name: str = "bearing_deg") -> DataFrame:
+    """Add the geodesic bearing between two pixels, each first rounded to a quarter pixel."""
     q = lambda c: F.rint(col(c) * 4) / 4
-    a, b = pixel_to_lonlat(q(x1), q(y1)), pixel_to_lonlat(q(x2), q(y2))
-    return geodesic(a["lon"], a["lat"], b["lon"], b["lat"])["bearing_deg"]
+    out = add_lonlat(df, q(x1), q(y1), "_lon1", "_lat1")
+    out = add_lonlat(out, q(x2), q(y2), "_lon2", "_lat2")
+    line = geodesic(F.col("_lon1"), F.col("_lat1"), F.col("_lon2"), F.col("_lat2"))
+    return out.withColumn(name, line["bearing_deg"]).drop("_lon1", "_lat1", "_lon2", "_lat2")
 
 
 def cell_key(lon, lat, decimals: int = 4) -> Column:

@@ -256,14 +256,12 @@ def vessel_report(df: DataFrame, scenes: DataFrame, max_rows: int | None = 10) -
     s = scenes.select(
         F.col("scene").alias("image_name"), *[F.col(c) for c in ("epsg", "a", "e", "x0", "y0", "width", "height")]
     )
-    rows = rows.join(s, "image_name")
-    ll = G.pixel_to_lonlat("cx_full", "cy_full")
+    rows = G.add_lonlat(rows.drop("lon", "lat").join(s, "image_name"), "cx_full", "cy_full")
     gx, gy = G.ground_metres_per_pixel("cx_full", "cy_full")
     first, second = L.pick_dims(), L.second_hull_dims()
     g = (gx + gy) / 2
     out = rows.select(
-        "id", "review_category", "tci_path", "cx_full", "cy_full", ll["lon"].alias("lon"),
-        ll["lat"].alias("lat"), "reviewed_at", "label_confidence",
+        "id", "review_category", "tci_path", "cx_full", "cy_full", "lon", "lat", "reviewed_at", "label_confidence",
         first["length_m"].alias("length_m"), first["width_m"].alias("width_m"),
         second["length_m"].alias("second_length_m"), second["width_m"].alias("second_width_m"),
         F.coalesce(F.col("transhipment_side_by_side"), F.lit(False)).alias("multiple_vessels"),

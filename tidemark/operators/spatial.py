@@ -299,88 +299,81 @@ def greedy_keep(
 
 def _greedy_rounds(one: DataFrame, conflict, block_rows: int, max_rounds: int) -> DataFrame:
     kind, limit = conflict
-    open_rows = cut_lineage(one)
+    # The id is stored with the rows, so later reads and retries see the same one.
+    open_rows = cut_lineage(one.withColumn("_id", F.monotonically_increasing_id()))
+    spark, schema = open_rows.sparkSession, open_rows.schema
     if kind == "radius":
         reach = max(limit, 1e-9)
     else:
-        r = open_rows.agg(F.max(F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")))).first()[0]
-        reach = max(float(r or 0.0), 1e-9)
+        widest = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
+        reach = max(float(open_rows.agg(F.max(widest)).first()[0] or 0.0), 1e-9)
     # Many times the reach, so few rows sit on a rim, and never so small that blocks outnumber rows.
     block = max(8 * reach, 256.0)
     kept_parts: list[DataFrame] = []
-    schema = open_rows.schema
     for round_no in range(max_rounds):
         if open_rows.isEmpty():
             break
         shift = (round_no % 2) * block / 2
-        local = _settle_blocks(open_rows, conflict, block, reach, shift, block_rows)
-        new = cut_lineage(local)
+        ids = _settle_blocks(open_rows, conflict, block, reach, shift, block_rows)
+        new = cut_lineage(open_rows.join(ids, "_id", "left_semi").select(*schema.names))
         kept_parts.append(new)
         open_rows = cut_lineage(_remove_conflicts(open_rows, new, conflict, reach))
     else:
         raise RuntimeError("suppression did not settle; raise max_rounds")
-    out = open_rows.sparkSession.createDataFrame([], schema)
-    for part in kept_parts:
+    if not kept_parts:
+        return spark.createDataFrame([], schema)
+    out = kept_parts[0]
+    for part in kept_parts[1:]:
         out = out.unionByName(part)
     return out
 
 
 def _settle_blocks(rows, conflict, block, reach, shift, block_rows):
-    """Rows certain to be kept, judged inside shifted blocks with a rim of width ``reach``."""
-    import numpy as np
-    import pandas as pd
-
+    """Ids of rows certain to be kept, judged inside shifted blocks with a rim of width ``reach``."""
     mid_x, mid_y = (F.col("_x1") + F.col("_x2")) / 2 + shift, (F.col("_y1") + F.col("_y2")) / 2 + shift
-    lo = lambda m: F.floor((m - reach) / block)
-    hi = lambda m: F.floor((m + reach) / block)
+    near = lambda m: F.sequence(F.floor((F.col(m) - reach) / block), F.floor((F.col(m) + reach) / block))
+    home = lambda m, b: F.col(b) == F.floor(F.col(m) / block)
     spread = (
         rows.withColumns({"_mx": mid_x, "_my": mid_y})
-        .withColumn("_bx", F.explode(F.sequence(lo(F.col("_mx")), hi(F.col("_mx")))))
-        .withColumn("_by", F.explode(F.sequence(lo(F.col("_my")), hi(F.col("_my")))))
-        .withColumn(
-            "_home",
-            (F.col("_bx") == F.floor(F.col("_mx") / block)) & (F.col("_by") == F.floor(F.col("_my") / block)),
-        )
+        .withColumn("_bx", F.explode(near("_mx")))
+        .withColumn("_by", F.explode(near("_my")))
+        .withColumn("_home", home("_mx", "_bx") & home("_my", "_by"))
     )
-    # The best rows of a block come first; partial limits run before the shuffle.
+    # The best rows of a block come first; Spark applies this limit before and after the shuffle.
     w = W.partitionBy("_img", "_bx", "_by").orderBy("_rank")
     top = spread.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= block_rows)
+    top = top.select("_img", "_bx", "_by", "_id", "_x1", "_y1", "_x2", "_y2", "_home", "_pos")
     kind, limit = conflict
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable").reset_index(drop=True)
-        x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("_x1", "_y1", "_x2", "_y2"))
-        home = pdf["_home"].to_numpy(bool)
+    def settle(table):
+        import numpy as np
+        import pyarrow as pa
+
+        get = lambda c: table.column(c).to_numpy()
+        at = np.argsort(get("_pos"), kind="stable")
+        x1, y1, x2, y2, home, ids = (get(c)[at] for c in ("_x1", "_y1", "_x2", "_y2", "_home", "_id"))
         area = (x2 - x1) * (y2 - y1)
-        n = len(pdf)
-        state = np.zeros(n, dtype=np.int8)  # 0 unknown, 1 kept, 2 removed
-        for i in range(n):
-            if i:
-                live = np.flatnonzero(state[:i] != 2)
-                if kind == "iou":
-                    iw = np.minimum(x2[live], x2[i]) - np.maximum(x1[live], x1[i])
-                    ih = np.minimum(y2[live], y2[i]) - np.maximum(y1[live], y1[i])
-                    inter = np.clip(iw, 0, None) * np.clip(ih, 0, None)
-                    union = area[live] + area[i] - inter
-                    ok = (inter > 0) & (union > 1e-12)
-                    hit = np.where(ok, inter / np.where(ok, union, 1.0), 0.0) >= limit
-                else:
-                    dx, dy = x1[live] - x1[i], y1[live] - y1[i]
-                    hit = dx * dx + dy * dy <= limit * limit
-                near = state[live[hit]]
-                if (near == 1).any():
-                    state[i] = 2
-                    continue
-                if (near == 0).any():
-                    continue
-            if home[i]:
+        state = np.zeros(len(at), dtype=np.int8)  # 0 unknown, 1 kept, 2 removed
+        for i in range(len(at)):
+            live = np.flatnonzero(state[:i] != 2)
+            if kind == "iou":
+                iw = np.minimum(x2[live], x2[i]) - np.maximum(x1[live], x1[i])
+                ih = np.minimum(y2[live], y2[i]) - np.maximum(y1[live], y1[i])
+                inter = np.clip(iw, 0, None) * np.clip(ih, 0, None)
+                union = area[live] + area[i] - inter
+                ok = (inter > 0) & (union > 1e-12)
+                hit = np.where(ok, inter / np.where(ok, union, 1.0), 0.0) >= limit
+            else:
+                dx, dy = x1[live] - x1[i], y1[live] - y1[i]
+                hit = dx * dx + dy * dy <= limit * limit
+            near = state[live[hit]]
+            if (near == 1).any():
+                state[i] = 2
+            elif home[i] and not len(near):
                 state[i] = 1
-        return pdf.loc[state == 1, cols]
+        return pa.table({"_id": pa.array(ids[state == 1], pa.int64())})
 
-    cols = rows.columns
-    return top.groupBy("_img", "_bx", "_by").applyInPandas(
-        settle, schema=rows.schema
-    )
+    return top.groupBy("_img", "_bx", "_by").applyInArrow(settle, schema="_id long")
 
 
 def _remove_conflicts(rows, kept, conflict, reach):
@@ -389,7 +382,7 @@ def _remove_conflicts(rows, kept, conflict, reach):
     cell = 2 * reach
     k = kept.select(
         F.col("_img").alias("_kimg"), *[F.col(c).alias(f"_k{c[1:]}") for c in ("_x1", "_y1", "_x2", "_y2")],
-        F.col("_rank").alias("_krank"),
+        F.col("_id").alias("_kid"),
     )
     pad = limit if kind == "radius" else 0.0
     span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - pad) / cell), F.floor((F.col(b) + pad) / cell)))
@@ -404,14 +397,13 @@ def _remove_conflicts(rows, kept, conflict, reach):
 
     a = {c: F.col(f"_{c}") for c in ("x1", "y1", "x2", "y2")}
     b = {c: F.col(f"_k{c}") for c in ("x1", "y1", "x2", "y2")}
-    same = (F.col("_krank") == F.col("_rank"))
+    same = F.col("_kid") == F.col("_id")
     spread = rows.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_x1") / cell), F.floor(F.col("_x2") / cell))))
     spread = spread.withColumn(
         "_cy", F.explode(F.sequence(F.floor(F.col("_y1") / cell), F.floor(F.col("_y2") / cell)))
     )
     on = (F.col("_img") == F.col("_kimg")) & (F.col("_cx") == F.col("_kcx")) & (F.col("_cy") == F.col("_kcy"))
     gone = (
-        spread.join(k, on & (same | (box_iou(a, b) >= limit)), "left_semi")
-        .select("_img", "_rank").distinct()
+        spread.join(k, on & (same | (box_iou(a, b) >= limit)), "left_semi").select("_id").distinct()
     )
-    return rows.join(gone, ["_img", "_rank"], "left_anti")
+    return rows.join(gone, "_id", "left_anti").select(*rows.columns)

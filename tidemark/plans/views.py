@@ -177,7 +177,7 @@ FROM (
 """
 
 SQL["v_wakes"] = """
-SELECT l_orderkey, l_linenumber, l_extendedprice / 100e0 AS distance_m, 1 + l_quantity / 10e0 AS crests
+SELECT l_orderkey, l_linenumber, l_extendedprice / 97e0 AS distance_m, 1 + l_quantity / 10e0 AS crests
 FROM lineitem
 """
 

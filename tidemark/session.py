@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
         .appName("tidemark")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
