@@ -176,6 +176,27 @@ FROM (
   FROM orders) d
 """
 
+_MOSAIC = f"""
+SELECT k, {_SCENE_NAME} AS scene, r, c, v, cast(floor(v * 40) AS int) % 12 AS cls,
+       cast(floor(v * 300) AS int) % 120 AS occurrence, v * 255e0 AS b0, (1 - v) * 200e0 AS b1, v * v * 255e0 AS b2
+FROM ({{}}) q
+"""
+SQL["v_mosaic"] = _MOSAIC.format("""
+  SELECT vec_id % 40 AS k, cast(floor(vec_id / 40) AS int) AS r, cast(pos - 1 AS int) AS c, abs(cast(embedding[pos] AS double)) AS v
+  FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS pos FROM embeddings) x""")
+SPARK_SQL["v_mosaic"] = _MOSAIC.format("""
+  SELECT vec_id % 40 AS k, cast(floor(vec_id / 40) AS int) AS r, pos AS c, abs(cast(x AS double)) AS v
+  FROM embeddings LATERAL VIEW posexplode(embedding) p AS pos, x""")
+
+SQL["v_wide"] = """
+SELECT chip_id, r, c, """ + ", ".join(
+    f"coalesce(max(CASE WHEN band = {i} THEN v END), 0) AS b{i}" for i in range(12)
+) + """, count(*) AS n_bands,
+  greatest(0e0, 1 - ((r - 3.5e0) * (r - 3.5e0) + (c - 3.5e0) * (c - 3.5e0)) / 12) AS seg,
+  CASE WHEN r = 7 THEN 1e0 ELSE 0e0 END AS wake
+FROM v_pixels GROUP BY chip_id, r, c
+"""
+
 SQL["v_wakes"] = """
 SELECT l_orderkey, l_linenumber, l_extendedprice / 97e0 AS distance_m, 1 + l_quantity / 10e0 AS crests
 FROM lineitem
