@@ -69,9 +69,9 @@ def item_label(item_id, when, cloud):
 
 def scene_files(scenes: DataFrame, files: DataFrame) -> DataFrame:
     """Per scene and extra band: expected file name and whether it is present."""
-    spark = scenes.sparkSession
-    bands = spark.createDataFrame([(b[1], b[2]) for b in N.EXTRA_BANDS], "band string, suffix string")
-    want = scenes.select("scene").crossJoin(F.broadcast(bands)).withColumn("file", N.band_path("scene", F.col("suffix")))
+    bands = F.array(*[F.struct(F.lit(b[1]).alias("band"), F.lit(b[2]).alias("suffix")) for b in N.EXTRA_BANDS])
+    want = scenes.select("scene", F.explode(bands).alias("b")).select("scene", "b.*")
+    want = want.withColumn("file", N.band_path("scene", F.col("suffix")))
     have = files.select("file").distinct().withColumn("present", F.lit(True))
     return want.join(have, "file", "left").withColumn("present", F.coalesce("present", F.lit(False)))
 

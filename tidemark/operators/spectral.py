@@ -17,7 +17,8 @@ from tidemark.functions.labels import col
 
 EPS = 1e-6
 MASK = 0.3
-MAX_LIBRARY_ROWS = 5000
+MAX_LITERAL_ROWS = 128
+MAX_LIBRARY_ROWS = 20000
 
 # Fixed material names used by the index rules.
 RUST = "rust (hematite-type)"
@@ -59,41 +60,32 @@ def spectral_angle(a, b) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
 
 
-def library_rows(library: DataFrame) -> list:
-    """The library on the driver, after a check that it is as small as a library should be."""
+def _with_references(df: DataFrame, library: DataFrame) -> DataFrame:
+    """Add the whole library as one array column ``_refs``.
+
+    A library is a few dozen rows, so it is read once and becomes a literal. One of some thousand rows is
+    folded into a single broadcast row instead; beyond ``MAX_LIBRARY_ROWS`` it is refused.
+    """
     rows = library.orderBy("pos").limit(MAX_LIBRARY_ROWS + 1).collect()
     if len(rows) > MAX_LIBRARY_ROWS:
         raise ValueError(f"spectral library has more than {MAX_LIBRARY_ROWS} rows")
-    return rows
-
-
-def match_angles(df: DataFrame, library: DataFrame, key: str, spec: str = "spec") -> DataFrame:
-    """Every spectrum against every library row: key, material, category, pos, angle.
-
-    The library is checked for size and broadcast, so the spectra stay where they are.
-    """
-    library_rows(library)
-    lib = F.broadcast(library.select("pos", "material", "category", F.col("spec").alias("_ref")))
-    return df.filter(F.size(spec) >= 3).join(lib).select(
-        key, "pos", "material", "category", spectral_angle(spec, "_ref").alias("angle")
-    )
+    if len(rows) <= MAX_LITERAL_ROWS:
+        lit = lambda r: F.struct(
+            F.lit(int(r["pos"])).alias("pos"), F.lit(r["material"]).alias("material"),
+            F.lit(r["category"]).alias("category"), F.array(*[F.lit(float(x)) for x in r["spec"]]).alias("ref"),
+            F.lit(max(math.sqrt(sum(float(x) ** 2 for x in r["spec"])), 1e-9)).alias("norm"),
+        )
+        return df.withColumn("_refs", F.array(*[lit(r) for r in rows]))
+    one = library.agg(F.array_sort(F.collect_list(F.struct(
+        F.col("pos").cast("int").alias("pos"), "material", "category", F.col("spec").alias("ref"), _norm(F.col("spec")).alias("norm")
+    ))).alias("_refs"), F.lit(1).alias("_one"))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
-def best_two(df: DataFrame, library: DataFrame, spec: Column | str = "spec", name: str = "match") -> DataFrame:
-    """Add the best library match as struct ``name``: material, category, angle, second, confidence.
+def _angles(df: DataFrame, library: DataFrame, s: Column) -> DataFrame:
+    """Add ``_angles``: one struct (angle, pos, material, category) per library row."""
+    out = _with_references(df, library).withColumn("_norm", _norm(s))
 
-    The library becomes literals of one map-side expression, so no join and no shuffle is needed.
-    Ties go to the earlier library row.
-    """
-    rows = library_rows(library)
-    s = col(spec)
-    lit = lambda r: F.struct(
-        F.lit(int(r["pos"])).alias("pos"), F.lit(r["material"]).alias("material"), F.lit(r["category"]).alias("category"),
-        F.array(*[F.lit(float(x)) for x in r["spec"]]).alias("ref"),
-        F.lit(max(math.sqrt(sum(float(x) ** 2 for x in r["spec"])), 1e-9)).alias("norm"),
-    )
-    refs = F.array(*[lit(r) for r in rows])
-    out = df.withColumn("_norm", _norm(s))
     def angle(r):
         n = F.least(F.size(s), F.size(r["ref"]))
         dot = F.aggregate(
@@ -101,8 +93,26 @@ def best_two(df: DataFrame, library: DataFrame, spec: Column | str = "spec", nam
             F.lit(0.0), lambda t, v: t + v,
         )
         cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (F.col("_norm") * r["norm"])))
-        return F.struct(F.acos(cos).alias("angle"), r["pos"].alias("pos"), r["material"].alias("material"), r["category"].alias("category"))
-    out = out.withColumn("_sorted", F.when(F.size(s) >= 3, F.slice(F.array_sort(F.transform(refs, angle)), 1, 2)))
+        return F.struct(
+            F.acos(cos).alias("angle"), r["pos"].alias("pos"), r["material"].alias("material"), r["category"].alias("category")
+        )
+
+    return out.withColumn("_angles", F.when(F.size(s) >= 3, F.transform("_refs", angle))).drop("_refs", "_norm")
+
+
+def match_angles(df: DataFrame, library: DataFrame, key: str, spec: str = "spec") -> DataFrame:
+    """Every spectrum against every library row: key, pos, material, category, angle."""
+    return _angles(df, library, F.col(spec)).select(key, F.explode("_angles").alias("_a")).select(
+        key, "_a.pos", "_a.material", "_a.category", "_a.angle"
+    )
+
+
+def best_two(df: DataFrame, library: DataFrame, spec: Column | str = "spec", name: str = "match") -> DataFrame:
+    """Add the best library match as struct ``name``: material, category, angle, second, confidence.
+
+    All angles are one map-side expression, so there is no shuffle. Ties go to the earlier library row.
+    """
+    out = _angles(df, library, col(spec)).withColumn("_sorted", F.slice(F.array_sort("_angles"), 1, 2))
     first, second = F.get("_sorted", 0), F.get("_sorted", 1)
     a1 = first["angle"]
     a2 = F.coalesce(second["angle"], a1 + 0.1)
@@ -111,7 +121,7 @@ def best_two(df: DataFrame, library: DataFrame, spec: Column | str = "spec", nam
         first["material"].alias("material"), first["category"].alias("category"), a1.alias("angle"),
         second["material"].alias("second"), conf.alias("confidence"),
     ))
-    return out.withColumn(name, m).drop("_norm", "_sorted")
+    return out.withColumn(name, m).drop("_angles", "_sorted")
 
 
 def _index_rules(material: Column, confidence: Column, spec: Column) -> Column:

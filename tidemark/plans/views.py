@@ -197,6 +197,15 @@ SELECT chip_id, r, c, """ + ", ".join(
 FROM v_pixels GROUP BY chip_id, r, c
 """
 
+SQL["v_pairs"] = """
+SELECT cast(floor(n / 4) AS bigint) AS chip_id, cast(n % 4 AS int) AS pair,
+       CASE n % 4 WHEN 0 THEN 'B02' WHEN 3 THEN 'B02' ELSE 'B08' END AS band_a,
+       CASE n % 4 WHEN 0 THEN 'B04' WHEN 1 THEN 'B04' WHEN 2 THEN 'B02' ELSE 'B03' END AS band_b,
+       CASE n % 4 WHEN 0 THEN 1.004e0 WHEN 1 THEN 1.507e0 ELSE 0.503e0 END AS dt_s,
+       (n * 37 % 101) / 71e0 - 0.7e0 AS sx, (n * 53 % 103) / 73e0 - 0.7e0 AS sy, 1.5e0 + (n * 17 % 97) / 23e0 AS pnr
+FROM v_events
+"""
+
 SQL["v_wakes"] = """
 SELECT l_orderkey, l_linenumber, l_extendedprice / 97e0 AS distance_m, 1 + l_quantity / 10e0 AS crests
 FROM lineitem
