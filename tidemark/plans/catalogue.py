@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from tidemark.plans import q_eval, q_labels, q_pixels, q_scenes, q_spectral, q_velocity  # noqa: F401
+from tidemark.plans import q_eval, q_hulls, q_labels, q_pixels, q_scenes, q_spectral, q_velocity  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -206,6 +206,45 @@ SELECT cast(floor(n / 4) AS bigint) AS chip_id, cast(n % 4 AS int) AS pair,
 FROM v_events
 """
 
+# Marker sets per label: role, position in the crop, hull, and when it is placed.
+_MARKERS = (
+    ("side", "40 + n % 9", "22 + n % 4", "1", "n % 3 > 0"),
+    ("bow", "70 + n % 11 + 0.5e0", "30 + n % 5", "1", "n % 4 < 2"),
+    ("stern", "20 + n % 7", "28 + n % 13", "1", "n % 4 < 2 OR n % 8 = 3"),
+    ("side", "41 + n % 9", "38 + n % 6", "NULL", "n % 3 > 0"),
+    ("end", "15 + n % 5", "50e0", "1", "n % 5 < 2"),
+    ("end", "75 - n % 5", "52 + n % 7", "1", "n % 5 < 2"),
+    ("port", "44e0", "20 - n % 3", "1", "n % 6 = 0"),
+    ("starboard", "45e0", "44 + n % 3", "1", "n % 6 = 0"),
+    ("bridge", "30 + n % 6", "31e0", "1", "n % 7 = 2"),
+    ("bow", "72 + n % 11", "33 + n % 5", "1", "n % 12 = 1"),
+    ("wake", "10e0", "26 + n % 3", "1", "n % 9 < 4"),
+    ("wake", "2 + n % 4", "60 - n % 8", "1", "n % 9 < 3"),
+    ("bow", "66e0", "80 + n % 4", "2", "n % 10 = 0"),
+    ("stern", "22e0", "82e0", "2", "n % 10 = 0"),
+)
+
+
+def _marker_sql(struct: str, array: str) -> str:
+    items = ", ".join(
+        f"CASE WHEN {cond} THEN " + struct.format(role=role, x=x, y=y, hull=hull) + " END" for role, x, y, hull, cond in _MARKERS
+    )
+    return f"""
+SELECT n, concat('r', cast(n AS string)) AS id, k, {_SCENE_NAME} AS scene, cast((n * 31) % 1800 AS int) AS col_off,
+       cast((n * 17) % 1800 AS int) AS row_off, {array.format(items=items)} AS markers
+FROM v_events
+"""
+
+
+SQL["v_markers"] = _marker_sql(
+    "{{'role': '{role}', 'x': cast({x} AS double), 'y': cast({y} AS double), 'hull': cast({hull} AS int)}}",
+    "list_filter([{items}], lambda m: m IS NOT NULL)",
+)
+SPARK_SQL["v_markers"] = _marker_sql(
+    "named_struct('role', '{role}', 'x', cast({x} AS double), 'y', cast({y} AS double), 'hull', cast({hull} AS int))",
+    "filter(array({items}), m -> m IS NOT NULL)",
+)
+
 SQL["v_wakes"] = """
 SELECT l_orderkey, l_linenumber, l_extendedprice / 97e0 AS distance_m, 1 + l_quantity / 10e0 AS crests
 FROM lineitem
