@@ -62,6 +62,42 @@ def by_angle(corners: np.ndarray) -> np.ndarray:
     return corners[np.argsort(np.arctan2(d[:, 1], d[:, 0]), kind="stable")]
 
 
+def hull_quad(points, keel=None, sides=None):
+    """Outline of a hull from its marked points, corners by angle; None when they span nothing.
+
+    ``keel`` are two ends of the length axis and ``sides`` two points on the flanks.
+    """
+    p = np.asarray(points, dtype=float).reshape(-1, 2)
+    if len(p) < 2:
+        return None
+    pad = max(1.5, 0.02 * max(np.ptp(p[:, 0]), np.ptp(p[:, 1]), 1e-6))
+    if keel is not None and sides is not None:
+        k, s = np.asarray(keel, dtype=float), np.asarray(sides, dtype=float)
+        axis, beam = k[1] - k[0], s[1] - s[0]
+        length = np.hypot(*axis)
+        if length >= 1e-9 and np.hypot(*beam) >= 1e-9:
+            u = axis / length
+            v = np.array([-u[1], u[0]])
+            ends, flanks = k @ u, s @ v
+            quad = np.array([a * u + c * v for a, c in zip(ends[[0, 0, 1, 1]], flanks[[0, 1, 1, 0]])])
+            mid = quad.mean(axis=0)
+            reach = np.hypot(*(quad - mid).T).max()
+            scale = min(1.0 + pad / reach, 1.2) if reach > 1e-9 else 1.0
+            return by_angle(mid + (quad - mid) * scale)
+    if len(p) == 2:
+        axis = p[1] - p[0]
+        length = np.hypot(*axis)
+        if length < 1e-9:
+            return None
+        u = axis / length
+        half = length / 2 + pad
+        du, dv = half * u, max(1.5, 0.18 * half) * np.array([-u[1], u[0]])
+        mid = p.mean(axis=0)
+        return by_angle(np.array([mid - du - dv, mid + du - dv, mid + du + dv, mid - du + dv]))
+    found = smallest_rectangle(p)
+    return None if found is None else by_angle(grow(found[0], pad))
+
+
 def longest_hull_edge_deg(points) -> float:
     """Direction of the longest hull edge in degrees, y pointing down; 0 without extent."""
     hull = convex_hull(points)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import geo as G
+from tidemark.functions.columns import pin
 from tidemark.functions.labels import col
 
 CHIP_SIDE_M, MAX_SIDE_M = 1000.0, 600.0
@@ -57,90 +58,33 @@ def _xy(m: Column) -> Column:
     return F.struct(m["x"].alias("x"), m["y"].alias("y"))
 
 
-def _sorted_corners(corners: Column) -> Column:
-    """Four corners by their angle about the centre."""
-    mx = F.aggregate(corners, F.lit(0.0), lambda s, p: s + p["x"]) / 4
-    my = F.aggregate(corners, F.lit(0.0), lambda s, p: s + p["y"]) / 4
-    keyed = F.array_sort(F.transform(
-        corners, lambda p: F.struct(F.atan2(p["y"] - my, p["x"] - mx).alias("t"), p["x"].alias("x"), p["y"].alias("y"))
-    ))
-    return F.transform(keyed, lambda k: F.struct(k["x"].alias("x"), k["y"].alias("y")))
-
-
 def add_hull_quad(df: DataFrame, markers: str = "markers", hull: int = 1, name: str = "quad") -> DataFrame:
     """Add the hull outline drawn by the markers, four corners by angle, or null.
 
     Keel ends (bow and stern, else two ends) with two side points give a keel-aligned rectangle whose edges
     pass through them. Two points give a thin box. Three or more give the smallest rectangle, padded. Wake
-    markers never count.
+    markers never count. The choice of markers is columnar; only the rectangle is built in Arrow batches.
     """
-    d = df.withColumn("_m", for_hull(markers, hull))
-    d = d.withColumn("_p", F.filter("_m", lambda m: (m["role"] != "wake") & m["x"].isNotNull() & m["y"].isNotNull()))
-    ext = lambda f: F.array_max(F.transform("_p", lambda m: m[f])) - F.array_min(F.transform("_p", lambda m: m[f]))
-    bow, stern, ends = last_of("_m", "bow"), last_of("_m", "stern"), end_pair("_m")
-    keel = F.when(bow.isNotNull() & stern.isNotNull(), F.array(_xy(bow), _xy(stern))).when(
-        ends.isNotNull(), F.transform(ends, _xy)
-    )
-    d = d.withColumns({
-        "_pad": F.greatest(F.lit(1.5), 0.02 * F.greatest(ext("x"), ext("y"), F.lit(1e-6))),
-        "_k": keel, "_s": F.transform(side_pair("_m"), _xy),
-    })
-    k, s = (lambda i, f: F.get("_k", i)[f]), (lambda i, f: F.get("_s", i)[f])
-    kx, ky = k(1, "x") - k(0, "x"), k(1, "y") - k(0, "y")
-    d = d.withColumn("_len", F.hypot(kx, ky))
-    beam = F.hypot(s(1, "x") - s(0, "x"), s(1, "y") - s(0, "y"))
-    d = d.withColumns({
-        "_ux": F.try_divide(kx, F.col("_len")), "_uy": F.try_divide(ky, F.col("_len")),
-        "_keeled": F.coalesce((F.size("_p") >= 2) & (F.col("_len") >= 1e-9) & (beam >= 1e-9), F.lit(False)),
-    })
-    ux, uy = F.col("_ux"), F.col("_uy")
-    along = lambda i: k(i, "x") * ux + k(i, "y") * uy
-    across = lambda i: -s(i, "x") * uy + s(i, "y") * ux
-    d = d.withColumns({"_a0": along(0), "_a1": along(1), "_c0": across(0), "_c1": across(1)})
-    at = lambda a, c: F.struct((F.col(a) * ux - F.col(c) * uy).alias("x"), (F.col(a) * uy + F.col(c) * ux).alias("y"))
-    raw = F.array(at("_a0", "_c0"), at("_a0", "_c1"), at("_a1", "_c1"), at("_a1", "_c0"))
-    half = F.hypot(F.col("_a1") - F.col("_a0"), F.col("_c1") - F.col("_c0")) / 2
-    grow = F.when(half > 1e-9, F.least(1.0 + F.col("_pad") / half, F.lit(1.2))).otherwise(1.0)
-    ma, mc = (F.col("_a0") + F.col("_a1")) / 2, (F.col("_c0") + F.col("_c1")) / 2
-    d = d.withColumns({"_raw": raw, "_grow": grow, "_mx": ma * ux - mc * uy, "_my": ma * uy + mc * ux})
-    scaled = F.transform("_raw", lambda p: F.struct(
-        (F.col("_mx") + (p["x"] - F.col("_mx")) * F.col("_grow")).alias("x"),
-        (F.col("_my") + (p["y"] - F.col("_my")) * F.col("_grow")).alias("y"),
-    ))
-    # Two points: a thin box along them.
-    q = lambda i, f: F.get("_p", i)[f]
-    dx, dy = q(1, "x") - q(0, "x"), q(1, "y") - q(0, "y")
-    d = d.withColumns({"_quad1": scaled, "_n2": F.when(F.size("_p") == 2, F.hypot(dx, dy))})
-    n = F.col("_n2")
-    hl = n / 2 + F.col("_pad")
-    hw = F.greatest(F.lit(1.5), 0.18 * hl)
-    cx, cy = (q(0, "x") + q(1, "x")) / 2, (q(0, "y") + q(1, "y")) / 2
-    tx, ty = F.try_divide(dx, n), F.try_divide(dy, n)
-    thin = F.array(*[
-        F.struct((cx + i * hl * tx - j * hw * ty).alias("x"), (cy + i * hl * ty + j * hw * tx).alias("y"))
-        for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))
-    ])
-    d = d.withColumn("_thin", F.when(n >= 1e-9, thin))
-    rect = _rect_udf()(F.when(~F.col("_keeled") & (F.size("_p") >= 3), F.transform("_p", _xy)), F.col("_pad"))
-    d = d.withColumn("_rect", rect)
-    pick = F.when(F.col("_keeled"), F.col("_quad1")).when(F.size("_p") == 2, F.col("_thin")).otherwise(F.col("_rect"))
-    d = d.withColumn("_pick", pick).withColumn(name, F.when(F.col("_pick").isNotNull(), _sorted_corners(F.col("_pick"))))
-    return d.select(*df.columns, name)
-
-
-def _rect_udf():
+    d = pin(df.withColumn("_qm", for_hull(markers, hull)), "_qm")
+    m = F.col("_qm")
+    bow, stern, ends = last_of(m, "bow"), last_of(m, "stern"), end_pair(m)
+    keel = F.when(bow.isNotNull() & stern.isNotNull(), F.array(_xy(bow), _xy(stern))).otherwise(F.transform(ends, _xy))
+    placed = F.filter(m, lambda q: (q["role"] != "wake") & q["x"].isNotNull() & q["y"].isNotNull())
+    d = d.withColumn(name, _quad_udf()(F.transform(placed, _xy), keel, F.transform(side_pair(m), _xy)))
+    return pin(d.drop("_qm"), name)
+
+
+def _quad_udf():
     import pandas as pd
 
-    def batch(points: pd.Series, pad: pd.Series) -> pd.Series:
+    def batch(points: pd.Series, keel: pd.Series, sides: pd.Series) -> pd.Series:
         from tidemark.functions import shapes as S
 
-        out = []
-        for pts, p in zip(points, pad):
-            found = None if pts is None or len(pts) == 0 else S.smallest_rectangle([(q["x"], q["y"]) for q in pts])
-            out.append(None if found is None else [{"x": x, "y": y} for x, y in S.grow(found[0], p)])
-        return pd.Series(out)
+        xy = lambda q: None if q is None else [(p["x"], p["y"]) for p in q]
+        quads = (S.hull_quad(xy(p) or [], xy(k), xy(s)) for p, k, s in zip(points, keel, sides))
+        return pd.Series([None if q is None else [{"x": float(x), "y": float(y)} for x, y in q] for q in quads])
 
-    batch.__annotations__ = {c: pd.Series for c in ("points", "pad", "return")}
+    batch.__annotations__ = {c: pd.Series for c in ("points", "keel", "sides", "return")}
     return F.pandas_udf(batch, T.ArrayType(
         T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
     ))
@@ -236,7 +180,7 @@ def add_quad_sides(df: DataFrame, quad: str = "quad") -> DataFrame:
                                     _corner(quad, i + 1, "x", "col_off"), _corner(quad, i + 1, "y", "row_off"))
         for i in range(4)
     }
-    d = df.withColumns(e)
+    d = pin(df.withColumns(e), *e)
     a, b = (F.col("_e0") + F.col("_e2")) / 2, (F.col("_e1") + F.col("_e3")) / 2
     return d.withColumns({"shorter_m": F.least(a, b), "longer_m": F.greatest(a, b)})
 
@@ -247,7 +191,7 @@ def add_keel_heading(df: DataFrame, quad: str = "quad", markers: str = "markers"
     The keel joins the middles of the two shorter sides. Bow and stern markers only decide which way it
     points; without them both bearings are equally good.
     """
-    d = add_quad_sides(df, quad).withColumn("_m", for_hull(markers, hull))
+    d = pin(add_quad_sides(df, quad).withColumn("_m", for_hull(markers, hull)), "_m")
     mid = lambda i, j, f, off: (_corner(quad, i, f, off) + _corner(quad, j, f, off)) / 2
     first = (F.col("_e0") + F.col("_e2")) <= (F.col("_e1") + F.col("_e3"))
     pts = {}
@@ -255,7 +199,7 @@ def add_keel_heading(df: DataFrame, quad: str = "quad", markers: str = "markers"
         for f, off in (("x", "col_off"), ("y", "row_off")):
             pts[f"_{n}{f}"] = F.when(first, mid(i, j, f, off)).otherwise(mid(k, l, f, off))
     bow, stern = last_of("_m", "bow"), last_of("_m", "stern")
-    d = d.withColumns({**pts, "_bow": bow, "_stern": stern})
+    d = pin(d.withColumns({**pts, "_bow": bow, "_stern": stern}), *pts, "_bow", "_stern")
     known = F.col("_bow").isNotNull() & F.col("_stern").isNotNull()
     dot = (F.col("_bx") - F.col("_ax")) * (F.col("_bow.x") - F.col("_stern.x")) + (F.col("_by") - F.col("_ay")) * (
         F.col("_bow.y") - F.col("_stern.y"))
@@ -277,10 +221,10 @@ def add_marker_metrics(df: DataFrame, markers: str = "markers", hull: int = 1) -
     Heading sources in order: bow and stern, two ends (ambiguous), stern and wake point, wake line, bridge
     and bow. Length comes from bow–stern, else the ends; width from port–starboard, else two sides.
     """
-    d = df.withColumn("_m", for_hull(markers, hull))
-    role = lambda r: last_of("_m", r)
-    d = d.withColumns({f"_{r}": role(r) for r in ("bow", "stern", "port", "starboard", "wake", "bridge")})
-    d = d.withColumns({"_ends": end_pair("_m"), "_line": wake_line("_m"), "_sides": side_pair("_m")})
+    d = pin(df.withColumn("_m", for_hull(markers, hull)), "_m")
+    found = {f"_{r}": last_of("_m", r) for r in ("bow", "stern", "port", "starboard", "wake", "bridge")}
+    found |= {"_ends": end_pair("_m"), "_line": wake_line("_m"), "_sides": side_pair("_m")}
+    d = pin(d.withColumns(found), *found)
     c = lambda n: F.col(f"_{n}")
     seg = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
     has = lambda *ns: _all_set([c(n) for n in ns])
@@ -298,6 +242,7 @@ def add_marker_metrics(df: DataFrame, markers: str = "markers", hull: int = 1) -
     d = d.withColumn("_dir", F.when(s.isin("bow_stern", "ambiguous_end_end"), c("len")).when(
         s == "wake_stern", seg(c("stern"), c("wake"))).when(s == "wake_polyline", seg(w0, w1)).when(
         s == "bridge_bow", seg(c("bridge"), c("bow"))))
+    d = pin(d, "_len", "_wid", "_src", "_dir")
     full = lambda n: [F.col(f"_{n}.{f}") + F.col(o) for f, o in (("x1", "col_off"), ("y1", "row_off"), ("x2", "col_off"), ("y2", "row_off"))]
     d = d.withColumns({"length_m": F.when(c("len").isNotNull(), G.ground_distance(*full("len"))),
                        "width_m": F.when(c("wid").isNotNull(), G.ground_distance(*full("wid")))})
@@ -329,8 +274,8 @@ def add_heading_truth(df: DataFrame, markers: str = "markers", chip_half: int |
     if chip_half is not None:
         col0 = F.coalesce(col0, F.rint(F.col("cx_full") - chip_half).cast("int"))
         row0 = F.coalesce(row0, F.rint(F.col("cy_full") - chip_half).cast("int"))
-    d = df.withColumns({"col_off": col0, "row_off": row0, "_m": for_hull(markers, 1)})
-    d = d.withColumns({"_bow": last_of("_m", "bow"), "_stern": last_of("_m", "stern")})
+    d = pin(df.withColumns({"col_off": col0, "row_off": row0, "_m": for_hull(markers, 1)}), "_m")
+    d = pin(d.withColumns({"_bow": last_of("_m", "bow"), "_stern": last_of("_m", "stern")}), "_bow", "_stern")
     at = lambda n, f, o: F.col(f"_{n}.{f}") + F.col(o)
     d = G.add_bearing(d, at("stern", "x", "col_off"), at("stern", "y", "row_off"), at("bow", "x", "col_off"),
                       at("bow", "y", "row_off"), "_h")
