@@ -55,15 +55,18 @@ def corrupt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_lines(read_lines(spark, path)).filter(F.col("rec").isNull()).select("file", "line")
 
 
-def ingest_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row: lines read, parsed and corrupt."""
-    p = parse_lines(read_lines(spark, path))
-    return p.agg(
+def count_lines(parsed: DataFrame) -> DataFrame:
+    """One row: lines, parsed lines and corrupt lines."""
+    return parsed.agg(
         F.count("*").alias("n_lines"), F.count("rec").alias("n_parsed"),
         F.count_if(F.col("rec").isNull()).alias("n_corrupt"),
     )
 
 
+def ingest_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return count_lines(parse_lines(read_lines(spark, path)))
+
+
 def _append(df: DataFrame, path: str) -> None:
     """Append JSON lines; keys whose value is null are left out by the writer."""
     df.write.mode("append").json(path)
