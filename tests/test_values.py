@@ -218,3 +218,20 @@ def test_fusion_levels(spark):
 def test_point_shift(spark):
     df = spark.createDataFrame([([("bow", 1.0, 2.0)],)], "m array<struct<role:string,x:double,y:double>>")
     assert [tuple(x) for x in df.select(G.shift_points("m", 10, 20).alias("m")).first().m] == [("bow", 11.0, 22.0)]
+
+
+def test_exact_quantiles(spark):
+    from tidemark.operators import quantiles as Q
+
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(size=3000) * 10, np.full(2500, 1.25), rng.exponential(size=3000) * 1e6])
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "x double")
+    small = Q.SMALL
+    try:
+        for limit in (10, 100000):
+            Q.SMALL = limit
+            got = Q.exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.77, 1.0])
+            assert got == pytest.approx(np.quantile(values, [0.0, 0.1, 0.5, 0.77, 1.0]).tolist())
+    finally:
+        Q.SMALL = small
+    assert Q.exact_quantiles(df.limit(0), "x", [0.5]) == [None]

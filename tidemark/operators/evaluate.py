@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import angles as A
 from tidemark.functions import labels as L
 from tidemark.operators import labels as LB
+from tidemark.operators.quantiles import exact_quantiles
 
 
 def agreement(df: DataFrame, threshold: float) -> DataFrame:
@@ -92,11 +92,16 @@ def pct_better(errors: DataFrame) -> DataFrame:
     )
 
 
+def _median(df: DataFrame, column: str):
+    """Exact median as a literal, found by counting passes instead of one task that holds every value."""
+    return F.lit(exact_quantiles(df, column, [0.5])[0]).cast("double")
+
+
 def heading_metrics(errors: DataFrame) -> DataFrame:
     """Mean and median heading errors with their counts."""
     return errors.agg(
         F.avg("wake_err").alias("wake_mae"), F.count("wake_err").alias("wake_n"),
-        F.avg("keypoint_err").alias("keypoint_mae"), F.median("keypoint_err").alias("keypoint_median"),
+        F.avg("keypoint_err").alias("keypoint_mae"), _median(errors, "keypoint_err").alias("keypoint_median"),
         F.count("keypoint_err").alias("keypoint_n"),
         F.avg("fused_err").alias("fused_mae"), F.count("fused_err").alias("fused_n"),
     )
@@ -136,7 +141,7 @@ def evaluate(
     spots = errors.agg(
         F.count("*").alias("n_geometry_spots"), F.count("gt_heading_deg").alias("n_heading_gt"),
         F.avg("wake_err").alias("wake_mae"), F.avg("keypoint_err").alias("keypoint_mae"),
-        F.median("keypoint_err").alias("keypoint_median"), F.avg("fused_err").alias("fused_mae"),
+        _median(errors, "keypoint_err").alias("keypoint_median"), F.avg("fused_err").alias("fused_mae"),
         F.avg("length_err").alias("mean_length_err"), F.avg("width_err").alias("mean_width_err"),
         F.avg(iou).alias("mean_iou"), F.count(iou).alias("n_iou"),
         kp.alias("pct_keypoint_better"), n_kp.alias("n_keypoint_pairs"),
@@ -173,10 +178,10 @@ def aspect_summary(labels: DataFrame, limit: int | None = 2000) -> DataFrame:
     rows = labels.filter((F.col("review_category") == "vessel") & F.col("hull_aspect_ratio").isNotNull())
     if limit is not None:
         rows = rows.orderBy("reviewed_at", "id").limit(limit)
-    q = F.percentile("hull_aspect_ratio", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return rows.agg(
-        F.count("*").alias("n"), F.avg("hull_aspect_ratio").alias("mean"), q.alias("_q")
-    ).select("n", "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p10"), F.col("_q")[2].alias("p90"))
+    p10, median, p90 = exact_quantiles(rows, "hull_aspect_ratio", [0.1, 0.5, 0.9])
+    lit = lambda v: F.lit(v).cast("double")
+    return rows.agg(F.count("*").alias("n"), F.avg("hull_aspect_ratio").alias("mean")).select(
+        "n", "mean", lit(median).alias("median"), lit(p10).alias("p10"), lit(p90).alias("p90"))
 
 
 def metrics_json(report: DataFrame) -> DataFrame:
@@ -200,9 +205,3 @@ def metrics_markdown(row, digits: int = 4) -> str:
     lines = ["| Metric | Value |", "| :--- | ---: |"]
     lines += [f"| {k} | {text(v)} |" for k, v in row.asDict().items()]
     return "\n".join(lines)
-
-
-def newest_per_spot(df: DataFrame, key: str = "id") -> DataFrame:
-    """Latest version of each row by review time."""
-    w = W.partitionBy(key).orderBy(F.col("reviewed_at").desc())
-    return df.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")

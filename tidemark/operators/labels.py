@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import labels as L
 
 
-def points(df: DataFrame) -> DataFrame:
-    """Point reviews with a position, newest first."""
+def points(df: DataFrame, newest_first: bool = False) -> DataFrame:
+    """Point reviews with a position; sorted only when a listing asks for it."""
     has_xy = F.col("cx_full").isNotNull() & F.col("cy_full").isNotNull()
-    return df.filter(L.is_point("record_type") & has_xy).orderBy(
-        F.coalesce("reviewed_at", F.lit("")).desc(), "id"
-    )
+    out = df.filter(L.is_point("record_type") & has_xy)
+    return out.orderBy(F.coalesce("reviewed_at", F.lit("")).desc(), "id") if newest_first else out
 
 
 def of_record_type(df: DataFrame, record_type: str) -> DataFrame:

@@ -77,19 +77,21 @@ def padded_window(windows: DataFrame, pixels: DataFrame, image: str, key: str, s
     """Every pixel of a ``size``-square chip at each window's corner; outside the scene it reads 0.
 
     Windows with fewer than eight scene pixels along a side are dropped. Needs the scene's width and
-    height on the window row.
+    height on the window row. The padding is made from the window alone, so only scene pixels are joined.
     """
     w = windows.withColumns({
         "w": F.least(F.lit(size), F.col("width") - F.col("col0")), "h": F.least(F.lit(size), F.col("height") - F.col("row0")),
     }).filter("w >= 8 and h >= 8")
-    grid = (
-        w.select(key).withColumn("pr", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        .withColumn("pc", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    )
     seen = window_pixels(w, pixels, image, block).select(
         key, (F.col("r") - F.col("row0")).alias("pr"), (F.col("c") - F.col("col0")).alias("pc"), "v"
     )
-    return grid.join(seen, [key, "pr", "pc"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    index = F.sequence(F.lit(0), F.lit(size - 1))
+    pad = (
+        w.filter((F.col("w") < size) | (F.col("h") < size)).select(key, "w", "h")
+        .withColumn("pr", F.explode(index)).withColumn("pc", F.explode(index))
+        .filter((F.col("pc") >= F.col("w")) | (F.col("pr") >= F.col("h"))).select(key, "pr", "pc", F.lit(0.0).alias("v"))
+    )
+    return seen.unionByName(pad)
 
 
 # ---------------------------------------------------------------- band stacks
@@ -313,30 +315,40 @@ def ocean_score_grey(pixels: DataFrame, image: str, v: str = "v") -> DataFrame:
     return pixels.groupBy(image).agg(F.greatest(F.lit(0.0), F.least(F.lit(0.35), s)).alias("ocean_score"))
 
 
-def crop_features(points: DataFrame, wide: DataFrame, image: str, key: str, half: float = 16.0, n: int = 32) -> DataFrame:
+def crop_features(
+    points: DataFrame, wide: DataFrame, image: str, key: str, half: float = 16.0, n: int = 32, block: int = 256
+) -> DataFrame:
     """Mean and deviation of three bands on an n×n sample grid around each point.
 
-    Sample positions run from -half to +half; off-image samples read 0. Points at one position of one
-    image share their samples.
+    Sample positions run from -half to +half; off-image samples read 0. The grid is separable: a pixel
+    counts as often as samples fall into its column times those in its row. So pixels meet points by block
+    once, and each block is summed up before anything is shuffled again.
     """
     spots = points.select(image, "cx", "cy").distinct()
-    step = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (2.0 * half / (n - 1)) - half)
-    s = spots.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).select(
-        image, "cx", "cy", F.floor(F.col("cx") + F.col("_dx")).cast("int").alias("c"),
-        F.floor(F.col("cy") + F.col("_dy")).cast("int").alias("r"),
+    step = [i * (2.0 * half / (n - 1)) - half for i in range(n)]
+    cells = lambda v: F.transform(F.array(*[F.lit(d) for d in step]), lambda d: F.floor(F.col(v) + d).cast("int"))
+    w = spots.withColumns({"_xs": cells("cx"), "_ys": cells("cy")})
+    w = w.withColumns({"col0": F.get("_xs", 0), "row0": F.get("_ys", 0)})
+    w = w.withColumns({"w": F.get("_xs", n - 1) - F.col("col0") + 1, "h": F.get("_ys", n - 1) - F.col("row0") + 1})
+    times = lambda start, size, seq: F.transform(
+        F.sequence(F.col(start), F.col(start) + F.col(size) - 1), lambda c: F.array_size(F.filter(seq, lambda x: x == c))
     )
-    # Samples that fall on one pixel are weighted, so each pixel is looked up once per point.
-    s = s.groupBy(image, "cx", "cy", "r", "c").agg(F.count("*").alias("_k"))
-    j = s.join(wide.select(image, "r", "c", "b0", "b1", "b2"), [image, "r", "c"], "left")
-    total = float(n * n)
-    val = lambda b: F.coalesce(b, F.lit(0.0))
-    mean = {b: F.sum(F.col("_k") * val(b)) / total for b in ("b0", "b1", "b2")}
-    sq = {b: F.sum(F.col("_k") * val(b) * val(b)) / total for b in ("b0", "b1", "b2")}
-    feats = j.groupBy(image, "cx", "cy").agg(
-        *[mean[b].alias(f"mean_{x}") for b, x in zip(mean, "rgb")],
-        *[F.sqrt(F.greatest(sq[b] - mean[b] * mean[b], F.lit(0.0))).alias(f"std_{x}") for b, x in zip(sq, "rgb")],
+    w = w.withColumns({"_kx": times("col0", "w", "_xs"), "_ky": times("row0", "h", "_ys")}).drop("_xs", "_ys")
+    hit = window_pixels(w, wide.select(image, "r", "c", "b0", "b1", "b2"), image, block)
+    k = F.get("_kx", F.col("c") - F.col("col0")) * F.get("_ky", F.col("r") - F.col("row0"))
+    hit = hit.withColumn("_k", k)
+    bands, total = ("b0", "b1", "b2"), float(n * n)
+    sums = hit.groupBy(image, "cx", "cy").agg(
+        *[F.sum(F.col("_k") * F.col(b)).alias(f"_s{b}") for b in bands],
+        *[F.sum(F.col("_k") * F.col(b) * F.col(b)).alias(f"_q{b}") for b in bands],
+    )
+    mean = {b: F.coalesce(F.col(f"_s{b}"), F.lit(0.0)) / total for b in bands}
+    spread = {b: F.sqrt(F.greatest(F.coalesce(F.col(f"_q{b}"), F.lit(0.0)) / total - mean[b] * mean[b], F.lit(0.0))) for b in bands}
+    out = points.join(sums, [image, "cx", "cy"], "left")
+    return out.select(
+        *points.columns, *[mean[b].alias(f"mean_{x}") for b, x in zip(bands, "rgb")],
+        *[spread[b].alias(f"std_{x}") for b, x in zip(bands, "rgb")],
     )
-    return points.join(feats, [image, "cx", "cy"])
 
 
 # ---------------------------------------------------------------- overview grid

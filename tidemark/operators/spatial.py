@@ -277,10 +277,10 @@ def greedy_keep(
         x, y = point
         geom = {"_x1": F.col(x), "_y1": F.col(y), "_x2": F.col(x), "_y2": F.col(y)}
         conflict = ("radius", float(radius))
-    work = df.withColumns({**geom, "_img": F.col(image)})
-    slim = work.select("_img", "_x1", "_y1", "_x2", "_y2", F.struct(*[
-        o.alias(k) for o, k in zip(order, keys)
-    ]).alias("_rank"))
+    rank = F.struct(*[o.alias(k) for o, k in zip(order, keys)])
+    # Read twice below, so what led here is computed and stored once.
+    work = cut_lineage(df.withColumns({**geom, "_img": F.col(image), "_rank": rank}))
+    slim = work.select("_img", "_x1", "_y1", "_x2", "_y2", "_rank")
     flat = F.lit(False)
     if boxes:  # boxes without area conflict with nothing, not even with their copies
         size = (F.col("_x2") - F.col("_x1")) * (F.col("_y2") - F.col("_y1"))
@@ -288,13 +288,8 @@ def greedy_keep(
     copies = ["_img", "_x1", "_y1", "_x2", "_y2", F.when(flat, F.col("_rank")).alias("_self")]
     one = slim.groupBy(*copies).agg(F.min("_rank").alias("_rank")).drop("_self")
     kept = _greedy_rounds(one, conflict, block_rows, max_rounds)
-    full = F.struct(*[o.alias(k) for o, k in zip(order, keys)])
     on = ["_img", "_x1", "_y1", "_x2", "_y2", "_rank"]
-    return (
-        work.withColumn("_rank", full)
-        .join(kept.select(*on), on, "left_semi")
-        .drop("_img", "_x1", "_y1", "_x2", "_y2", "_rank")
-    )
+    return work.join(kept.select(*on), on, "left_semi").drop(*on)
 
 
 def _greedy_rounds(one: DataFrame, conflict, block_rows: int, max_rounds: int) -> DataFrame:

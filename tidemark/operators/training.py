@@ -300,14 +300,16 @@ def top_by_priority(df: DataFrame, n: int, key: str = "id", score: str = "al_pri
     return best.select(key, "_r.*").orderBy(F.col(score).desc(), key).limit(n)
 
 
-def feature_matrix(labels: DataFrame, scenes: DataFrame, wide: DataFrame, half: float = 16.0, n: int = 32) -> DataFrame:
+def feature_matrix(
+    labels: DataFrame, scenes: DataFrame, wide: DataFrame, half: float = 16.0, n: int = 32, block: int = 256
+) -> DataFrame:
     """Six colour features and the binary label per usable row of a known scene."""
     from tidemark.operators.pixels import crop_features
 
     rows = LB.resolve_assets(LB.with_binary_label(labels).filter("y is not null"), scenes)
     rows = rows.filter(F.col("resolved_path").isNotNull()).select(
         "id", "y", F.col("image_name").alias("scene"), F.col("cx_full").alias("cx"), F.col("cy_full").alias("cy"))
-    return crop_features(rows, wide, "scene", "id", half, n).drop("scene", "cx", "cy")
+    return crop_features(rows, wide, "scene", "id", half, n, block).drop("scene", "cx", "cy")
 
 
 def chip_vector(values) -> Column:

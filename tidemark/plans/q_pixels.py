@@ -228,7 +228,7 @@ f AS (SELECT scene, x, y, round(avg(b0), 4) AS mean_r, round(avg(b1), 4) AS mean
 SELECT det_id, mean_r, mean_g, mean_b, std_r, std_g, std_b FROM v_dets d JOIN f ON f.scene = d.scene AND f.x = d.cx / 2000 * 64 AND f.y = d.cy / 2000 * 12""")
 def _(v):
     pts = v.dets.select("det_id", "scene", (F.col("cx") / 2000 * 64).alias("cx"), (F.col("cy") / 2000 * 12).alias("cy"))
-    out = P.crop_features(pts, v.mosaic, "scene", "det_id", half=3.0, n=8)
+    out = P.crop_features(pts, v.mosaic, "scene", "det_id", half=3.0, n=8, block=8)
     return rounded(out.drop("scene", "cx", "cy"), 4)
 
 

@@ -169,7 +169,7 @@ f AS (SELECT scene, x0_, y0_, round(avg(b0), 4) AS mean_r, round(avg(b1), 4) AS
   round(stddev_pop(b2), 4) AS std_b FROM s GROUP BY ALL)
 SELECT id, y, mean_r, mean_g, mean_b, std_r, std_g, std_b FROM r JOIN f USING (scene, x0_, y0_)""")
 def _(v):
-    return rounded(TR.feature_matrix(v.labels, v.scenes, v.mosaic, 3.0, 8), 4)
+    return rounded(TR.feature_matrix(v.labels, v.scenes, v.mosaic, 3.0, 8, block=8), 4)
 
 
 @query("f6_top_by_priority", f"""WITH {ROWS} SELECT id, round(al_priority, 6) AS al_priority FROM samples ORDER BY samples.al_priority DESC, id LIMIT 50""")
