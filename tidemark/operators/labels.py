@@ -207,14 +207,10 @@ def merge_extra(df: DataFrame, preds: DataFrame, prefix: str = "det_") -> DataFr
 
 def labelled_points(df: DataFrame) -> DataFrame:
     """Distinct (image_name, x, y) of saved centres and of the candidates they came from."""
-    rows = df.filter(
-        F.col("record_type").isNull() | ~F.col("record_type").isin(L.SIZE_FEEDBACK, L.GRID_TILE)
-    ).withColumn("image_name", L.basename("tci_path"))
-    saved = rows.select("image_name", F.col("cx_full").alias("x"), F.col("cy_full").alias("y"))
-    original = rows.select(
-        "image_name", F.col("cx_candidate").alias("x"), F.col("cy_candidate").alias("y")
-    )
-    return saved.unionByName(original).dropna().distinct()
+    rows = df.filter(F.col("record_type").isNull() | ~F.col("record_type").isin(L.SIZE_FEEDBACK, L.GRID_TILE))
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    both = F.explode(F.array(at("cx_full", "cy_full"), at("cx_candidate", "cy_candidate"))).alias("p")
+    return rows.select(L.basename("tci_path").alias("image_name"), both).select("image_name", "p.*").dropna().distinct()
 
 
 def grid_feedback_cells(df: DataFrame) -> DataFrame:
