@@ -264,5 +264,5 @@ def vessel_report(df: DataFrame, scenes: DataFrame, max_rows: int | None = 10) -
     )
     for c in ("length_m", "width_m", "second_length_m", "second_width_m"):
         out = out.withColumn(f"{c[:-2]}_error_m", L.dim_plus_minus_gsd(c, "_g"))
-    out = out.drop("_g").orderBy("reviewed_at", "id")
-    return out.limit(max_rows) if max_rows is not None else out
+    out = out.drop("_g")
+    return out.orderBy("reviewed_at", "id").limit(max_rows) if max_rows is not None else out

@@ -125,7 +125,14 @@ def land_mask(v):
     return v.mosaic.select("scene", "r", "c", P.is_land("occurrence").alias("land"))
 
 
-@query("k8_tiles_to_scan")
+MOSAIC_TILES = f"""sz AS (SELECT scene, max(c) + 1 AS width, max(r) + 1 AS height FROM v_mosaic GROUP BY scene),
+t0 AS (SELECT scene, width, unnest(list_distinct(list_append(generate_series(0, greatest(0, height - 16), 8), greatest(0, height - 16))))::int AS row0 FROM sz),
+t AS (SELECT scene, row0, unnest(list_distinct(list_append(generate_series(0, greatest(0, width - 16), 8), greatest(0, width - 16))))::int AS col0 FROM t0),
+tiles AS (SELECT t.scene, row0, col0, avg({LAND}) AS land, bool_and(cls IN (3, 8, 9, 10)) AS cloud FROM t LEFT JOIN v_mosaic m ON m.scene = t.scene AND m.r >= row0 AND m.r < row0 + 16
+  AND m.c >= col0 AND m.c < col0 + 16 GROUP BY ALL)"""
+
+
+@query("k8_tiles_to_scan", f"WITH {MOSAIC_TILES} SELECT scene, row0, col0, CASE WHEN land >= 1 THEN 'land' WHEN cloud THEN 'cloud' END AS skipped FROM tiles")
 def _(v):
     s = v.mosaic.groupBy("scene").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
     t = D.tiles_to_scan(s, land_mask(v), v.mosaic.select("scene", "r", "c", "cls"), DetectSettings(chip_half=8, block=16))
@@ -137,7 +144,13 @@ def _(v):
     return D.scene_queue(v.heads, v.labels, SETTINGS, land_mask(v)).select("scene", "tile_id", "cx", "cy", F.round("score", 6).alias("score"), "rank")
 
 
-@query("k8_scene_counters")
+@query("k8_scene_counters", f"""
+WITH {MOSAIC_TILES}, d AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, det_id) AS rank FROM v_dets QUALIFY rank <= 300),
+f AS (SELECT det_id, scene, ((cx - w / 2) + (cx + w / 2)) / 2 AS x, ((cy - h / 2) + (cy + h / 2)) / 2 AS y FROM d WHERE score >= 0.05),
+n AS (SELECT scene, count(*) AS detections, count(*) FILTER (EXISTS (SELECT 1 FROM v_labels l WHERE review_category = 'land' AND regexp_replace(tci_path, '^.*[/\\\\]', '') = f.scene
+  AND (x - cx_full) * (x - cx_full) + (y - cy_full) * (y - cy_full) <= 1024)) AS land_review_rejected FROM f GROUP BY scene)
+SELECT t.scene, count(*) AS tiles, count(*) FILTER (land >= 1) AS land_skipped, 0::bigint AS cloud_skipped, coalesce(any_value(n.detections), 0) AS detections,
+ coalesce(any_value(n.land_review_rejected), 0) AS land_review_rejected FROM tiles t LEFT JOIN n USING (scene) GROUP BY t.scene""")
 def _(v):
     s = v.mosaic.groupBy("scene").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
     t = D.tiles_to_scan(s, land_mask(v), None, DetectSettings(chip_half=8, block=16))

@@ -312,20 +312,26 @@ DUP_ROWS = f"""(SELECT l.id, {BASE} AS image, cx_full AS x, cy_full AS y, review
  WHERE {POINT} AND ({CAT}) = 'vessel' AND cx_full IS NOT NULL)"""
 
 
-@query("d3_duplicate_groups", f"""
-WITH RECURSIVE r AS MATERIALIZED (SELECT image, x, y, min(id) AS node, count(*) AS copies, min(reviewed_at) AS first_seen FROM {DUP_ROWS} q GROUP BY image, x, y),
+GROUPS = f"""r AS MATERIALIZED (SELECT image, x, y, min(id) AS node, count(*) AS copies, min(reviewed_at) AS first_seen FROM {DUP_ROWS} q GROUP BY image, x, y),
 e AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM r a JOIN r b ON a.image = b.image AND a.node <> b.node
   AND b.x BETWEEN a.x - 6 AND a.x + 6 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 36),
 walk(node, root) AS (SELECT node, node FROM r UNION SELECT e.b, w.root FROM walk w JOIN e ON e.a = w.node),
 c AS (SELECT node, min(root) AS g FROM walk GROUP BY node),
-s AS (SELECT g, sum(copies)::bigint AS group_rows, min(first_seen) AS group_first_seen FROM c JOIN r USING (node) GROUP BY g HAVING sum(copies) >= 2)
+s AS (SELECT g, sum(copies)::bigint AS group_rows, min(first_seen) AS group_first_seen FROM c JOIN r USING (node) GROUP BY g HAVING sum(copies) >= 2)"""
+
+
+@query("d3_duplicate_groups", f"""
+WITH RECURSIVE {GROUPS}
 SELECT q.id, s.group_rows, s.group_first_seen, s.g AS group_id FROM {DUP_ROWS} q JOIN r ON q.image = r.image AND q.x = r.x AND q.y = r.y
 JOIN c ON c.node = r.node JOIN s ON s.g = c.g""")
 def _(v):
     return C.duplicate_groups(v.labels, v.scenes).select("id", "group_rows", "group_first_seen", "group_id")
 
 
-@query("f1_duplicate_listing")
+@query("f1_duplicate_listing", f"""
+WITH RECURSIVE {GROUPS}, m AS (SELECT s.g AS group_id, any_value(r.image) AS image, sum(copies)::bigint AS n, sum(r.x * copies) / sum(copies) AS mx, sum(r.y * copies) / sum(copies) AS my,
+  any_value(s.group_first_seen) AS group_first_seen FROM r JOIN c ON c.node = r.node JOIN s ON s.g = c.g GROUP BY s.g)
+SELECT group_id, group_first_seen, concat(image, ' · ', n, ' rows ~(', printf('%.0f', round_even(mx, 0)), ',', printf('%.0f', round_even(my, 0)), ') px · tol 6 px') AS label FROM m""")
 def _(v):
     return C.duplicate_group_labels(C.duplicate_groups(v.labels, v.scenes)).orderBy(
         F.col("group_first_seen").desc(), "group_id")

@@ -10,7 +10,7 @@ from tidemark.functions import geo as G
 from tidemark.functions import labels as L
 from tidemark.functions import names as N
 from tidemark.operators import scenes as SC
-from tidemark.plans.q_labels import BASE
+from tidemark.plans.q_labels import BASE, EXPORT
 from tidemark.plans.registry import query
 
 PI = "pi()"
@@ -355,8 +355,22 @@ def _(v):
     return d.select("det_id", F.round("convergence", 6).alias("convergence"))
 
 
-@query("a12_vessel_report")
+GSD = "(CASE WHEN epsg = 4326 THEN (abs(a) * 111320 * cos(radians(y0 + (round_even(cy_full, 0) + 0.5) * e)) + abs(e) * 111320) / 2 ELSE (abs(a) + abs(e)) / 2 END)"
+ERR = "round(CASE WHEN {v} > 0 THEN greatest(4.0, 0.5 * greatest(" + GSD + ", 1e-6) * sqrt(2.0::double), 0.06 * {v}) END, 6)"
+
+
+@query("a12_vessel_report", f"""
+WITH base AS (SELECT l.* EXCLUDE (lon, lat), s.epsg, s.a, s.e, s.x0, s.y0,
+  CASE WHEN graphic_length_m IS NOT NULL AND graphic_width_m IS NOT NULL THEN graphic_length_m ELSE estimated_length_m END AS lm,
+  CASE WHEN graphic_length_m IS NOT NULL AND graphic_width_m IS NOT NULL THEN graphic_width_m ELSE estimated_width_m END AS wm
+  FROM v_labels l JOIN v_scenes s ON s.scene = {BASE} WHERE {EXPORT}),
+{lonlat_sql(CENTRE[0].format('cx_full'), CENTRE[1].format('cy_full'))}
+SELECT id, tci_path, round(lon_, 6) AS lon, round(lat_, 6) AS lat, reviewed_at, label_confidence, round(lm, 6) AS length_m, round(wm, 6) AS width_m, {ERR.format(v='lm')} AS length_error_m,
+ {ERR.format(v='wm')} AS width_error_m, graphic_length_m_hull2 AS second_length_m, transhipment_side_by_side AS multiple_vessels FROM ll""")
 def _(v):
     from tidemark.operators import labels as LB
+    from tidemark.plans.q_eval import rounded
 
-    return LB.vessel_report(v.labels, v.scenes, max_rows=None)
+    out = LB.vessel_report(v.labels, v.scenes, max_rows=None)
+    return rounded(out.select("id", "tci_path", "lon", "lat", "reviewed_at", "label_confidence", "length_m", "width_m", "length_error_m",
+                              "width_error_m", "second_length_m", "multiple_vessels"))
