@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import angles as A
 from tidemark.functions import geo as G
 from tidemark.functions.labels import col
+from tidemark.functions.columns import pin
 from tidemark.operators import candidates as C
+from tidemark.operators import hulls as H
 from tidemark.operators import pixels as P
 from tidemark.operators import spatial as S
 from tidemark.settings import DetectSettings
@@ -91,31 +92,28 @@ def add_mask_rectangle(df: DataFrame, name: str = "polygon", threshold: float =
     """
     import pandas as pd
 
-    schema = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
-    def batch(mask: pd.Series, h: pd.Series, w: pd.Series, c0: pd.Series, r0: pd.Series, tw: pd.Series, th: pd.Series) -> pd.Series:
+    def batch(mask: pd.Series, h: pd.Series, w: pd.Series, c0: pd.Series, r0: pd.Series, tw: pd.Series, th: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         from tidemark.functions import shapes as SH
 
-        out = []
+        quads = []
         for m, hh, ww, x0, y0, cw, ch in zip(mask, h, w, c0, r0, tw, th):
             pts = None if m is None else SH.largest_blob(np.asarray(m, dtype=float).reshape(hh, ww) >= threshold)
             found = None if pts is None else SH.smallest_rectangle(pts)
             if found is None:
-                out.append(None)
+                quads.append(None)
                 continue
             corners = found[0]
             sides = np.hypot(*(corners[1] - corners[0])), np.hypot(*(corners[3] - corners[0]))
             sx, sy = cw / ww, ch / hh
-            if max(sides[0] * sx, sides[1] * sy) * gsd_m > max_side_m:
-                out.append(None)
-                continue
-            out.append([{"x": float(x0 + u * sx), "y": float(y0 + v * sy)} for u, v in corners])
-        return pd.Series(out)
+            fits = max(sides[0] * sx, sides[1] * sy) * gsd_m <= max_side_m
+            quads.append([(x0 + u * sx, y0 + v * sy) for u, v in corners] if fits else None)
+        return H._quads_frame(quads)
 
-    batch.__annotations__ = {c: pd.Series for c in ("mask", "h", "w", "c0", "r0", "tw", "th", "return")}
-    return df.withColumn(name, F.pandas_udf(batch, schema)("mask", "mask_h", "mask_w", "col0", "row0", "tile_w", "tile_h"))
+    batch.__annotations__ = {c: pd.Series for c in ("mask", "h", "w", "c0", "r0", "tw", "th")} | {"return": pd.DataFrame}
+    found = F.pandas_udf(batch, H._COORDINATES)("mask", "mask_h", "mask_w", "col0", "row0", "tile_w", "tile_h")
+    return pin(df.withColumn("_qxy", found), "_qxy").withColumn(name, H._points("_qxy")).drop("_qxy")
 
 
 def with_boxes(dets: DataFrame, polygon: str | None = "polygon") -> DataFrame:

@@ -70,51 +70,75 @@ def add_hull_quad(df: DataFrame, markers: str = "markers", hull: int = 1, name:
     bow, stern, ends = last_of(m, "bow"), last_of(m, "stern"), end_pair(m)
     keel = F.when(bow.isNotNull() & stern.isNotNull(), F.array(_xy(bow), _xy(stern))).otherwise(F.transform(ends, _xy))
     placed = F.filter(m, lambda q: (q["role"] != "wake") & q["x"].isNotNull() & q["y"].isNotNull())
-    d = d.withColumn(name, _quad_udf()(F.transform(placed, _xy), keel, F.transform(side_pair(m), _xy)))
-    return pin(d.drop("_qm"), name)
+    args = [xy for p in (placed, keel, side_pair(m)) for xy in _coordinates(p)]
+    d = pin(d.withColumn("_qxy", _quad_udf()(*args)).drop("_qm"), "_qxy")
+    return d.withColumn(name, _points("_qxy")).drop("_qxy")
+
+
+def _coordinates(points: Column) -> tuple[Column, Column]:
+    """Both coordinates of a point array as number arrays, which cross to Arrow batches without boxing."""
+    return F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+
+
+def _points(column: str) -> Column:
+    """Point array from a struct of coordinate arrays; null for an empty one."""
+    both = F.zip_with(F.col(f"{column}.x"), F.col(f"{column}.y"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.when(F.size(F.col(f"{column}.x")) > 0, both)
+
+
+_COORDINATES = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("x", "y")])
+
+
+def _quads_frame(quads):
+    """Coordinate arrays of a batch of outlines (or None) as the frame an Arrow function returns."""
+    import pandas as pd
+
+    xs = [None if q is None else [float(v[0]) for v in q] for q in quads]
+    ys = [None if q is None else [float(v[1]) for v in q] for q in quads]
+    return pd.DataFrame({"x": pd.Series(xs, dtype=object), "y": pd.Series(ys, dtype=object)})
 
 
 def _quad_udf():
     import pandas as pd
 
-    def batch(points: pd.Series, keel: pd.Series, sides: pd.Series) -> pd.Series:
+    def batch(px: pd.Series, py: pd.Series, kx: pd.Series, ky: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.DataFrame:
         from tidemark.functions import shapes as S
 
-        xy = lambda q: None if q is None else [(p["x"], p["y"]) for p in q]
-        quads = (S.hull_quad(xy(p) or [], xy(k), xy(s)) for p, k, s in zip(points, keel, sides))
-        return pd.Series([None if q is None else [{"x": float(x), "y": float(y)} for x, y in q] for q in quads])
+        pair = lambda x, y: None if x is None or y is None else list(zip(x, y))
+        return _quads_frame([
+            S.hull_quad(pair(a, b) or [], pair(c, d), pair(e, f)) for a, b, c, d, e, f in zip(px, py, kx, ky, sx, sy)
+        ])
 
-    batch.__annotations__ = {c: pd.Series for c in ("points", "keel", "sides", "return")}
-    return F.pandas_udf(batch, T.ArrayType(
-        T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-    ))
+    batch.__annotations__ = {c: pd.Series for c in ("px", "py", "kx", "ky", "sx", "sy")} | {"return": pd.DataFrame}
+    return F.pandas_udf(batch, _COORDINATES)
 
 
-def _shape_udf(fn, fields: list[str], n_args: int = 1):
-    """Arrow function over polygon columns: ``fn`` maps point lists to a tuple of numbers or None."""
+def _measure(fn, fields: list[str], *polygons) -> Column:
+    """Numbers measured on one or two polygons per row by ``fn(points, …)``, a tuple or None, as a struct."""
     import pandas as pd
 
     schema = T.StructType([T.StructField(f, T.DoubleType()) for f in fields])
+    empty = (None,) * len(fields)
 
     def run(columns):
         rows = []
-        for polys in zip(*columns):
-            if any(p is None for p in polys):
-                rows.append((None,) * len(fields))
+        for flat in zip(*columns):
+            if any(c is None for c in flat):
+                rows.append(empty)
                 continue
-            got = fn(*[[(q["x"], q["y"]) for q in p] for p in polys])
-            rows.append((None,) * len(fields) if got is None else got)
+            got = fn(*[list(zip(flat[i], flat[i + 1])) for i in range(0, len(flat), 2)])
+            rows.append(empty if got is None else got)
         return pd.DataFrame(rows, columns=fields, dtype="float64")
 
-    if n_args == 1:
-        def batch(a: pd.Series) -> pd.DataFrame:
-            return run([a])
-        batch.__annotations__ = {"a": pd.Series, "return": pd.DataFrame}
-    else:
-        def batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-            return run([a, b])
-        batch.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(batch, schema)
+    def one(ax: pd.Series, ay: pd.Series) -> pd.DataFrame:
+        return run([ax, ay])
+
+    def two(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
+        return run([ax, ay, bx, by])
+
+    batch = one if len(polygons) == 1 else two
+    batch.__annotations__ = {c: pd.Series for c in ("ax", "ay", "bx", "by")[: 2 * len(polygons)]} | {"return": pd.DataFrame}
+    return F.pandas_udf(batch, schema)(*[xy for p in polygons for xy in _coordinates(col(p))])
 
 
 def _sides(points):
@@ -141,7 +165,7 @@ def add_oriented_size(df: DataFrame, polygon: str = "polygon") -> DataFrame:
     """Add ground length, width and aspect of the smallest rectangle around a polygon (scene pixels)."""
     p = col(polygon)
     mean = lambda f: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[f]) / F.size(p)
-    d = df.withColumns({"_cx": mean("x"), "_cy": mean("y"), "_r": _shape_udf(_sides, ["long_px", "short_px"])(p)})
+    d = df.withColumns({"_cx": mean("x"), "_cy": mean("y"), "_r": _measure(_sides, ["long_px", "short_px"], polygon)})
     gx, gy = G.ground_metres_per_pixel("_cx", "_cy")
     d = d.withColumn("_g", (gx + gy) / 2)
     ok = (F.col("_r.long_px") >= 1e-6) & (F.col("_g") > 0)
@@ -154,14 +178,14 @@ def add_oriented_size(df: DataFrame, polygon: str = "polygon") -> DataFrame:
 
 def add_axes(df: DataFrame, polygon: str = "polygon") -> DataFrame:
     """Add the directions of the longest hull edge and of the first principal axis, in degrees."""
-    return df.withColumn("_a", _shape_udf(_axes, ["edge_deg", "axis_deg"])(polygon)).withColumns(
+    return df.withColumn("_a", _measure(_axes, ["edge_deg", "axis_deg"], polygon)).withColumns(
         {"edge_deg": F.col("_a.edge_deg"), "axis_deg": F.col("_a.axis_deg")}
     ).drop("_a")
 
 
 def add_polygon_iou(df: DataFrame, a: str, b: str, name: str = "iou") -> DataFrame:
     """Add the overlap of two convex outlines."""
-    return df.withColumn("_i", _shape_udf(_iou, ["iou"], 2)(a, b)).withColumn(name, F.col("_i.iou")).drop("_i")
+    return df.withColumn("_i", _measure(_iou, ["iou"], a, b)).withColumn(name, F.col("_i.iou")).drop("_i")
 
 
 # ---------------------------------------------------------------- sizes and headings
@@ -299,23 +323,21 @@ def add_blob_quad(df: DataFrame, name: str = "blob_quad") -> DataFrame:
     """
     import pandas as pd
 
-    schema = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
     def batch(red: pd.Series, green: pd.Series, blue: pd.Series, h: pd.Series, w: pd.Series, x: pd.Series,
-              y: pd.Series, g: pd.Series) -> pd.Series:
+              y: pd.Series, g: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         from tidemark.functions import shapes as S
 
-        out = []
+        quads = []
         for r, gr, b, hh, ww, px, py, gsd in zip(red, green, blue, h, w, x, y, g):
             grey = 0.299 * np.asarray(r) + 0.587 * np.asarray(gr) + 0.114 * np.asarray(b)
-            quad = S.bright_blob_quad(grey.reshape(hh, ww), px, py, gsd)
-            out.append(None if quad is None else [{"x": float(p), "y": float(q)} for p, q in quad])
-        return pd.Series(out)
+            quads.append(S.bright_blob_quad(grey.reshape(hh, ww), px, py, gsd))
+        return _quads_frame(quads)
 
-    batch.__annotations__ = {c: pd.Series for c in ("red", "green", "blue", "h", "w", "x", "y", "g", "return")}
-    return df.withColumn(name, F.pandas_udf(batch, schema)("red", "green", "blue", "h", "w", "px", "py", "gsd_m"))
+    batch.__annotations__ = {c: pd.Series for c in ("red", "green", "blue", "h", "w", "x", "y", "g")} | {"return": pd.DataFrame}
+    found = F.pandas_udf(batch, _COORDINATES)("red", "green", "blue", "h", "w", "px", "py", "gsd_m")
+    return pin(df.withColumn("_qxy", found), "_qxy").withColumn(name, _points("_qxy")).drop("_qxy")
 
 
 def outline_centres(df: DataFrame) -> DataFrame:

@@ -148,8 +148,9 @@ def weighted_draws(df: DataFrame, seed: int, key: str = "id", weight: str = "wei
         draw.select("_b", F.col("_u").alias("_at"), F.lit(0).alias("_row"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     )
     # A draw belongs to the first row whose running sum passes it; the bucket's last row takes the rest.
-    back = W.partitionBy("_b").orderBy(F.col("_at"), F.col("_row"))
-    nxt = F.first(F.when(F.col("_row") == 1, F.col(key)), ignorenulls=True).over(back.rowsBetween(0, W.unboundedFollowing))
+    # Read from the far end, that row is the latest one seen, so the frame only ever grows.
+    back = W.partitionBy("_b").orderBy(F.col("_at").desc(), F.col("_row").desc()).rowsBetween(W.unboundedPreceding, 0)
+    nxt = F.last(F.when(F.col("_row") == 1, F.col(key)), ignorenulls=True).over(back)
     last = F.max_by(key, F.struct("_row", "_at")).over(W.partitionBy("_b"))
     hit = both.withColumn(key, F.when(F.col("_row") == 0, F.coalesce(nxt, last)).otherwise(F.col(key))).filter("_row = 0")
     return hit.groupBy(key).agg(F.count("*").alias("times"))
