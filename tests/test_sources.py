@@ -113,16 +113,18 @@ def test_chip_store(spark, tmp_path):
 def test_stream(spark, tmp_path):
     log, table = tmp_path / "log", str(tmp_path / "table")
     log.mkdir()
+    undated = {k: v for k, v in review(4, "cloud", extra={"note": "x"}).items() if k != "reviewed_at"}
     write(log / "1.json", review(1, "vessel"), "{broken", review(2, "not_vessel"))
     ST.run_curation(spark, str(log), table, str(tmp_path / "cp")).awaitTermination(120)
-    write(log / "2.json", review(2, "water"), review(3, "land"))
+    write(log / "2.json", review(2, "water"), review(3, "land"), undated)
     ST.run_curation(spark, str(log), table, str(tmp_path / "cp")).awaitTermination(120)
     rows = spark.read.parquet(table).collect()
-    assert sorted((r.id, r.review_category) for r in rows) == [("r1", "vessel"), ("r2", "water"), ("r3", "land")]
+    assert sorted((r.id, r.review_category) for r in rows) == [("r1", "vessel"), ("r2", "water"), ("r3", "land"), ("r4", "cloud")]
+    assert json.loads(next(r.extra for r in rows if r.id == "r4")) == {"note": "x"}
     q = ST.running_counts(ST.stream_labels(spark, str(log))).writeStream.format("memory").queryName("running").outputMode("update")
     q = q.trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert max(r.total for r in spark.table("running").collect()) == 3
+    assert max(r.total for r in spark.table("running").collect()) == 4
 
 
 def test_versions(spark, tmp_path):

@@ -10,6 +10,7 @@ from tidemark.functions import labels as L
 from tidemark.functions.labels import col
 from tidemark.operators import hulls as H
 from tidemark.operators import labels as LB
+from tidemark.session import cut_lineage
 
 # Heading sources that leave the bow open, and class numbers of the material head.
 AMBIGUOUS_HEADINGS = ("ambiguous_end_end", "keel_quad_ambiguous")
@@ -126,8 +127,8 @@ def weighted_draws(df: DataFrame, seed: int, key: str = "id", weight: str = "wei
     import numpy as np
 
     spark = df.sparkSession
-    rows = df.select(key, F.col(weight).cast("double").alias("_w")).withColumn(
-        "_b", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int"))
+    rows = cut_lineage(df.select(key, F.col(weight).cast("double").alias("_w")).withColumn(
+        "_b", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int")))
     sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"), F.count("*").alias("_n")).orderBy("_b").collect()
     size = np.array([r["_s"] for r in sums], dtype=float)
     if size.sum() <= 0:

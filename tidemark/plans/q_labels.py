@@ -139,7 +139,7 @@ def _(v):
     files = v.table("orders").groupBy("o_custkey").agg(
         F.array_sort(F.collect_list(F.struct(
             "o_orderkey", F.concat(F.lit("/models/"), F.col("o_orderkey").cast("string")).alias("path"),
-            F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("mtime")))).alias("files"))
+            F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("o_orderdate").cast("timestamp_ntz")).alias("mtime")))).alias("files"))
     return files.select("o_custkey", L.run_fingerprint("files").alias("run_id"))
 
 

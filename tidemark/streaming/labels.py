@@ -20,6 +20,8 @@ def stream_labels(spark: SparkSession, folder: str, *, delay: str = "1 day", max
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
     lines = raw.select(F.trim("value").alias("line")).filter("line <> ''")
     rows = curate(parse_lines(lines)).filter(F.col("id").isNotNull())
+    # A row without a readable time counts as seen now; the watermark needs a time on every row.
+    rows = rows.withColumn("reviewed_ts", F.coalesce("reviewed_ts", F.current_timestamp()))
     return rows.withWatermark("reviewed_ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
@@ -28,12 +30,12 @@ def run_curation(
 ) -> StreamingQuery:
     """Keep a curated Parquet table up to date with the log folder.
 
-    Each batch goes to its own ``batch`` folder and replaces it when a failed batch is run again, so a
+    The open ``extra`` map is kept as JSON text. Each batch goes to its own ``batch`` folder and replaces it when a failed batch is run again, so a
     retry after a lost executor adds no row twice. The checkpoint must lie on shared storage.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.drop("extra").write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
+        batch.withColumn("extra", F.to_json("extra")).write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
 
     writer = stream_labels(spark, folder, delay=delay).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
