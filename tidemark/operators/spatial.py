@@ -303,7 +303,7 @@ def _greedy_rounds(one: DataFrame, conflict, block_rows: int, max_rounds: int) -
         widest = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
         reach = max(float(open_rows.agg(F.max(widest)).first()[0] or 0.0), 1e-9)
     # Many times the reach, so few rows sit on a rim, and never so small that blocks outnumber rows.
-    block = max(8 * reach, 256.0)
+    block = max(4 * reach, 256.0)
     kept_parts: list[DataFrame] = []
     for round_no in range(max_rounds):
         if open_rows.isEmpty():

@@ -17,8 +17,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Add ``rec``, the parsed document, null for malformed lines and for lines that hold no object."""
-    rec = F.try_parse_json("line")
-    return lines.withColumn("rec", F.when(F.schema_of_variant(rec).startswith("OBJECT"), rec))
+    return lines.withColumn("rec", F.when(F.col("line").startswith("{"), F.try_parse_json("line")))
 
 
 def curate(parsed: DataFrame) -> DataFrame:
