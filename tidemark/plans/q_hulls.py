@@ -43,15 +43,17 @@ def placed(v):
 
 
 @query("g10_oriented_size", """
-WITH x AS (SELECT det_id, epsg, w, h, cx, cy FROM v_dets d JOIN v_scenes s USING (scene) WHERE epsg IS NULL OR epsg <> 4326)
-SELECT det_id, round(greatest(w, h) * 10, 5) AS length_m, round(least(w, h) * 10, 5) AS width_m, round(greatest(w, h) / least(w, h), 5) AS aspect FROM x""")
+WITH x AS (SELECT det_id, w, h, CASE WHEN epsg = 4326 THEN (abs(a) * 111320 * cos(radians(y0 + (round_even(cy, 0) + 0.5) * e)) + abs(e) * 111320) / 2 ELSE (abs(a) + abs(e)) / 2 END AS g
+  FROM v_dets d JOIN v_scenes s USING (scene))
+SELECT det_id, round(greatest(w, h) * g, 4) AS length_m, round(least(w, h) * g, 4) AS width_m, round(greatest(w, h) / least(w, h), 5) AS aspect FROM x""")
 def _(v):
-    d = with_georeference(v.dets, v.scenes, "scene").filter("epsg is null or epsg <> 4326")
+    d = with_georeference(v.dets, v.scenes, "scene")
     t = F.radians(F.col("score") * 180)
     u = lambda a, b: F.struct((F.col("cx") + a * F.cos(t) - b * F.sin(t)).alias("x"), (F.col("cy") + a * F.sin(t) + b * F.cos(t)).alias("y"))
     w, h = F.col("w") / 2, F.col("h") / 2
     d = d.withColumn("polygon", F.array(u(-w, -h), u(w, -h), u(w, h), u(-w, h)))
-    return rounded(H.add_oriented_size(d).select("det_id", "length_m", "width_m", "aspect"), 5)
+    d = H.add_oriented_size(d)
+    return d.select("det_id", F.round("length_m", 4).alias("length_m"), F.round("width_m", 4).alias("width_m"), F.round("aspect", 5).alias("aspect"))
 
 
 @query("g11_hull_quad")

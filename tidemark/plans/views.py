@@ -152,14 +152,13 @@ FROM orders
 
 SQL["v_files"] = f"""
 SELECT {_SCENE_NAME} AS scene, k, suffix,
-       replace({_SCENE_NAME}, '_TCI_10m', concat('_', suffix)) AS file
+       concat(replace({_SCENE_NAME}, '_TCI_10m', concat('_', suffix)), CASE WHEN (k + b) % 4 = 0 THEN '.part' ELSE '' END) AS file
 FROM (SELECT DISTINCT o_custkey % 40 AS k, o_custkey % 13 AS b FROM orders) s
 JOIN (SELECT l_suppkey % 13 AS b, CASE l_suppkey % 13 WHEN 0 THEN 'B08_10m' WHEN 1 THEN 'B05_20m'
         WHEN 2 THEN 'B06_20m' WHEN 3 THEN 'B07_20m' WHEN 4 THEN 'B8A_20m' WHEN 5 THEN 'B11_20m'
         WHEN 6 THEN 'B12_20m' WHEN 7 THEN 'B01_60m' WHEN 8 THEN 'B09_60m' WHEN 9 THEN 'B02_10m'
         WHEN 10 THEN 'B03_10m' WHEN 11 THEN 'B04_10m' ELSE 'SCL_20m' END AS suffix
       FROM lineitem GROUP BY l_suppkey % 13) f USING (b)
-WHERE (k + b) % 4 > 0
 """
 
 SQL["v_heads"] = f"""
