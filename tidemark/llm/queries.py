@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bloom_dedup
+from tidemark.llm import bloom_dedup, simhash
 from tidemark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,9 @@ def query(name: str, sql: str | None = None):
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     marked = bloom_dedup.mark_copies(documents(spark, folder), carry=["doc_id"])
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(documents(spark, folder), carry=["doc_id"])
+    return groups.select("doc_id", "fingerprint", "component_id")
