@@ -52,7 +52,7 @@ def _bit_set(bitmap: Column, bit: Column) -> Column:
 def split_by_filter(rows: DataFrame, digest: str, bits_per_row: int, max_filter_mb: int) -> tuple[DataFrame, DataFrame]:
     """Second pass: (rows whose digest is certainly unique, rows whose digest may repeat)."""
     blocks = filter_blocks(rows.count(), bits_per_row, max_filter_mb)
-    bitmaps = repeat_filter(rows, digest, blocks)
+    bitmaps = cut_lineage(repeat_filter(rows, digest, blocks))
     d = col(digest)
     probed = rows.withColumn("block", _block(d, blocks)).join(F.broadcast(bitmaps), "block", "left")
     hit = F.coalesce(reduce(and_, [_bit_set(col("bitmap"), bit) for bit in _bits(d)]), F.lit(False))
@@ -84,7 +84,8 @@ def mark_copies(
     )
     once, maybe = split_by_filter(rows, "sha", bits_per_row, max_filter_mb)
     maybe = cut_lineage(maybe.withColumn("row", F.monotonically_increasing_id()))
-    groups = maybe.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("top"))
+    # Stored, so that both sides of the join are plain shuffles and a group of any size can be split among tasks.
+    groups = cut_lineage(maybe.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("top")))
     marked = maybe.join(groups, "sha")
     return unpack(
         once, columns, keep_id=col("id"), group_size=F.lit(1).cast("long"), kept=F.lit(True), text_sha256=col("sha")
