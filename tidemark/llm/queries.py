@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bloom_dedup, simhash
-from tidemark.llm.common import documents
+from tidemark.llm import bloom_dedup, decontaminate, simhash
+from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,9 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, folder), carry=["doc_id"])
     return groups.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op2_template_leaks")
+def op2_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.mark_leaks(documents(spark, folder), table(spark, folder, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "item_id", "coverage", "shift", "slots")
