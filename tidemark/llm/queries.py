@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bloom_dedup, decontaminate, simhash
+from tidemark.llm import bloom_dedup, decontaminate, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.mark_leaks(documents(spark, folder), table(spark, folder, "benchmark"), carry=["doc_id"])
     return found.select("doc_id", "item_id", "coverage", "shift", "slots")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return toxicity.mark_toxic(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
