@@ -88,8 +88,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, id_col: str, la
     return rows, min(max(pos / n if n else 0.0, 1e-3), 0.9)
 
 
-def choose_terms(rows: DataFrame, min_rows: int, min_z: float, max_terms: int) -> list[str]:
-    """Terms that occur in clearly more (or fewer) positive than unlabelled texts, the clearest first, ties by name."""
+def choose_terms(rows: DataFrame, prior: float, min_rows: int, min_z: float, min_posterior: float, max_terms: int) -> list[str]:
+    """Terms that occur in clearly more positive than unlabelled texts, the clearest first, ties by name.
+
+    prior * share among positives / share among all is the chance that a text with the term is toxic; words that are
+    merely commoner in toxic texts, because these are longer, stay below ``min_posterior``.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
@@ -109,8 +113,9 @@ def choose_terms(rows: DataFrame, min_rows: int, min_z: float, max_terms: int) -
     share_p, share_u = col("p") / p, col("u") / u
     pooled = (col("p") + col("u")) / (p + u)
     z = (share_p - share_u) / F.sqrt(pooled * (1 - pooled) * (1 / p + 1 / u) + 1e-12)
-    best = sums.filter(col("p") + col("u") >= min_rows).withColumn("z", z).filter(F.abs("z") >= min_z)
-    return [r["term"] for r in best.orderBy(F.abs("z").desc(), "term").limit(max_terms).select("term").collect()]
+    telling = (col("p") + col("u") >= min_rows) & (prior * share_p >= min_posterior * share_u) & (z >= min_z)
+    best = sums.withColumn("z", z).filter(telling)
+    return [r["term"] for r in best.orderBy(col("z").desc(), "term").limit(max_terms).select("term").collect()]
 
 
 def _counted(seen: dict[bool, Counter]) -> Iterator[pd.DataFrame]:
@@ -125,63 +130,55 @@ def _sums(index: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndar
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    return np.concatenate([*rows, np.zeros(0)]).astype(np.int64), starts
+
+
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], terms: int, prior: float,
-    epochs: int = 60, batch: int = 512, rate: float = 0.05, l2: float = 1e-4, seed: int = 7,
+    steps: int = 400, rate: float = 0.05, l2: float = 1e-5,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk with logistic loss. Rows are arrays of term numbers."""
-    rng = np.random.default_rng(seed)
+    """Weights and bias by Adam on the non-negative risk with logistic loss. Rows are arrays of term numbers.
+
+    Each step sees all rows, so that the correction of the negative risk is not lost in the noise of small batches.
+    """
     w = np.zeros(terms + 1)
     w[-1] = np.log(prior / (1 - prior))
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-
-    def pack(rows):
-        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return (np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)), starts
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    (ip, sp), (iu, su) = _packed(positive), _packed(unlabelled)
 
-    def grad(index, starts, d):
+    def gradient(index, starts, d):
         g = np.bincount(index, weights=np.repeat(d, np.diff(starts)), minlength=terms + 1)
         g[-1] += d.sum()
-        return g
-
-    batches = max(1, -(-len(unlabelled) // batch))
-    for _ in range(epochs):
-        pos_order, all_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-        for k in range(batches):
-            take_p = [positive[i] for i in pos_order[k::batches]] or [positive[int(rng.integers(len(positive)))]]
-            take_u = [unlabelled[i] for i in all_order[k::batches]]
-            ip, sp = pack(take_p)
-            iu, su = pack(take_u)
-            fp, fu = _sums(ip, sp, w) + w[-1], _sums(iu, su, w) + w[-1]
-            np_, nu = len(take_p), len(take_u)
-            sig_p, sig_u = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-            negative_risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            g_negative = grad(iu, su, sig_u / nu) - prior * grad(ip, sp, sig_p / np_)
-            if negative_risk >= 0:
-                g = g_negative + prior * grad(ip, sp, (sig_p - 1) / np_)
-            else:
-                g = -g_negative
-            g[:-1] += l2 * w[:-1]
-            step += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return g / len(d)
+
+    for step in range(1, steps + 1):
+        fp, fu = _sums(ip, sp, w) + w[-1], _sums(iu, su, w) + w[-1]
+        toxic_p, toxic_u = 1 / (1 + np.exp(-np.clip(fp, -500, 500))), 1 / (1 + np.exp(-np.clip(fu, -500, 500)))
+        g = prior * gradient(ip, sp, toxic_p - 1)
+        if np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() > 0:
+            g += gradient(iu, su, toxic_u) - prior * gradient(ip, sp, toxic_p)
+        g[:-1] += l2 * w[:-1]
+        m = 0.9 * m + 0.1 * g
+        v = 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
-    max_positive: int = 8_000, max_unlabelled: int = 24_000, max_terms: int = 4_096, min_rows: int = 5, min_z: float = 5.0,
-    prior: float | None = None,
+    max_positive: int = 8_000, max_unlabelled: int = 24_000, max_terms: int = 4_096, min_rows: int = 8, min_z: float = 5.0,
+    min_posterior: float = 0.3, prior: float | None = None,
 ) -> Model:
-    """Learn from the rows of ``docs``; only ``labels`` equal to 1 are read as labels (and their share, as prior).
+    """Learn from the rows of ``docs``; only ``labels`` equal to 1 teach.
 
-    The fit sees at most about ``max_positive`` confirmed and ``max_unlabelled`` other texts and keeps ``max_terms`` terms;
+    The class prior is the share of ones among the labelled rows if it is not given. The fit sees at most about ``max_positive`` confirmed and ``max_unlabelled`` other texts and keeps ``max_terms`` terms;
     these bounds hold at any size of the tables. Without positive rows the model scores every text with the prior.
     """
     rows, share = training_rows(docs, labels, text, id_col, label, max_positive, max_unlabelled)
     prior = share if prior is None else prior
-    terms = choose_terms(rows, min_rows, min_z, max_terms)
+    terms = choose_terms(rows, prior, min_rows, min_z, min_posterior, max_terms)
     if not terms:
         return Model({}, float(np.log(prior / (1 - prior))), prior)
     number = {t: i for i, t in enumerate(terms)}
