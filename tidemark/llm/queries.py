@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_dedup, decontaminate, simhash, toxicity
+import corpus_pipeline
+from tidemark.llm import bloom_dedup, decontaminate, pair_bpe, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +55,17 @@ def op2_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     return toxicity.mark_toxic(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_pair_bpe")
+def op5_pair_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = documents(spark, folder).select("doc_id", pair_bpe.digests(F.col("text"), VOCABULARY).alias("d"))
+    return coded.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -113,7 +113,7 @@ def choose_terms(rows: DataFrame, prior: float, min_rows: int, min_z: float, min
     share_p, share_u = col("p") / p, col("u") / u
     pooled = (col("p") + col("u")) / (p + u)
     z = (share_p - share_u) / F.sqrt(pooled * (1 - pooled) * (1 / p + 1 / u) + 1e-12)
-    telling = (col("p") + col("u") >= min_rows) & (prior * share_p >= min_posterior * share_u) & (z >= min_z)
+    telling = (col("p") >= min_rows) & (prior * share_p >= min_posterior * share_u) & (z >= min_z)
     best = sums.withColumn("z", z).filter(telling)
     return [r["term"] for r in best.orderBy(col("z").desc(), "term").limit(max_terms).select("term").collect()]
 
@@ -137,14 +137,15 @@ def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], terms: int, prior: float,
-    steps: int = 400, rate: float = 0.05, l2: float = 1e-5,
+    steps: int = 400, rate: float = 0.05, l2: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with logistic loss. Rows are arrays of term numbers.
 
-    Each step sees all rows, so that the correction of the negative risk is not lost in the noise of small batches.
+    Each step sees all rows, so that the correction of the negative risk is not lost in the noise of small batches. A term
+    never speaks against toxicity, and a text without known terms is no likelier toxic than the prior.
     """
     w = np.zeros(terms + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    w[-1] = ceiling = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     (ip, sp), (iu, su) = _packed(positive), _packed(unlabelled)
 
@@ -162,14 +163,16 @@ def train(
         g[:-1] += l2 * w[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w = w - rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
+        w[-1] = min(w[-1], ceiling)
     return w[:-1], float(w[-1])
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
-    max_positive: int = 8_000, max_unlabelled: int = 24_000, max_terms: int = 4_096, min_rows: int = 8, min_z: float = 5.0,
-    min_posterior: float = 0.3, prior: float | None = None,
+    max_positive: int = 8_000, max_unlabelled: int = 24_000, max_terms: int = 4_096, min_rows: int = 5, min_z: float = 4.0,
+    min_posterior: float = 0.6, prior: float | None = None,
 ) -> Model:
     """Learn from the rows of ``docs``; only ``labels`` equal to 1 teach.
 
