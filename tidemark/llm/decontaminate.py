@@ -27,32 +27,35 @@ UNITS = (
 UNIT_PATTERN = "|".join(UNITS)
 
 
-def _plain(text: Column) -> Column:
-    """Lower case without punctuation; a unit attached to its number is set apart."""
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{Co}\s]+", "")
-    return F.regexp_replace(bare, rf"(?<!\S)(\p{{N}}+)({UNIT_PATTERN})(?!\S)", "$1 $2")
-
-
 def _words(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
+    """Words between single blanks; none for blank text."""
+    trimmed = F.trim(text)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
 
 
-def _clean(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
+def _plain(text: Column) -> Column:
+    """Lower case, one blank for every run of blanks and punctuation. Numbers lose their separators and attached units stand
+    apart. Texts without digits, most of them, skip the passes for numbers."""
+    has_digits = text.rlike(r"[0-9]")
+    joined = F.when(has_digits, F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", "")).otherwise(text)
+    bare = F.regexp_replace(F.lower(joined), r"[^\p{L}\p{N}\p{Co}]+", " ")
+    apart = F.regexp_replace(bare, rf"\b([0-9]+)({UNIT_PATTERN})\b", "$1 $2")
+    return F.when(has_digits, apart).otherwise(bare)
 
 
 def plain_words(text: Column) -> Column:
     """The words of a text in lower case without punctuation, one for each word of :func:`template_words`."""
-    return _words(_plain(_clean(text)))
+    return _words(_plain(F.coalesce(text, F.lit(""))))
 
 
 def template_words(text: Column) -> Column:
     """The words of the template. A capitalised word inside a sentence is a name, digits are a number, and a unit is one
     of UNITS after a number."""
-    named = F.regexp_replace(_clean(text), r"(?<=[^\s.!?:]\s)\p{Lu}[\p{L}]*(?![\p{L}\p{N}])", NAME)
-    numbered = F.regexp_replace(_plain(named), r"(?<!\S)\p{N}+(?!\S)", NUMBER)
-    return _words(F.regexp_replace(numbered, rf"(?<={NUMBER}\s{{1,3}})(?:{UNIT_PATTERN})(?!\S)", UNIT))
+    filled = F.coalesce(text, F.lit(""))
+    plain = _plain(F.regexp_replace(filled, r"\p{Lu}(?<=[^\s.!?:]\s\p{Lu})\p{L}*+(?!\p{N})", NAME))
+    numbered = F.regexp_replace(plain, r"(?<![^ ])[0-9]+(?![^ ])", NUMBER)
+    typed = F.regexp_replace(numbered, rf"(?<={NUMBER} )(?:{UNIT_PATTERN})(?![^ ])", UNIT)
+    return _words(F.when(filled.rlike(r"[0-9]"), typed).otherwise(plain))
 
 
 def _window(words: Column, start: Column, width: Column) -> Column:
@@ -108,6 +111,7 @@ def leaks(
     coverage: float = 0.8,
     min_literals: int = 3,
     broadcast_windows: int = 2_000_000,
+    broadcast_keys: int = 500_000,
 ) -> DataFrame:
     """(key, item, coverage, shift, slots): the items that a text holds; ``key`` is the MD5 of the text (null is empty).
 
@@ -116,7 +120,8 @@ def leaks(
     somewhere (an edit inside costs four windows at least), and one of four starts on the stride. Shorter items meet
     all windows of their length. Items without words, or without a window of ``min_literals`` literal words (all words, if
     the item has fewer), cannot be told from chance and are not searched. Equal texts are examined once.
-    Windows of items are broadcast up to ``broadcast_windows`` rows of 16 bytes; above it the join shuffles.
+    Windows of items are broadcast up to ``broadcast_windows`` rows of 16 bytes, and the keys of texts that share one up to
+    ``broadcast_keys`` rows of 32 bytes; above these bounds the joins shuffle, with the same result.
     """
     wanted = cut_lineage(item_windows(items, item_text, item_id, width, stride, min_literals))
     flat = cut_lineage(wanted.select("item", "w", F.explode("wins.h").alias("h")).distinct())
@@ -135,7 +140,9 @@ def leaks(
     seen = keyed.select("key", F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
     pairs = cut_lineage(seen.join(probe, ["w", "h"]).select("key", "item").distinct())
 
-    texts = base.withColumn("key", F.md5(col("text").cast("binary"))).join(pairs.select("key").distinct(), "key", "left_semi")
+    keys = cut_lineage(pairs.select("key").distinct())
+    keys = F.broadcast(keys) if keys.count() <= broadcast_keys else keys
+    texts = base.withColumn("key", F.md5(col("text").cast("binary"))).join(keys, "key", "left_semi")
     texts = texts.dropDuplicates(["key"]).select("key", template_words(col("text")).alias("td"), plain_words(col("text")).alias("rd"))
     both = texts.join(pairs, "key").join(wanted, "item").withColumn("m", _matches())
     shifts = both.withColumn("s", F.array_distinct(F.transform("m", lambda x: x["shift"])))
@@ -161,7 +168,7 @@ def leaks(
     )
 
 
-def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
+def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str] | None = None, broadcast_found: int = 500_000, **options) -> DataFrame:
     """A row for each row of ``docs`` and item that it holds: its columns, ``item_id``, ``coverage`` (share of the item's windows),
     ``shift`` (word of the text at which the item would start) and ``slots`` (distinct slot values that were compared).
 
@@ -170,14 +177,16 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", carry: lis
     """
     columns = docs.columns if carry is None else carry
     found = cut_lineage(leaks(docs, items, text, **options))
+    found = F.broadcast(found) if found.count() <= broadcast_found else found
     rows = docs.select(record(docs, columns), F.md5(F.coalesce(col(text), F.lit("")).cast("binary")).alias("key"))
     return unpack(
         rows.join(found, "key"), columns, item_id=col("item"), coverage=col("coverage"), shift=col("shift"), slots=col("slots")
     )
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", broadcast_found: int = 500_000, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged. All rows stay when there are no items."""
     found = cut_lineage(leaks(docs, items, text, **options).select("key").distinct())
+    found = F.broadcast(found) if found.count() <= broadcast_found else found
     rows = docs.select(record(docs), F.md5(F.coalesce(col(text), F.lit("")).cast("binary")).alias("key"))
     return unpack(rows.join(found, "key", "left_anti"), docs.columns)
