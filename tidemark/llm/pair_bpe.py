@@ -115,6 +115,10 @@ class Vocabulary:
         self.last = [self.ids.get(c + self.suffix) for c in alphabet]
         self.tokens: dict[int, str] = {i: t for t, i in (self.ids | self.special).items()}
 
+    @property
+    def size(self) -> int:
+        return max(self.tokens, default=0) + 1
+
     def symbols(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
         out = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]

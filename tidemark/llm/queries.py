@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, decontaminate, pair_bpe, simhash, toxicity
+from tidemark.llm import bloom_dedup, decontaminate, packed_ids, pair_bpe, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op5_pair_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+@query("op7_packed_ids")
+def op7_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return packed_ids.round_trip(docs, VOCABULARY, pair_bpe.vocabulary(VOCABULARY).size)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
