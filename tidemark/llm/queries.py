@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, decontaminate, packed_ids, pair_bpe, simhash, toxicity
+from tidemark.llm import bloom_dedup, decontaminate, gam, packed_ids, pair_bpe, secrets, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,18 @@ def op7_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     return packed_ids.round_trip(docs, VOCABULARY, pair_bpe.vocabulary(VOCABULARY).size)
 
 
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = documents(spark, folder).select("doc_id", secrets.summary(F.col("text")).alias("s"))
+    return found.select("doc_id", "s.n_assign", "s.n_access", "s.n_hex", "s.base_sha256", "s.spans", "s.n_entropy")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return gam.mark_quality(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
