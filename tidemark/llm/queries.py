@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, decontaminate, gam, packed_ids, pair_bpe, secrets, simhash, toxicity
+from tidemark.llm import bloom_dedup, decontaminate, gam, label_shards, packed_ids, pair_bpe, secrets, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,12 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return gam.mark_quality(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op9_label_shards")
+def op9_label_shards(spark: SparkSession, folder: str) -> DataFrame:
+    placed = label_shards.assign(documents(spark, folder), carry=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
