@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, decontaminate, gam, label_shards, packed_ids, pair_bpe, secrets, simhash, toxicity
+from tidemark.llm import bloom_dedup, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, secrets, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op9_label_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op3_bloom_lm")
+def op3_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ngram_lm.score_texts(documents(spark, folder), carry=["doc_id"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
