@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import labels as LB
+from tidemark.operators import spectral as SP
 from tidemark.sources import labels as SL
 from tidemark.sources import scenes as SS
 from tidemark.streaming import labels as ST
@@ -100,6 +101,9 @@ def test_spectral_library(spark, tmp_path):
     got = {r.material: list(r.spec) for r in SS.build_spectral_library(spark, str(tmp_path)).collect()}
     assert got["concrete/cement"] == [0.03, 0.02, 0.01, 0.07, 0.04, 0.05, 0.06, 0.08, 0.11, 0.12, 0.0, 0.09]
     assert got["rust (hematite-type)"][10] is None and len(got) == 2
+    library = SS.build_spectral_library(spark, str(tmp_path))
+    best = SP.best_two(library.filter("material = 'concrete/cement'").select("sample", "spec"), library).first()["match"]
+    assert (best.material, best.category) == ("concrete/cement", "vessel") and best.angle == pytest.approx(0, abs=1e-6)
 
 
 def test_chip_store(spark, tmp_path):
@@ -114,17 +118,22 @@ def test_stream(spark, tmp_path):
     log, table = tmp_path / "log", str(tmp_path / "table")
     log.mkdir()
     undated = {k: v for k, v in review(4, "cloud", extra={"note": "x"}).items() if k != "reviewed_at"}
+    run = lambda: ST.run_curation(spark, str(log), table, str(tmp_path / "cp")).awaitTermination(120)
     write(log / "1.json", review(1, "vessel"), "{broken", review(2, "not_vessel"))
-    ST.run_curation(spark, str(log), table, str(tmp_path / "cp")).awaitTermination(120)
-    write(log / "2.json", review(2, "water"), review(3, "land"), undated)
-    ST.run_curation(spark, str(log), table, str(tmp_path / "cp")).awaitTermination(120)
+    run()
+    old = review(3, "land") | {"reviewed_at": "2001-05-01T00:00:00+00:00"}
+    write(log / "2.json", review(2, "land"), old, undated, undated)
+    run()
+    write(log / "3.json", review(5, "vessel"), review(1, "cloud"), review(6, "water") | {"reviewed_at": "no time"})
+    run()
     rows = spark.read.parquet(table).collect()
-    assert sorted((r.id, r.review_category) for r in rows) == [("r1", "vessel"), ("r2", "water"), ("r3", "land"), ("r4", "cloud")]
+    assert sorted((r.id, r.review_category) for r in rows) == [
+        ("r1", "vessel"), ("r2", "water"), ("r3", "land"), ("r4", "cloud"), ("r5", "vessel"), ("r6", "water")]
     assert json.loads(next(r.extra for r in rows if r.id == "r4")) == {"note": "x"}
     q = ST.running_counts(ST.stream_labels(spark, str(log))).writeStream.format("memory").queryName("running").outputMode("update")
     q = q.trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert max(r.total for r in spark.table("running").collect()) == 4
+    assert max(r.total for r in spark.table("running").collect()) == 9
 
 
 def test_versions(spark, tmp_path):

@@ -115,20 +115,6 @@ def test_mask_measure(spark):
     assert H.add_oriented_size(s.withColumn("polygon", F.array(pt(0.0, 0.0), pt(1.0, 0.0)))).first().length_m is None
 
 
-def test_blob_and_mask(spark):
-    grey = np.full((64, 64), 10.0)
-    grey[28:34, 18:46] = 200.0
-    q = SH.bright_blob_quad(grey, 31.0, 30.0, 10.0)
-    assert np.ptp(q[:, 0]) == pytest.approx(31, abs=0.6) and np.ptp(q[:, 1]) == pytest.approx(9, abs=0.6)
-    assert SH.bright_blob_quad(np.full((4, 4), 1.0), 1, 1, None) is None
-    mask = np.zeros((20, 20), dtype=bool)
-    mask[3:9, 4:16] = True
-    mask[15, 15] = True
-    blob = SH.largest_blob(mask)
-    assert len(blob) == 72 and blob[:, 0].min() == 4
-    assert SH.largest_blob(np.eye(3, dtype=bool)) is None
-
-
 @pytest.mark.parametrize("dx,dy", [(3, 2), (-4, 1), (0, 5)])
 def test_planted_shift(spark, dx, dy):
     rng = np.random.default_rng(3)
@@ -226,12 +212,16 @@ def test_exact_quantiles(spark):
     rng = np.random.default_rng(7)
     values = np.concatenate([rng.normal(size=3000) * 10, np.full(2500, 1.25), rng.exponential(size=3000) * 1e6])
     df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "x double")
-    small = Q.SMALL
-    try:
-        for limit in (10, 100000):
-            Q.SMALL = limit
-            got = Q.exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.77, 1.0])
-            assert got == pytest.approx(np.quantile(values, [0.0, 0.1, 0.5, 0.77, 1.0]).tolist())
-    finally:
-        Q.SMALL = small
+    got = Q.exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.77, 1.0])
+    assert got == pytest.approx(np.quantile(values, [0.0, 0.1, 0.5, 0.77, 1.0]).tolist())
     assert Q.exact_quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_quantiles_with_infinities_and_close_values(spark):
+    from tidemark.operators.quantiles import exact_quantiles
+
+    of = lambda values, q: exact_quantiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", q)
+    assert of([float(i) for i in range(2000)] + [float("inf")], [0.5, 1.0]) == [1000.0, float("inf")]
+    assert of([float("-inf"), 1.0, 2.0, float("inf"), float("nan"), None], [0.0, 0.5, 1.0]) == [float("-inf"), 1.5, float("inf")]
+    assert of([1.0, 1.0 + 2**-52, 1.0, 1e308, -1e308], [0.5, 0.75]) == [1.0, 1.0 + 2**-52]
+    assert of([], [0.5]) == [None]

@@ -168,81 +168,3 @@ def convex_iou(a, b) -> float | None:
     inter = abs(polygon_area(part)) if len(part) > 2 else 0.0
     union = abs(polygon_area(a)) + abs(polygon_area(b)) - inter
     return None if union < 1e-12 else inter / union
-
-
-def component(mask: np.ndarray, r: int, c: int, diagonal: bool = False) -> np.ndarray:
-    """Pixels connected to (r, c) in a mask, by growing a front one step at a time."""
-    seen = np.zeros_like(mask, dtype=bool)
-    seen[r, c] = mask[r, c]
-    front = seen.copy()
-    while front.any():
-        f = np.pad(front, 1)
-        near = f[:-2, 1:-1] | f[2:, 1:-1] | f[1:-1, :-2] | f[1:-1, 2:]
-        if diagonal:
-            near = near | f[:-2, :-2] | f[:-2, 2:] | f[2:, :-2] | f[2:, 2:]
-        front = near & mask & ~seen
-        seen |= front
-    return seen
-
-
-def largest_blob(mask: np.ndarray):
-    """Largest blob of a mask by outline area, as pixel coordinates (x, y); None below four square pixels.
-
-    The outline runs through pixel centres, so its area follows from the pixels inside and on it.
-    """
-    left, best, best_area = mask.astype(bool).copy(), None, -1.0
-    while left.any():
-        r, c = np.argwhere(left)[0]
-        blob = component(left, int(r), int(c), diagonal=True)
-        left &= ~blob
-        outside = np.pad(~blob, 1, constant_values=True)
-        hole_free = ~component(outside, 0, 0)[1:-1, 1:-1]
-        f = np.pad(hole_free, 1)
-        inner = hole_free & f[:-2, 1:-1] & f[2:, 1:-1] & f[1:-1, :-2] & f[1:-1, 2:]
-        rim = int((hole_free & ~inner).sum())
-        area = hole_free.sum() - rim / 2 - 1
-        if area > best_area:
-            best, best_area = hole_free, area
-    if best is None or best_area < 4:
-        return None
-    ys, xs = np.nonzero(best)
-    return np.column_stack([xs, ys]).astype(float)
-
-
-def bright_blob_quad(grey: np.ndarray, x: float, y: float, gsd: float | None, max_side_m: float = 600.0):
-    """Rectangle along the principal axis of the bright blob at (x, y), corners by angle; None if unclear."""
-    h, w = grey.shape
-    if h < 5 or w < 5:
-        return None
-    c, r = int(np.clip(round(x), 0, w - 1)), int(np.clip(round(y), 0, h - 1))
-    here = float(grey[r, c])
-    mask = grey >= max(float(np.percentile(grey, 88)), 0.88 * here)
-    if not mask.any():
-        return None
-    if mask[r, c]:
-        blob = component(mask, r, c)
-    else:
-        ys, xs = np.nonzero(mask)
-        i = int(np.argmin((xs - x) ** 2 + (ys - y) ** 2))
-        blob = component(mask, int(ys[i]), int(xs[i]))
-    if blob.sum() < 12:
-        wider = grey >= max(float(np.percentile(grey, 75)), 0.82 * here)
-        if wider[r, c]:
-            blob = component(wider, r, c)
-        if blob.sum() < 8:
-            return None
-    ys, xs = np.nonzero(blob)
-    p = np.column_stack([xs, ys]).astype(float)
-    mid = p.mean(axis=0)
-    values, vectors = np.linalg.eigh(np.cov((p - mid).T))
-    if (values <= 1e-12).any():
-        return None
-    major, minor = vectors[:, 1], vectors[:, 0]
-    half = [max(np.ptp((p - mid) @ d) / 2 + 2.0, floor) for d, floor in ((major, 3.0), (minor, 2.0))]
-    if gsd and gsd > 0 and max_side_m > 0:
-        longest = 2 * max(half) * gsd
-        if longest > max_side_m:
-            half = [v * max_side_m / longest for v in half]
-    a, b = half[0] * major, half[1] * minor
-    quad = by_angle(np.array([mid - a - b, mid + a - b, mid + a + b, mid - a + b]))
-    return np.clip(quad, 0.0, [w - 1.0, h - 1.0])

@@ -52,16 +52,11 @@ def add_picks(
     ).drop("_labelled", "_pending")
 
 
-def queue_pool(k: int) -> int:
-    """Detections to fetch so that K stay after filtering."""
-    return max(400, min(128, max(32, 6 * k)))
-
-
 def review_queue(
-    dets: DataFrame, labels: DataFrame, pending: DataFrame | None = None, *, k: int | None = 15,
+    dets: DataFrame, labels: DataFrame, pending: DataFrame | None = None, *, k: int | None = None,
     tol: float = 2.0, image: str = "scene", id_col: str = "det_id",
 ) -> DataFrame:
-    """Queue per scene: unlabelled manual picks, then detections, near-equal ones once, ``k`` automatic.
+    """Queue per scene: unlabelled manual picks, then detections, near-equal ones once, at most ``k`` automatic.
 
     Detections come by score descending, then id, numbered by ``rank`` from 1; manual picks have no rank
     and come first. Only the automatic part is ranked, so the limit cuts rows before the shuffle.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,38 +82,6 @@ def landmark_pair(landmarks) -> tuple[Column, Column]:
     return F.get(col(landmarks), 0), F.get(col(landmarks), 1)
 
 
-def add_mask_rectangle(df: DataFrame, name: str = "polygon", threshold: float = 0.45, gsd_m: float = 10.0,
-                       max_side_m: float = 500.0) -> DataFrame:
-    """Add the rectangle around the largest blob of a mask (``mask`` row-major, ``mask_h``, ``mask_w``).
-
-    Null without a blob of four square pixels and for boxes longer than a ship can be.
-    """
-    import pandas as pd
-
-    def batch(mask: pd.Series, h: pd.Series, w: pd.Series, c0: pd.Series, r0: pd.Series, tw: pd.Series, th: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        from tidemark.functions import shapes as SH
-
-        quads = []
-        for m, hh, ww, x0, y0, cw, ch in zip(mask, h, w, c0, r0, tw, th):
-            pts = None if m is None else SH.largest_blob(np.asarray(m, dtype=float).reshape(hh, ww) >= threshold)
-            found = None if pts is None else SH.smallest_rectangle(pts)
-            if found is None:
-                quads.append(None)
-                continue
-            corners = found[0]
-            sides = np.hypot(*(corners[1] - corners[0])), np.hypot(*(corners[3] - corners[0]))
-            sx, sy = cw / ww, ch / hh
-            fits = max(sides[0] * sx, sides[1] * sy) * gsd_m <= max_side_m
-            quads.append([(x0 + u * sx, y0 + v * sy) for u, v in corners] if fits else None)
-        return H._quads_frame(quads)
-
-    batch.__annotations__ = {c: pd.Series for c in ("mask", "h", "w", "c0", "r0", "tw", "th")} | {"return": pd.DataFrame}
-    found = F.pandas_udf(batch, H._COORDINATES)("mask", "mask_h", "mask_w", "col0", "row0", "tile_w", "tile_h")
-    return pin(df.withColumn("_qxy", found), "_qxy").withColumn(name, H._points("_qxy")).drop("_qxy")
-
-
 def with_boxes(dets: DataFrame, polygon: str | None = "polygon") -> DataFrame:
     """Add x1, y1, x2, y2: bounds of the hull polygon, else the tile's rectangle."""
     chip = F.struct(
@@ -136,14 +102,16 @@ def suppress(dets: DataFrame, iou: float = 0.45, *, image: str = "scene", score:
     )
 
 
-def finalise(dets: DataFrame, land: DataFrame | None = None, *, cap: int = 500, threshold: float = 0.05, image: str = "scene",
+def finalise(dets: DataFrame, land: DataFrame | None = None, *, cap: int | None = None, threshold: float = 0.05, image: str = "scene",
              key: str = "det_id", polygon: str | None = None) -> DataFrame:
-    """Best ``cap`` detections per scene above the threshold, at their hull centre, off land.
+    """Detections above the threshold with their rank in the scene, at their hull centre, off land.
 
-    The limit is the scene pipeline's own setting. ``land`` has (image, r, c, land).
+    ``cap`` keeps the best so many of each scene, if the caller asks for it. ``land`` has (image, r, c, land).
     """
     w = W.partitionBy(image).orderBy(F.col("score").desc(), key)
-    top = dets.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).filter(F.col("score") >= threshold)
+    top = dets.withColumn("rank", F.row_number().over(w)).filter(F.col("score") >= threshold)
+    if cap is not None:
+        top = top.filter(F.col("rank") <= cap)
     if polygon is not None:
         at = G.polygon_centroid(polygon)
         has = F.coalesce(F.size(polygon) >= 3, F.lit(False))
@@ -199,20 +167,6 @@ def shown_heading(fused="fused_deg", source="fused_source", axis="hull_axis_deg"
     return F.coalesce(first, finite(col(marker)))
 
 
-def score_chips(chips: DataFrame, make_predict: Callable, *, inputs: list[str], return_type, shapes=None,
-                batch_size: int = 6, name: str = "heads") -> DataFrame:
-    """Score chips with the caller's model; it is loaded once per worker and fed batches of 1 to 32.
-
-    ``make_predict`` returns a function from input arrays to output arrays, as Spark's batch-inference
-    helper expects.
-    """
-    from pyspark.ml.functions import predict_batch_udf
-
-    size = max(1, min(32, int(batch_size)))
-    fn = predict_batch_udf(make_predict, return_type=return_type, batch_size=size, input_tensor_shapes=shapes)
-    return chips.withColumn(name, fn(*inputs))
-
-
 def tiles_to_scan(scenes: DataFrame, land: DataFrame | None, classes: DataFrame | None, settings: DetectSettings,
                   luma: DataFrame | None = None) -> DataFrame:
     """Tiles worth scoring, with the reason for each that is not: scene, row0, col0, w, h, skipped.

@@ -54,13 +54,6 @@ def geometry_truth(labels: DataFrame, scenes: DataFrame) -> DataFrame:
     )
 
 
-def first_spots(truth: DataFrame, max_spots: int | None) -> DataFrame:
-    """The first spots in log order, when a report asks for a limit."""
-    if max_spots is None:
-        return truth
-    return truth.orderBy("reviewed_at", "id").limit(max(0, max_spots))
-
-
 def spot_errors(truth: DataFrame, preds: DataFrame) -> DataFrame:
     """One row per spot with every error that can be measured; null where either side is missing."""
     j = truth.join(preds, "id", "left")
@@ -129,10 +122,9 @@ def labelled_with_skips(labels: DataFrame, scenes: DataFrame) -> DataFrame:
 
 def evaluate(
     labels: DataFrame, scenes: DataFrame, preds: DataFrame, ious: DataFrame | None = None,
-    max_spots: int | None = None,
 ) -> DataFrame:
     """Full report as one row; ``ious`` (id, iou) adds the outline overlap."""
-    errors = spot_errors(first_spots(geometry_truth(labels, scenes), max_spots), preds)
+    errors = spot_errors(geometry_truth(labels, scenes), preds)
     if ious is not None:
         errors = errors.join(ious.select("id", "iou"), "id", "left")
     kp, n_kp = _better("keypoint_err")
@@ -173,8 +165,8 @@ def performance_summary(labels: DataFrame, scenes: DataFrame, preds: DataFrame,
     return spots.crossJoin(f1).crossJoin(r)
 
 
-def aspect_summary(labels: DataFrame, limit: int | None = 2000) -> DataFrame:
-    """Spread of stored hull ratios of vessel rows; the report's own limit takes the first in log order."""
+def aspect_summary(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Spread of stored hull ratios of vessel rows; ``limit`` takes the first in log order."""
     rows = labels.filter((F.col("review_category") == "vessel") & F.col("hull_aspect_ratio").isNotNull())
     if limit is not None:
         rows = rows.orderBy("reviewed_at", "id").limit(limit)

@@ -316,30 +316,6 @@ def add_heading_truth(df: DataFrame, markers: str = "markers", chip_half: int |
 
 # ---------------------------------------------------------------- outlines from pixels
 
-def add_blob_quad(df: DataFrame, name: str = "blob_quad") -> DataFrame:
-    """Add the outline of the bright blob at the chip position (px, py).
-
-    Chips are rows with ``red, green, blue`` (row-major arrays), ``h``, ``w`` and ``gsd_m``.
-    """
-    import pandas as pd
-
-    def batch(red: pd.Series, green: pd.Series, blue: pd.Series, h: pd.Series, w: pd.Series, x: pd.Series,
-              y: pd.Series, g: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        from tidemark.functions import shapes as S
-
-        quads = []
-        for r, gr, b, hh, ww, px, py, gsd in zip(red, green, blue, h, w, x, y, g):
-            grey = 0.299 * np.asarray(r) + 0.587 * np.asarray(gr) + 0.114 * np.asarray(b)
-            quads.append(S.bright_blob_quad(grey.reshape(hh, ww), px, py, gsd))
-        return _quads_frame(quads)
-
-    batch.__annotations__ = {c: pd.Series for c in ("red", "green", "blue", "h", "w", "x", "y", "g")} | {"return": pd.DataFrame}
-    found = F.pandas_udf(batch, _COORDINATES)("red", "green", "blue", "h", "w", "px", "py", "gsd_m")
-    return pin(df.withColumn("_qxy", found), "_qxy").withColumn(name, _points("_qxy")).drop("_qxy")
-
-
 def outline_centres(df: DataFrame) -> DataFrame:
     """Centre of the outline box per row: markers, manual quad, bright blob, else a square box.
 

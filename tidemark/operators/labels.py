@@ -239,11 +239,10 @@ def job_counts(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def vessel_report(df: DataFrame, scenes: DataFrame, max_rows: int | None = 10) -> DataFrame:
+def vessel_report(df: DataFrame, scenes: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Manifest of exportable vessels: place, time, both hulls with their errors, flags.
 
-    ``scenes`` must carry the georeference columns. The row limit is the report's own page size,
-    taken in log order.
+    ``scenes`` must carry the georeference columns. ``max_rows`` takes a page in log order.
     """
     from tidemark.functions import geo as G
 

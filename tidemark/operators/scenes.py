@@ -12,12 +12,11 @@ from tidemark.functions import names as N
 from tidemark.operators import labels as LB
 
 MIN_OCEAN_SCORE = 0.18
-MAX_PREVIEWS = 25
 
 
 def catalog_search(
     items: DataFrame, bbox: tuple[float, float, float, float], start: str, end: str,
-    max_cloud: float | None = 30.0, limit: int | None = 15, collection: str = "sentinel-2-l2a",
+    max_cloud: float | None = 30.0, limit: int | None = None, collection: str = "sentinel-2-l2a",
 ) -> DataFrame:
     """Items of a collection whose box meets ``bbox`` (west, south, east, north) within a time range."""
     w, s, e, n = bbox
@@ -38,12 +37,14 @@ def catalog_get(items: DataFrame, ids: DataFrame | str) -> DataFrame:
     return items.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def first_ocean_item(items: DataFrame, group: str, min_score: float = MIN_OCEAN_SCORE, max_try: int = MAX_PREVIEWS) -> DataFrame:
-    """Per search, the first item whose preview looks like ocean among the first ``max_try`` results.
+def first_ocean_item(items: DataFrame, group: str, min_score: float = MIN_OCEAN_SCORE, max_try: int | None = None) -> DataFrame:
+    """Per search, the first item whose preview looks like ocean among all results or the first ``max_try``.
 
     ``rank`` numbers the results of a search; items without a preview use up a try but never win.
     """
-    good = items.filter((F.col("rank") <= max_try) & F.col("has_thumbnail") & (F.col("ocean_score") >= min_score))
+    good = items.filter(F.col("has_thumbnail") & (F.col("ocean_score") >= min_score))
+    if max_try is not None:
+        good = good.filter(F.col("rank") <= max_try)
     return good.groupBy(group).agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))
 
 

@@ -17,7 +17,6 @@ from tidemark.functions.labels import col
 
 EPS = 1e-6
 MASK = 0.3
-MAX_LITERAL_ROWS = 128
 MAX_LIBRARY_ROWS = 20000
 
 # Fixed material names used by the index rules.
@@ -61,24 +60,19 @@ def spectral_angle(a, b) -> Column:
 
 
 def _with_references(df: DataFrame, library: DataFrame) -> DataFrame:
-    """Add the whole library as one array column ``_refs``.
+    """Add the whole library as one array column ``_refs``, in the order of ``pos``; null bands count as 0.
 
-    A library is a few dozen rows, so it is read once and becomes a literal. One of some thousand rows is
-    folded into a single broadcast row instead; beyond ``MAX_LIBRARY_ROWS`` it is refused.
+    The library becomes one row in the plan, which meets every row of ``df`` by a join on a constant. Its size is checked where it is made:
+    more than ``MAX_LIBRARY_ROWS`` rows end the job.
     """
-    rows = library.orderBy("pos").limit(MAX_LIBRARY_ROWS + 1).collect()
-    if len(rows) > MAX_LIBRARY_ROWS:
-        raise ValueError(f"spectral library has more than {MAX_LIBRARY_ROWS} rows")
-    if len(rows) <= MAX_LITERAL_ROWS:
-        lit = lambda r: F.struct(
-            F.lit(int(r["pos"])).alias("pos"), F.lit(r["material"]).alias("material"),
-            F.lit(r["category"]).alias("category"), F.array(*[F.lit(float(x)) for x in r["spec"]]).alias("ref"),
-            F.lit(max(math.sqrt(sum(float(x) ** 2 for x in r["spec"])), 1e-9)).alias("norm"),
-        )
-        return df.withColumn("_refs", F.array(*[lit(r) for r in rows]))
-    one = library.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("pos").cast("int").alias("pos"), "material", "category", F.col("spec").alias("ref"), _norm(F.col("spec")).alias("norm")
-    ))).alias("_refs"), F.lit(1).alias("_one"))
+    spec = F.transform("spec", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    refs = F.array_sort(F.collect_list(F.struct(
+        F.col("pos").cast("int").alias("pos"), "material", "category", spec.alias("ref"), _norm(spec).alias("norm")
+    )))
+    checked = F.when(F.count("*") <= MAX_LIBRARY_ROWS, refs).otherwise(
+        F.raise_error(F.lit(f"spectral library has more than {MAX_LIBRARY_ROWS} rows"))
+    )
+    one = library.agg(checked.alias("_refs")).withColumn("_one", F.lit(1))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 

@@ -189,7 +189,7 @@ def self_training_trust(prob="prob", doubt="model_u", export="export_uncertainty
     return base * F.greatest(F.lit(0.42), 1.0 - 0.35 * e)
 
 
-def self_training_batch(chips: DataFrame, min_prob: float = 0.7, max_doubt: float = 0.62, scan: int | None = 192,
+def self_training_batch(chips: DataFrame, min_prob: float = 0.7, max_doubt: float = 0.62, scan: int | None = None,
                         take: int | None = None, seed: int | None = None, key: str = "id") -> DataFrame:
     """Chips for a self-training step: a seeded scan, two gates, then the most trusted ones.
 

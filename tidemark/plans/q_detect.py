@@ -46,15 +46,6 @@ def _(v):
     return rounded(t.select("chip_id", F.posexplode("lm").alias("band", "p")).select("chip_id", "band", "p.*"))
 
 
-@query("k3_mask_rectangle")
-def _(v):
-    c = P.stack_bands(v.pixels)
-    m = c.select("chip_id", F.transform(F.get("bands", 0), lambda x: x * 4).alias("mask"), F.col("h").alias("mask_h"), F.col("w").alias("mask_w"),
-                 F.lit(0).alias("col0"), F.lit(0).alias("row0"), F.lit(32).alias("tile_w"), F.lit(32).alias("tile_h"))
-    p = D.add_mask_rectangle(m).select("chip_id", F.posexplode_outer("polygon").alias("i", "p"))
-    return rounded(p.select("chip_id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
-
-
 def boxed(v):
     x, y, w, h = (F.col(c) for c in ("cx", "cy", "w", "h"))
     return v.dets.withColumns({"x1": x - w / 2, "y1": y - h / 2, "x2": x + w / 2, "y2": y + h / 2})
@@ -76,10 +67,10 @@ def _(v):
 @query("k5_finalise", f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, det_id)::int AS rank FROM v_dets),
 land AS (SELECT scene, r, c FROM v_mosaic WHERE ({LAND}) = 1)
-SELECT det_id, scene, rank FROM r WHERE rank <= 200 AND score >= 0.5 AND NOT EXISTS (SELECT 1 FROM land l WHERE l.scene = r.scene AND l.r = round_even(((cy - h / 2) + (cy + h / 2)) / 2, 0) AND l.c = round_even(((cx - w / 2) + (cx + w / 2)) / 2, 0))""")
+SELECT det_id, scene, rank FROM r WHERE score >= 0.5 AND NOT EXISTS (SELECT 1 FROM land l WHERE l.scene = r.scene AND l.r = round_even(((cy - h / 2) + (cy + h / 2)) / 2, 0) AND l.c = round_even(((cx - w / 2) + (cx + w / 2)) / 2, 0))""")
 def _(v):
     land = v.mosaic.select("scene", "r", "c", P.is_land("occurrence").alias("land"))
-    return D.finalise(boxed(v), land, cap=200, threshold=0.5).select("det_id", "scene", "rank")
+    return D.finalise(boxed(v), land, threshold=0.5).select("det_id", "scene", "rank")
 
 
 FUSE = """x AS (SELECT id, CASE WHEN n % 4 = 1 THEN heading_keypoint_deg END AS k, CASE WHEN n % 7 <> 2 THEN ((n * 29) % 360)::double END AS a, CASE WHEN n % 3 = 0 THEN heading_wake_deg END AS w,
@@ -118,7 +109,7 @@ def _(v):
     return d.select("id", D.shown_heading().alias("shown_deg"))
 
 
-SETTINGS = DetectSettings(chip_half=320, max_detections=300, threshold=0.05)
+SETTINGS = DetectSettings(chip_half=320, threshold=0.05)
 
 
 def land_mask(v):
@@ -145,7 +136,7 @@ def _(v):
 
 
 @query("k8_scene_counters", f"""
-WITH {MOSAIC_TILES}, d AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, det_id) AS rank FROM v_dets QUALIFY rank <= 300),
+WITH {MOSAIC_TILES}, d AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, det_id) AS rank FROM v_dets),
 f AS (SELECT det_id, scene, ((cx - w / 2) + (cx + w / 2)) / 2 AS x, ((cy - h / 2) + (cy + h / 2)) / 2 AS y FROM d WHERE score >= 0.05),
 n AS (SELECT scene, count(*) AS detections, count(*) FILTER (EXISTS (SELECT 1 FROM v_labels l WHERE review_category = 'land' AND regexp_replace(tci_path, '^.*[/\\\\]', '') = f.scene
   AND (x - cx_full) * (x - cx_full) + (y - cy_full) * (y - cy_full) <= 1024)) AS land_review_rejected FROM f GROUP BY scene)
@@ -154,7 +145,7 @@ SELECT t.scene, count(*) AS tiles, count(*) FILTER (land >= 1) AS land_skipped,
 def _(v):
     s = v.mosaic.groupBy("scene").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
     t = D.tiles_to_scan(s, land_mask(v), None, DetectSettings(chip_half=8, block=16))
-    found = D.finalise(boxed(v), cap=300)
+    found = D.finalise(boxed(v))
     return D.scene_counters(t, found, C.drop_reviewed_land(found, v.labels))
 
 
@@ -167,17 +158,3 @@ def _(v):
     parts = {"geometry": fusion_input(v), "scores": v.preds.select("id", "confidence", "length_m", "width_m")}
     r = D.spot_records(spots, parts)
     return r.select("id", "det_fused_deg", "det_fused_source", "det_confidence", "det_hull_axis_alt_deg", "det_chroma_agrees")
-
-
-@query("k10_score_chips")
-def _(v):
-    from pyspark.sql import types as T
-
-    def make():
-        def predict(x):
-            return x.mean(axis=1)
-        return predict
-
-    c = P.stack_bands(v.pixels).select("chip_id", F.get("bands", 0).cast("array<float>").alias("x"))
-    out = D.score_chips(c, make, inputs=["x"], return_type=T.FloatType(), shapes=[[64]], batch_size=6, name="score")
-    return out.select("chip_id", F.round(F.col("score").cast("double"), 5).alias("score"))

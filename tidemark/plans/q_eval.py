@@ -113,7 +113,7 @@ SELECT count(q) AS n, round(avg(q), 6) AS mean, round(quantile_cont(q, 0.5), 6)
  round(quantile_cont(q, 0.9), 6) AS p90 FROM r""")
 def _(v):
     rows = v.labels.withColumn("hull_aspect_ratio", L.hull_aspect()["ratio"])
-    return rounded(E.aspect_summary(rows, limit=None))
+    return rounded(E.aspect_summary(rows))
 
 
 @query("a13_metrics_json")

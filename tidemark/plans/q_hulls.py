@@ -150,26 +150,20 @@ def _(v):
     return rounded(H.add_polygon_iou(d, "pa", "pb").select("det_id", "iou"))
 
 
-def rgb_chips(v):
-    from tidemark.operators import pixels as P
-
-    c = P.stack_bands(v.pixels)
-    return c.select("chip_id", "h", "w", *[F.transform(F.get("bands", i), lambda x: x * 255).alias(n) for i, n in enumerate(("red", "green", "blue"))],
-                    F.lit(3.6).alias("px"), F.lit(4.2).alias("py"), F.lit(10.0).alias("gsd_m"))
-
-
-@query("g19_blob_outline")
-def _(v):
-    b = H.add_blob_quad(rgb_chips(v)).select("chip_id", F.posexplode_outer("blob_quad").alias("i", "p"))
-    return rounded(b.select("chip_id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
-
-
-@query("g20_outline_centres")
+@query("g20_outline_centres", """
+SELECT det_id, CASE det_id % 4 WHEN 0 THEN 'markers' WHEN 1 THEN 'manual' WHEN 2 THEN 'pca' ELSE 'fallback' END AS outline_source,
+ CASE WHEN det_id % 4 = 3 THEN (greatest(0, least(47, 30.0 - 4)) + greatest(0, least(47, 30.0 + 4))) / 2 ELSE 10 + w / 2 END + cx AS cx_new,
+ CASE WHEN det_id % 4 = 3 THEN (greatest(0, least(31, 20.0 - 4)) + greatest(0, least(31, 20.0 + 4))) / 2 ELSE 5 + h / 2 END + cy AS cy_new FROM v_dets""")
 def _(v):
-    d = H.add_blob_quad(rgb_chips(v))
-    m = H.add_hull_quad(v.markers, name="marker_quad").select(F.col("n").alias("chip_id"), "marker_quad", "col_off", "row_off")
-    d = d.join(m, "chip_id").withColumn("manual_quad", F.lit(None).cast("array<struct<x:double,y:double>>"))
-    return rounded(H.outline_centres(d).select("chip_id", "outline_source", "cx_new", "cy_new"))
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.lit(10.0), F.lit(5.0)
+    quad = F.array(pt(x, y), pt(x + F.col("w"), y), pt(x + F.col("w"), y + F.col("h")), pt(x, y + F.col("h")))
+    d = v.dets.withColumns({
+        "marker_quad": F.when(F.col("det_id") % 4 == 0, quad), "manual_quad": F.when(F.col("det_id") % 4 == 1, quad),
+        "blob_quad": F.when(F.col("det_id") % 4 == 2, quad), "px": F.lit(30.0), "py": F.lit(20.0), "gsd_m": F.lit(10.0),
+        "col_off": F.col("cx"), "row_off": F.col("cy"),
+    }).drop("w", "h").withColumns({"w": F.lit(48), "h": F.lit(32)})
+    return H.outline_centres(d).select("det_id", "outline_source", "cx_new", "cy_new")
 
 
 @query("g20_recentre_counts", """

@@ -256,20 +256,20 @@ def _(v):
 
 @query("d2_matched_vessels", f"""
 SELECT id, EXISTS (SELECT 1 FROM v_dets d WHERE d.scene = {BASE}
-  AND (d.cx-cx_full)*(d.cx-cx_full)+(d.cy-cy_full)*(d.cy-cy_full) <= 24*24) AS matched
+  AND (d.cx-cx_full)*(d.cx-cx_full)+(d.cy-cy_full)*(d.cy-cy_full) <= 96*96) AS matched
 FROM v_labels WHERE ({Y}) = 1""")
 def _(v):
-    return C.tiled_matches(v.labels, v.dets, 24.0).select("id", "matched")
+    return C.tiled_matches(v.labels, v.dets, 96.0).select("id", "matched")
 
 
 @query("e8_tiled_recall", f"""
 WITH r AS (SELECT l.*, ({Y}) AS y, s.scene FROM v_labels l JOIN v_scenes s ON s.scene = {BASE}),
 u AS (SELECT y, scene, EXISTS (SELECT 1 FROM v_dets d WHERE d.scene = r.scene
-  AND (d.cx-cx_full)*(d.cx-cx_full)+(d.cy-cy_full)*(d.cy-cy_full) <= 24*24) AS hit FROM r WHERE y IS NOT NULL)
+  AND (d.cx-cx_full)*(d.cx-cx_full)+(d.cy-cy_full)*(d.cy-cy_full) <= 96*96) AS hit FROM r WHERE y IS NOT NULL)
 SELECT count(*) AS labelled_rows, count(DISTINCT scene) AS unique_scenes, count(*) FILTER (y = 1) AS n_vessel,
  count(*) FILTER (y = 1 AND hit) AS n_matched, count(*) FILTER (y = 1 AND hit) / count(*) FILTER (y = 1) AS recall FROM u""")
 def _(v):
-    return C.tiled_recall(v.labels, v.scenes, v.dets, 24.0)
+    return C.tiled_recall(v.labels, v.scenes, v.dets, 96.0)
 
 
 @query("d8_replace_rows", """
@@ -347,5 +347,5 @@ def _(v):
 
 @query("f3_review_queue")
 def _(v):
-    return C.review_queue(v.dets, v.labels, pending_picks(v)).select(
+    return C.review_queue(v.dets, v.labels, pending_picks(v), k=15).select(
         "scene", "det_id", "cx", "cy", "score", "manual", "rank")

@@ -49,7 +49,7 @@ def _(v):
 SELECT id, cloud_cover FROM v_catalog WHERE collection = 'sentinel-2-l2a' AND west <= 60 AND east >= -40 AND south <= 40 AND north >= -30
  AND datetime BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-06-30' AND cloud_cover <= 30 ORDER BY datetime DESC, id LIMIT 15""")
 def _(v):
-    return SC.catalog_search(v.catalog, (-40, -30, 60, 40), "1996-01-01", "1999-06-30").select("id", "cloud_cover")
+    return SC.catalog_search(v.catalog, (-40, -30, 60, 40), "1996-01-01", "1999-06-30", limit=15).select("id", "cloud_cover")
 
 
 @query("a10_catalog_get", """
@@ -163,7 +163,7 @@ def _(v):
 
 @query("c12_first_ocean_item", """
 WITH r AS (SELECT *, cast(west AS bigint) AS area, row_number() OVER (PARTITION BY west ORDER BY datetime DESC, id) AS rank FROM v_catalog)
-SELECT area, arg_min(id, rank) AS id, min(rank)::int AS rank FROM r WHERE rank <= 25 AND has_thumbnail AND ocean_score >= 0.9 GROUP BY area""")
+SELECT area, arg_min(id, rank) AS id, min(rank)::int AS rank FROM r WHERE has_thumbnail AND ocean_score >= 0.9 GROUP BY area""")
 def _(v):
     items = SC.rank_items(v.catalog.withColumn("area", F.col("west").cast("bigint")), "area")
     return SC.first_ocean_item(items, "area", min_score=0.9)

@@ -102,7 +102,7 @@ SELECT id, round({TRUST}, 6) AS trust FROM y WHERE p >= 0.7 AND u <= 0.62""")
 def _(v):
     d = v.heads.select(F.col("tile_id").alias("id"), _sig("logit").alias("prob"), TR.model_uncertainty().alias("model_u"),
                        (F.col("wid_norm") * 5).alias("export_uncertainty"))
-    return rounded(TR.self_training_batch(d, scan=None).select("id", "trust"))
+    return rounded(TR.self_training_batch(d).select("id", "trust"))
 
 
 def _sig(c):

@@ -67,6 +67,8 @@ SAMPLE_MATERIALS = {
     "Seawater_Open_Ocean_SW2": "clear open ocean",
     "Oil_Slick_DWH_May2010": "crude oil slick",
 }
+# Materials that are no part of a vessel.
+BACKGROUND_CATEGORIES = {"clear open ocean": "water", "crude oil slick": "oil"}
 
 
 def build_spectral_library(
@@ -75,7 +77,8 @@ def build_spectral_library(
     """Spectra from text files: the first number of each line, 13 bands put into the 12-channel order.
 
     Comment lines and lines without a leading number are skipped, files with fewer than 13 numbers are
-    left out, and a deleted value becomes null. ``names`` maps sample ids to materials.
+    left out, and a deleted value becomes null. ``names`` maps sample ids to materials; ``pos`` is the place of the sample
+    in it and ``category`` is that of the material, so the table serves the matching operators as it is.
     """
     names = SAMPLE_MATERIALS if names is None else names
     files = (
@@ -86,8 +89,10 @@ def build_spectral_library(
     first = lambda s: F.get(F.split(F.trim(s), r"\s+"), 0).try_cast("double")
     spec = files.withColumn("v", F.filter(F.transform(lines, first), lambda n: n.isNotNull())).filter(F.size("v") >= 13)
     pick = lambda i: F.when(F.get("v", i) >= LIBRARY_DELETED, F.get("v", i))
-    table = spark.createDataFrame(list(names.items()), "sample string, material string")
+    known = [(i, s, m, BACKGROUND_CATEGORIES.get(m, "vessel")) for i, (s, m) in enumerate(names.items())]
+    table = spark.createDataFrame(known, "pos int, sample string, material string, category string")
     hit = F.lower(F.col("name")).contains(F.lower("sample"))
+    # The names are a literal of the caller, a few rows.
     return spec.join(F.broadcast(table), hit).select(
-        "sample", "material", F.array(*[pick(i) for i in LIBRARY_ORDER]).alias("spec")
+        "pos", "sample", "material", "category", F.array(*[pick(i) for i in LIBRARY_ORDER]).alias("spec")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,33 +12,49 @@ from tidemark.functions import geo as G
 from tidemark.sources.labels import curate, parse_lines
 
 
-def stream_labels(spark: SparkSession, folder: str, *, delay: str = "1 day", max_files: int = 1000) -> DataFrame:
-    """Curated label rows from every new file of a folder, each id once.
+def stream_labels(spark: SparkSession, folder: str, *, max_files: int = 1000) -> DataFrame:
+    """Curated label rows from every new file of a folder, old and undated ones included.
 
-    A repeated id is dropped while it is within ``delay`` of the newest review time seen, so the state that
-    remembers ids stays bounded. Malformed lines are left out, as in a batch read.
+    Review times stay as they are and no watermark is set, so a back-fill loses no row. An id may repeat; what is kept of
+    it is decided where rows are saved. Malformed lines are left out, as in a batch read.
     """
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
     lines = raw.select(F.trim("value").alias("line")).filter("line <> ''")
-    rows = curate(parse_lines(lines)).filter(F.col("id").isNotNull())
-    # A row without a readable time counts as seen now; the watermark needs a time on every row.
-    rows = rows.withColumn("reviewed_ts", F.coalesce("reviewed_ts", F.current_timestamp()))
-    return rows.withWatermark("reviewed_ts", delay).dropDuplicatesWithinWatermark(["id"])
+    return curate(parse_lines(lines)).filter(F.col("id").isNotNull())
+
+
+def _saved(spark: SparkSession, table: str, number: int) -> DataFrame | None:
+    """Ids of all batches but ``number``; None before the first batch."""
+    try:
+        rows = spark.read.parquet(table)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return rows.filter(F.col("batch") != number).select("id")
 
 
 def run_curation(
-    spark: SparkSession, folder: str, table: str, checkpoint: str, *, delay: str = "1 day", once: bool = True
+    spark: SparkSession, folder: str, table: str, checkpoint: str, *, max_files: int = 1000, once: bool = True
 ) -> StreamingQuery:
-    """Keep a curated Parquet table up to date with the log folder.
+    """Keep a curated Parquet table up to date with the log folder; each id is kept once, as it came first.
 
-    The open ``extra`` map is kept as JSON text. Each batch goes to its own ``batch`` folder and replaces it when a failed batch is run again, so a
-    retry after a lost executor adds no row twice. The checkpoint must lie on shared storage.
+    A batch is joined against the ids already saved, however old, so neither age nor a missing time drops a row and no state
+    grows in the stream. Inside a batch the row with the earliest review time stays, undated ones last, then by content.
+    The open ``extra`` map is kept as JSON text. Each batch goes to its own ``batch`` folder and replaces it when a failed
+    batch is run again, so a retry after a lost executor adds no row twice. ``table`` and ``checkpoint`` must lie on shared storage.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("extra", F.to_json("extra")).write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
+        rows = batch.withColumn("extra", F.to_json("extra"))
+        order = F.struct(F.col("reviewed_ts").isNull(), "reviewed_ts", F.to_json(F.struct(*rows.columns)))
+        first = rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+        known = _saved(batch.sparkSession, table, number)
+        if known is not None:
+            first = first.join(known, "id", "left_anti")
+        first.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
 
-    writer = stream_labels(spark, folder, delay=delay).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    writer = stream_labels(spark, folder, max_files=max_files).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
