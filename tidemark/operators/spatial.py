@@ -6,6 +6,8 @@ a scene or a spot that holds a third of all rows is spread over many cells, or s
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -210,7 +212,7 @@ def near_groups(
     )
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """Smallest reachable node per node of an undirected link table ``(a, b)``.
 
     Alternates two link rewrites per round: every node hands its larger neighbours the smallest node it
@@ -226,7 +228,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     last = None
-    for _ in range(max_rounds):
+    while True:
         # Larger neighbours of a node are linked to the smallest node it sees.
         bi = both(edges)
         low = bi.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -245,8 +247,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     member = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     roots = member.select(F.col("component").alias("node"), "component").distinct()
     return member.unionByName(roots)
@@ -255,7 +255,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def greedy_keep(
     df: DataFrame, *, image: str, order: list[Column], boxes: tuple[str, str, str, str] | None = None,
     iou: float | None = None, point: tuple[str, str] | None = None, radius: float | None = None,
-    block_rows: int = 4000, max_rounds: int = 200,
+    block_rows: int = 4000,
 ) -> DataFrame:
     """Greedy suppression per image: best row first, each kept row removes the rows it conflicts with.
 
@@ -287,12 +287,12 @@ def greedy_keep(
         flat = (F.col("_x2") <= F.col("_x1")) | (F.col("_y2") <= F.col("_y1")) | (size <= 1e-12)
     copies = ["_img", "_x1", "_y1", "_x2", "_y2", F.when(flat, F.col("_rank")).alias("_self")]
     one = slim.groupBy(*copies).agg(F.min("_rank").alias("_rank")).drop("_self")
-    kept = _greedy_rounds(one, conflict, block_rows, max_rounds)
+    kept = _greedy_rounds(one, conflict, block_rows)
     on = ["_img", "_x1", "_y1", "_x2", "_y2", "_rank"]
     return work.join(kept.select(*on), on, "left_semi").drop(*on)
 
 
-def _greedy_rounds(one: DataFrame, conflict, block_rows: int, max_rounds: int) -> DataFrame:
+def _greedy_rounds(one: DataFrame, conflict, block_rows: int) -> DataFrame:
     kind, limit = conflict
     # The id is stored with the rows, so later reads and retries see the same one.
     open_rows = cut_lineage(one.withColumn("_id", F.monotonically_increasing_id()))
@@ -305,7 +305,8 @@ def _greedy_rounds(one: DataFrame, conflict, block_rows: int, max_rounds: int) -
     # Many times the reach, so few rows sit on a rim, and never so small that blocks outnumber rows.
     block = max(4 * reach, 256.0)
     kept_parts: list[DataFrame] = []
-    for round_no in range(max_rounds):
+    # Every round keeps at least the best open row, so the loop ends.
+    for round_no in itertools.count():
         if open_rows.isEmpty():
             break
         shift = (round_no % 2) * block / 2
@@ -313,8 +314,6 @@ def _greedy_rounds(one: DataFrame, conflict, block_rows: int, max_rounds: int) -
         new = cut_lineage(open_rows.join(ids, "_id", "left_semi").select(*schema.names))
         kept_parts.append(new)
         open_rows = cut_lineage(_remove_conflicts(open_rows, new, conflict, reach))
-    else:
-        raise RuntimeError("suppression did not settle; raise max_rounds")
     if not kept_parts:
         return spark.createDataFrame([], schema)
     out = kept_parts[0]

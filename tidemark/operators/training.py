@@ -121,15 +121,15 @@ def weighted_draws(df: DataFrame, seed: int, key: str = "id", weight: str = "wei
 
     Rows are dealt to ``buckets`` by the hash of their key. The number of draws per bucket follows from the
     bucket weights, a table of that many numbers; the draws themselves are made and matched bucket by
-    bucket, so neither running sums nor draws pass through one task. The same seed repeats the same draw.
-    Rows never drawn are absent.
+    bucket, so neither running sums nor draws pass through one task. The same seed repeats the same draw:
+    bucket weights are summed as decimals, whatever the order of rows. Rows never drawn are absent.
     """
     import numpy as np
 
     spark = df.sparkSession
     rows = cut_lineage(df.select(key, F.col(weight).cast("double").alias("_w")).withColumn(
         "_b", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int")))
-    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"), F.count("*").alias("_n")).orderBy("_b").collect()
+    sums = rows.groupBy("_b").agg(F.sum(F.col("_w").cast("decimal(28,12)")).cast("double").alias("_s"), F.count("*").alias("_n")).orderBy("_b").collect()
     size = np.array([r["_s"] for r in sums], dtype=float)
     if size.sum() <= 0:
         return df.select(key).withColumn("times", F.lit(0).cast("bigint")).filter(F.lit(False))

@@ -38,41 +38,60 @@ def _taper(n: int):
     return w
 
 
+def _whitened(a, b):
+    """Cross-power spectrum of two tapered chips with all amplitudes one."""
+    import numpy as np
+
+    window = np.outer(*map(_taper, a.shape))
+    first, second = (np.fft.fft2((chip - chip.mean()) * window) for chip in (a, b))
+    cross = first * second.conj()
+    return cross / np.maximum(np.abs(cross), 1e-10)
+
+
+def _correlation(spectrum, rows, cols):
+    """The correlation surface at any fractional ``rows`` and ``cols``: two small matrix products with the waves there."""
+    import numpy as np
+
+    h, w = spectrum.shape
+    down = np.exp(2j * np.pi * np.outer(rows, np.fft.fftfreq(h)))
+    across = np.exp(2j * np.pi * np.outer(np.fft.fftfreq(w), cols))
+    return (down @ spectrum @ across).real / (h * w)
+
+
 def phase_shift(a, b, upsample: int = UPSAMPLE, sign: str = "motion"):
-    """Shift between two equal chips and the peak-to-noise ratio of their correlation: (x, y, pnr)."""
+    """Shift between two equal chips and the peak-to-noise ratio of their correlation: (x, y, pnr).
+
+    The surface is computed on whole and half pixels once and on a grid of 1/``upsample`` pixel only around its peak.
+    """
     import numpy as np
 
-    h, w = a.shape
-    window = np.outer(_taper(h), _taper(w))
-    spec = np.fft.fft2((a - a.mean()) * window) * np.conj(np.fft.fft2((b - b.mean()) * window))
-    spec /= np.maximum(np.abs(spec), 1e-10)
-    base = np.fft.ifft2(spec).real
-    py, px = np.unravel_index(base.argmax(), base.shape)
-    rest = np.ones_like(base, dtype=bool)
-    rest[np.ix_([(py + d) % h for d in range(-2, 3)], [(px + d) % w for d in range(-2, 3)])] = False
+    spectrum = _whitened(a, b)
+    h, w = spectrum.shape
+    coarse = np.fft.ifft2(spectrum).real
+    top = np.array(np.unravel_index(coarse.argmax(), coarse.shape))
+    gap = [np.minimum(d, n - d) for d, n in ((np.abs(np.arange(n) - t), n) for t, n in zip(top, (h, w)))]
+    far = (gap[0][:, None] > 2) | (gap[1][None, :] > 2)
     # A chip no larger than the peak's own patch has no noise to compare with.
-    noise = np.abs(base[rest]).mean() if rest.any() else np.nan
-    pnr = base[py, px] / (noise + 1e-9)
-    surface, k = base, max(1, upsample)
-    if k > 1:
-        big = np.zeros((h * k, w * k), dtype=complex)
-        r0, c0 = (h * k - h) // 2, (w * k - w) // 2
-        big[r0:r0 + h, c0:c0 + w] = np.fft.fftshift(spec)
-        surface = np.fft.ifft2(np.fft.ifftshift(big)).real
-        surface *= k * k
-    py, px = np.unravel_index(surface.argmax(), surface.shape)
-
-    as_coded = sign == "as_coded"
-
-    def peak(line, i):
-        n = len(line)
-        left, mid, right = line[i - 1], line[i], line[(i + 1) % n]
-        bend = 2.0 * (2.0 * mid - left - right)
-        off = (right - left) / bend if abs(bend) >= 1e-12 else 0.0
-        at = i - off if as_coded else i + off
-        return (at if at <= n / 2 else at - n) / k * (1.0 if as_coded else -1.0)
-
-    return peak(surface[py], px), peak(surface[:, px], py), pnr
+    pnr = coarse[tuple(top)] / ((np.abs(coarse[far]).mean() if far.any() else np.nan) + 1e-9)
+
+    step = 1.0 / max(1, upsample)
+    if upsample > 1:
+        # Between whole pixels the surface can rise above its whole-pixel peak; half pixels show where.
+        half = _correlation(spectrum, np.arange(2 * h) / 2, np.arange(2 * w) / 2)
+        top = np.array(np.unravel_index(half.argmax(), half.shape)) / 2
+    reach = np.arange(-max(1, upsample) - 1, max(1, upsample) + 2) * step
+    fine = _correlation(spectrum, top[0] + reach, top[1] + reach)
+    inner = fine[1:-1, 1:-1]
+    r, c = np.array(np.unravel_index(inner.argmax(), inner.shape)) + 1
+
+    def settled(line, k, start, size):
+        bend = 2.0 * (2.0 * line[1] - line[0] - line[2])
+        vertex = (line[2] - line[0]) / bend * step if abs(bend) >= 1e-12 else 0.0
+        at = (start + reach[k]) % size + (-vertex if sign == "as_coded" else vertex)
+        at = at if at <= size / 2 else at - size
+        return at if sign == "as_coded" else -at
+
+    return settled(fine[r, c - 1:c + 2], c, top[1], w), settled(fine[r - 1:r + 2, c], r, top[0], h), pnr
 
 
 def measure_shifts(pairs: DataFrame, a: str = "a", b: str = "b", h: str = "h", w: str = "w", upsample: int = UPSAMPLE,

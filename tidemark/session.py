@@ -28,18 +28,21 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
     return spark
 
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master may fall back to a temporary folder of this machine, which goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(folder)
+    _own.append(tempfile.TemporaryDirectory(prefix="tidemark-", ignore_cleanup_errors=True))
+    spark.sparkContext.setCheckpointDir(_own[-1].name)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
