@@ -94,12 +94,15 @@ def _(v):
     return rounded(E.evaluate(v.labels, v.scenes, v.preds))
 
 
-@query("e7_performance_summary", f"""
+PERFORMANCE = f"""
 WITH {SCORED}, {TRUTH}, {ERRS}
 SELECT b.*, a.* FROM (SELECT round(({F1})::double, 6) AS binary_f1, round(corr(confidence, y), 6) AS pearson_r FROM scored) a,
  (SELECT count(*) AS n_geometry_spots, round(count(*) FILTER (gl > 0 AND gl < 45 AND confidence >= 0.5) / count(*) FILTER (gl > 0 AND gl < 45), 6) AS small_vessel_rate,
   count(*) FILTER (gl > 0 AND gl < 45) AS n_small_vessel, count(*) FILTER (gl > 0 AND gl < 45 AND confidence >= 0.5) AS n_small_detected,
-  round(coalesce(avg(fused_err), avg(keypoint_err)), 6) AS heading_mae_deg, round((avg(length_err) + avg(width_err)) / 2, 6) AS mean_size_err FROM errs) b""")
+  round(coalesce(avg(fused_err), avg(keypoint_err)), 6) AS heading_mae_deg, round((avg(length_err) + avg(width_err)) / 2, 6) AS mean_size_err FROM errs) b"""
+
+
+@query("e7_performance_summary", PERFORMANCE)
 def _(v):
     return rounded(E.performance_summary(v.labels, v.scenes, v.preds))
 
@@ -116,9 +119,12 @@ def _(v):
     return rounded(E.aspect_summary(rows))
 
 
-@query("a13_metrics_json")
+@query("a13_metrics_json", PERFORMANCE)
 def _(v):
-    return E.metrics_json(E.performance_summary(v.labels, v.scenes, v.preds))
+    """The report written as JSON text and read back from it."""
+    report = E.performance_summary(v.labels, v.scenes, v.preds)
+    text = E.metrics_json(report).select(F.from_json("json", report.schema).alias("r"))
+    return rounded(text.select("r.*"))
 
 
 @query("l13_labelled_with_skips", f"""
