@@ -162,14 +162,31 @@ def _(v):
 
 @query("l12_feature_matrix", f"""
 WITH r AS (SELECT l.id, ({Y}) AS y, s.scene, cx_full AS x0_, cy_full AS y0_ FROM v_labels l JOIN v_scenes s ON s.scene = {BASE} WHERE ({Y}) IS NOT NULL),
-p AS (SELECT DISTINCT scene, x0_, y0_ FROM r), o AS (SELECT i * (2.0::double * 3.0 / 7) - 3.0 AS d FROM (SELECT unnest(generate_series(0, 7)) AS i) t),
+p AS (SELECT DISTINCT scene, x0_, y0_ FROM r), o AS (SELECT i * (2.0::double * 16.0 / 31) - 16.0 AS d FROM (SELECT unnest(generate_series(0, 31)) AS i) t),
 s AS (SELECT p.scene, x0_, y0_, coalesce(b0, 0) AS b0, coalesce(b1, 0) AS b1, coalesce(b2, 0) AS b2 FROM p CROSS JOIN o ox CROSS JOIN o oy
   LEFT JOIN v_mosaic m ON m.scene = p.scene AND m.c = floor(x0_ + ox.d)::int AND m.r = floor(y0_ + oy.d)::int),
 f AS (SELECT scene, x0_, y0_, round(avg(b0), 4) AS mean_r, round(avg(b1), 4) AS mean_g, round(avg(b2), 4) AS mean_b, round(stddev_pop(b0), 4) AS std_r, round(stddev_pop(b1), 4) AS std_g,
   round(stddev_pop(b2), 4) AS std_b FROM s GROUP BY ALL)
 SELECT id, y, mean_r, mean_g, mean_b, std_r, std_g, std_b FROM r JOIN f USING (scene, x0_, y0_)""")
 def _(v):
-    return rounded(TR.feature_matrix(v.labels, v.scenes, v.mosaic, 3.0, 8, block=8), 4)
+    return rounded(TR.feature_matrix(v.labels, v.scenes, v.mosaic), 4)
+
+
+@query("l12_chip_vector", "SELECT vec_id, generate_subscripts(spec, 1)::int - 1 AS i, unnest(spec) / 255.0::double AS x FROM v_spectra")
+def _(v):
+    return v.spectra.select("vec_id", F.posexplode(TR.chip_vector("spec")).alias("i", "x"))
+
+
+@query("l11_turned_points", """
+WITH p AS (SELECT det_id, (cx / 2000)::double AS x, (cy / 2000)::double AS y FROM v_dets),
+a AS (SELECT det_id, y, f.x AS hf, CASE WHEN f.x THEN 1 - p.x ELSE p.x END AS x FROM p, (VALUES (false), (true)) f(x)),
+b AS (SELECT det_id, hf, a.x, g.x AS vf, CASE WHEN g.x THEN 1 - y ELSE y END AS y FROM a, (VALUES (false), (true)) g(x))
+SELECT det_id, hf AS hflip, vf AS vflip, k.x AS quarter_turns, round(CASE k.x WHEN 0 THEN b.x WHEN 1 THEN 1 - y WHEN 2 THEN 1 - b.x ELSE y END, 6) AS x,
+ round(CASE k.x WHEN 0 THEN y WHEN 1 THEN b.x WHEN 2 THEN 1 - y ELSE 1 - b.x END, 6) AS y FROM b, (VALUES (0), (1), (2), (3)) k(x)""")
+def _(v):
+    points = v.dets.select("det_id", (F.col("cx") / 2000).alias("x"), (F.col("cy") / 2000).alias("y"))
+    t = TR.turned_variants(points, key="det_id").withColumn("q", TR.turn_point())
+    return rounded(t.select("det_id", "hflip", "vflip", "quarter_turns", F.col("q.x").alias("x"), F.col("q.y").alias("y")))
 
 
 @query("f6_top_by_priority", f"""WITH {ROWS} SELECT id, round(al_priority, 6) AS al_priority FROM samples ORDER BY samples.al_priority DESC, id LIMIT 50""")
