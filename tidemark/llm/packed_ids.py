@@ -10,6 +10,8 @@ Widths are the fewest bits that hold the largest id of the vocabulary.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import col, unsigned_crc
+from tidemark.llm.pair_bpe import SEPARATORS, vocabulary
 from tidemark.session import shared_folder
 
 BLOCK_SCHEMA = (
@@ -158,11 +161,12 @@ def read_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     return out
 
 
-def library_tokenizer(path: str, remembered: int = 400_000) -> Callable[[], Callable[[pd.Series], list[np.ndarray]]]:
-    """A factory for :func:`write`: the tokenizers library on the file ``path``, each distinct run of non-blanks encoded once.
+def library_tokenizer(path: str, remembered: int = 1_000_000) -> Callable[[], Callable[[pd.Series], list[np.ndarray]]]:
+    """A factory for :func:`write`: the tokenizers library on the file ``path``, each distinct piece of text encoded once.
 
-    A run's ids do not depend on its neighbours, since the vocabulary parts text at white space. Control characters that
-    Python counts as blanks and the vocabulary does not are left to the library with the whole text.
+    The vocabulary parts text at white space and then into pieces whose ids do not depend on their neighbours. So a word's
+    ids are those of its pieces, and a worker remembers up to ``remembered`` words and pieces for all its tasks. Control
+    characters that Python counts as blanks and the vocabulary does not are left to the library with the whole text.
     """
 
     def make() -> Callable[[pd.Series], list[np.ndarray]]:
@@ -171,39 +175,46 @@ def library_tokenizer(path: str, remembered: int = 400_000) -> Callable[[], Call
     return make
 
 
-_LIBRARIES: dict[str, Callable[[pd.Series], list[np.ndarray]]] = {}
-
-
+@functools.lru_cache(maxsize=2)
 def _library(path: str, remembered: int) -> Callable[[pd.Series], list[np.ndarray]]:
-    if path in _LIBRARIES:
-        return _LIBRARIES[path]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    memory: dict[str, bytes] = {}
-    odd = set("\x1c\x1d\x1e\x1f")
+    split = vocabulary(path).split_word
+    words: dict[str, bytes] = {}
+    pieces: dict[str | int, bytes] = {}
 
     def ids_of(text: str) -> bytes:
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(word: str) -> bytes:
+        if any(map(unicodedata.combining, word)):
+            return ids_of(word)  # marks are put in order for the whole word
+        parts = split(word)
+        for part in parts:
+            if part not in pieces:
+                pieces[part] = np.asarray([part], "<u4").tobytes() if isinstance(part, int) else ids_of(part)
+        return b"".join([pieces[part] for part in parts])
+
     def encode(texts: pd.Series) -> list[np.ndarray]:
         out = []
-        if len(memory) > remembered:
-            memory.clear()
         for text in texts:
-            if not odd.isdisjoint(text):
+            if len(words) > remembered:
+                words.clear()
+            if len(pieces) > remembered:
+                pieces.clear()
+            if SEPARATORS.search(text):
                 out.append(np.frombuffer(ids_of(text), "<u4"))
                 continue
-            words = text.split()
-            for word in set(words):
-                if word not in memory:
-                    memory[word] = ids_of(word)
-            out.append(np.frombuffer(b"".join([memory[w] for w in words]), "<u4"))
+            run = text.split()
+            for word in set(run):
+                if word not in words:
+                    words[word] = learn(word)
+            out.append(np.frombuffer(b"".join([words[w] for w in run]), "<u4"))
         return out
 
-    _LIBRARIES[path] = encode
     return encode
 
 
