@@ -126,6 +126,28 @@ def test_slots_must_be_consistent(spark):
     assert found == {(1, 7), (2, 7), (2, 8)}
 
 
+def held_items(spark, texts, items):
+    """(text, item) by their places, each text stands behind 0 to 3 words more so that every residue of the stride occurs."""
+    rows = [(4 * i + k, f"{'so it went ' if k else ''}{'on ' * k}: {t} the end") for i, t in enumerate(texts) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.mark_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r["doc_id"], r["item_id"]) for r in found}
+
+
+def test_items_of_numbers_are_found_at_every_place(spark):
+    items = [
+        "Mix 3 ml of A with 5 ml of B, 7 g of C, 9 g of D.",
+        "Compute 12 + 7 * 3 - 4 / 2 and then 8 * 6.",
+        "Solve 3 x + 7 y = 21 and 2 x - 5 y = 4.",
+        "If Tom pays 12 dollars for 3 kg and Ann pays 8 dollars for 2 kg, who pays less?",
+        "9 * 8 = 72",
+    ]
+    found = held_items(spark, items, items)
+    assert found == {(4 * i + k, i) for i in range(len(items)) for k in range(4)}
+    changed = ["Compute 13 + 9 * 4 - 5 / 3 and then 9 * 7.", "9 * 8 = 73"]
+    assert held_items(spark, changed, items) == set()
+
+
 # 3: language model
 
 

@@ -71,14 +71,18 @@ def _windows(words: Column, width: Column, stride: int = 1) -> Column:
 
 def item_windows(items: DataFrame, text: str, id_col: str, width: int, stride: int, min_literals: int) -> DataFrame:
     """One row per item: id, words ``t``, plain words ``r``, window width ``w`` and its windows (p, h) that hold enough literal
-    words. An item of fewer than width + stride - 1 words is one window of all its words."""
+    words. An item of fewer than width + stride - 1 words is one window of all its words. An item without such a window is
+    ``plain``: its words are its plain words, slots and all, and it keeps every window. ``gaps`` says that windows are left out."""
     rows = items.select(col(id_col).alias("item"), template_words(col(text)).alias("t"), plain_words(col(text)).alias("r"))
     n = F.size("t")
     rows = rows.filter(n > 0).withColumn("w", F.when(n < width + stride - 1, n).otherwise(F.lit(width)))
+    every = F.sequence(F.lit(0), n - col("w"))
     literal = lambda p: F.size(F.filter(F.slice(col("t"), p + 1, col("w")), lambda x: ~x.rlike(SLOTS)))
-    starts = F.filter(F.sequence(F.lit(0), n - col("w")), lambda p: literal(p) >= F.least(F.lit(min_literals), col("w")))
-    windows = F.transform(starts, lambda p: F.struct(p.alias("p"), _window(col("t"), p, col("w")).alias("h")))
-    return rows.withColumn("wins", windows).filter(F.size("wins") > 0)
+    rows = rows.withColumn("starts", F.filter(every, lambda p: literal(p) >= F.least(F.lit(min_literals), col("w"))))
+    rows = rows.withColumn("plain", F.size("starts") == 0)
+    rows = rows.withColumns({"t": F.when(col("plain"), col("r")).otherwise(col("t")), "starts": F.when(col("plain"), every).otherwise(col("starts"))})
+    windows = F.transform("starts", lambda p: F.struct(p.alias("p"), _window(col("t"), p, col("w")).alias("h")))
+    return rows.withColumn("wins", windows).withColumn("gaps", F.size("starts") < n - col("w") + 1).drop("starts")
 
 
 def _matches() -> Column:
@@ -117,34 +121,38 @@ def leaks(
 
     An item counts as held when consistent alignments cover at least ``coverage`` of its windows. Every window of an item
     meets every ``stride``-th window of a text: if four fifths of the windows are covered, four of them follow each other
-    somewhere (an edit inside costs four windows at least), and one of four starts on the stride. Shorter items meet
-    all windows of their length. Items without words, or without a window of ``min_literals`` literal words (all words, if
-    the item has fewer), cannot be told from chance and are not searched. Equal texts are examined once.
+    somewhere (an edit inside costs four windows at least), and one of four starts on the stride. That needs all windows of
+    the item, so once any item leaves out windows that hold too few literal words, all windows of the texts are met. Shorter
+    items meet all windows of their length. An item without a window of ``min_literals`` literal words (all words, if
+    the item has fewer) is compared by its plain words, numbers and names as they stand: it is found where it is copied, not
+    where its slots are exchanged. Items without words are not searched. Equal texts are examined once.
     Windows of items are broadcast up to ``broadcast_windows`` rows of 16 bytes, and the keys of texts that share one up to
     ``broadcast_keys`` rows of 32 bytes; above these bounds the joins shuffle, with the same result.
     """
     wanted = cut_lineage(item_windows(items, item_text, item_id, width, stride, min_literals))
-    flat = cut_lineage(wanted.select("item", "w", F.explode("wins.h").alias("h")).distinct())
-    widths = sorted(r["w"] for r in flat.select("w").distinct().collect())
+    flat = cut_lineage(wanted.select("item", "plain", "w", "gaps", F.explode("wins.h").alias("h")).distinct())
+    kinds = flat.groupBy("plain", "w").agg(F.max("gaps").alias("gaps")).orderBy("plain", "w").collect()
     small = flat.count() <= broadcast_windows
-    probe = F.broadcast(flat) if small else flat
+    probe = F.broadcast(flat.drop("gaps")) if small else flat.drop("gaps")
 
     base = docs.select(F.coalesce(col(text), F.lit("")).alias("text"))
-    keyed = base.select(F.md5(col("text").cast("binary")).alias("key"), template_words(col("text")).alias("td"))
+    words = {False: template_words(col("text")).alias("td"), True: plain_words(col("text")).alias("rd")}
+    keyed = base.select(F.md5(col("text").cast("binary")).alias("key"), *[words[p] for p in sorted({k["plain"] for k in kinds})])
 
-    def sized(w: int) -> Column:
-        hashes = _windows(col("td"), F.lit(w), stride if w == width else 1)
-        return F.transform(hashes, lambda h: F.struct(F.lit(w).alias("w"), h.alias("h")))
+    def sized(plain: bool, w: int, gaps: bool) -> Column:
+        hashes = _windows(col("rd" if plain else "td"), F.lit(w), stride if w == width and not gaps else 1)
+        return F.transform(hashes, lambda h: F.struct(F.lit(plain).alias("plain"), F.lit(w).alias("w"), h.alias("h")))
 
-    arrays = [sized(w) for w in widths] or [F.array().cast("array<struct<w:int,h:bigint>>")]
+    arrays = [sized(*k) for k in kinds] or [F.array().cast("array<struct<plain:boolean,w:int,h:bigint>>")]
     seen = keyed.select("key", F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
-    pairs = cut_lineage(seen.join(probe, ["w", "h"]).select("key", "item").distinct())
+    pairs = cut_lineage(seen.join(probe, ["plain", "w", "h"]).select("key", "item").distinct())
 
     keys = cut_lineage(pairs.select("key").distinct())
     keys = F.broadcast(keys) if keys.count() <= broadcast_keys else keys
     texts = base.withColumn("key", F.md5(col("text").cast("binary"))).join(keys, "key", "left_semi")
     texts = texts.dropDuplicates(["key"]).select("key", template_words(col("text")).alias("td"), plain_words(col("text")).alias("rd"))
-    both = texts.join(pairs, "key").join(wanted, "item").withColumn("m", _matches())
+    both = texts.join(pairs, "key").join(wanted, "item")
+    both = both.withColumn("td", F.when(col("plain"), col("rd")).otherwise(col("td"))).withColumn("m", _matches())
     shifts = both.withColumn("s", F.array_distinct(F.transform("m", lambda x: x["shift"])))
 
     def at(shift: Column) -> Column:
