@@ -148,6 +148,19 @@ def test_items_of_numbers_are_found_at_every_place(spark):
     assert held_items(spark, changed, items) == set()
 
 
+def test_first_word_of_an_item_inside_a_sentence(spark):
+    items = [
+        "What is the capital city of France?", "Name the largest planet of our solar system.", "A train leaves the station at noon today.",
+        "What color is the sky above the sea?",
+    ]
+    docs = [f"{lead}{t} Yes" for t in items for lead in ("", "they asked ", "they asked: ", "question 5. ", "question 5 ")]
+    docs += ["we know Paris is the capital city of France", "they asked Is the capital city of France"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = decontaminate.mark_leaks(rows, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(5 * i + k, i) for i in range(len(items)) for k in range(5)}
+    assert all(r["coverage"] == 1 for r in found)
+
+
 # 3: language model
 
 

@@ -72,8 +72,14 @@ def _windows(words: Column, width: Column, stride: int = 1) -> Column:
 def item_windows(items: DataFrame, text: str, id_col: str, width: int, stride: int, min_literals: int) -> DataFrame:
     """One row per item: id, words ``t``, plain words ``r``, window width ``w`` and its windows (p, h) that hold enough literal
     words. An item of fewer than width + stride - 1 words is one window of all its words. An item without such a window is
-    ``plain``: its words are its plain words, slots and all, and it keeps every window. ``gaps`` says that windows are left out."""
-    rows = items.select(col(id_col).alias("item"), template_words(col(text)).alias("t"), plain_words(col(text)).alias("r"))
+    ``plain``: its words are its plain words, slots and all, and it keeps every window. ``gaps`` says that windows are left out.
+
+    The first word of an item is literal, but in a text it is a name inside a sentence, or a unit after a number. The first
+    window therefore comes in these forms too (``first``); they match only where the text has the same plain word there."""
+    rows = items.select(
+        col(id_col).alias("item"), template_words(col(text)).alias("t"), plain_words(col(text)).alias("r"),
+        F.coalesce(col(text), F.lit("")).rlike(r"^[^\p{L}\p{N}\p{Co}]*\p{Lu}").alias("capital"),
+    )
     n = F.size("t")
     rows = rows.filter(n > 0).withColumn("w", F.when(n < width + stride - 1, n).otherwise(F.lit(width)))
     every = F.sequence(F.lit(0), n - col("w"))
@@ -81,12 +87,22 @@ def item_windows(items: DataFrame, text: str, id_col: str, width: int, stride: i
     rows = rows.withColumn("starts", F.filter(every, lambda p: literal(p) >= F.least(F.lit(min_literals), col("w"))))
     rows = rows.withColumn("plain", F.size("starts") == 0)
     rows = rows.withColumns({"t": F.when(col("plain"), col("r")).otherwise(col("t")), "starts": F.when(col("plain"), every).otherwise(col("starts"))})
-    windows = F.transform("starts", lambda p: F.struct(p.alias("p"), _window(col("t"), p, col("w")).alias("h")))
-    return rows.withColumn("wins", windows).withColumn("gaps", F.size("starts") < n - col("w") + 1).drop("starts")
+    windows = F.transform("starts", lambda p: F.struct(p.alias("p"), _window(col("t"), p, col("w")).alias("h"), F.lit(False).alias("first")))
+    literal_first = ~col("plain") & F.array_contains("starts", 0) & ~F.get("t", F.lit(0)).rlike(SLOTS)
+    forms = F.concat(
+        F.when(literal_first & col("capital"), F.array(F.lit(NAME))).otherwise(F.array().cast("array<string>")),
+        F.when(literal_first & F.get("t", F.lit(0)).isin(UNITS), F.array(F.lit(UNIT))).otherwise(F.array().cast("array<string>")),
+    )
+    behind = F.slice(col("t"), F.lit(2), col("w") - 1)
+    others = F.transform(
+        forms, lambda x: F.struct(F.lit(0).alias("p"), F.xxhash64(F.concat(F.array(x), behind)).alias("h"), F.lit(True).alias("first"))
+    )
+    rows = rows.withColumn("wins", F.concat(windows, others)).withColumn("kept", F.size("starts"))
+    return rows.withColumn("gaps", col("kept") < n - col("w") + 1).drop("starts", "capital")
 
 
 def _matches() -> Column:
-    """Pairs of equal windows of text and item as struct(shift, p), from columns td, t, w, wins."""
+    """Pairs of equal windows of text and item as struct(shift, p), from columns td, rd, r, w, wins."""
     starts = F.when(F.size("td") >= col("w"), F.sequence(F.lit(0), F.size("td") - col("w"))).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(col("wins"), lambda x: x["h"])
     places = F.filter(
@@ -97,7 +113,9 @@ def _matches() -> Column:
         F.transform(
             places,
             lambda x: F.transform(
-                F.filter(col("wins"), lambda y: y["h"] == x["h"]),
+                F.filter(
+                    col("wins"), lambda y: (y["h"] == x["h"]) & (~y["first"] | (F.get(col("rd"), x["i"]) == F.get(col("r"), F.lit(0))))
+                ),
                 lambda y: F.struct((x["i"] - y["p"]).alias("shift"), y["p"].alias("p")),
             ),
         )
@@ -168,7 +186,7 @@ def leaks(
     measured = good.select(
         "key",
         "item",
-        (F.size(F.array_distinct(F.flatten(F.transform("good", lambda a: a["own"])))) / F.size("wins")).alias("coverage"),
+        (F.size(F.array_distinct(F.flatten(F.transform("good", lambda a: a["own"])))) / col("kept")).alias("coverage"),
         F.array_max(F.transform("good", lambda a: F.struct(F.size(a["own"]).alias("n"), (-a["shift"]).alias("back"), a["slots"].alias("slots")))).alias("best"),
     )
     return measured.filter(col("coverage") >= coverage).select(
