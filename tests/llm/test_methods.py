@@ -375,3 +375,14 @@ def test_pipeline_like_brute_force(spark, folder, texts):
     leaked = {d for d, _ in brute_leaks({i: texts[i] for i in ids}, items)}
     out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert sorted(out) == [i for i in ids if i not in leaked]
+
+
+def test_pipeline_decodes_what_it_encodes(spark, folder, texts, library):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = corpus_pipeline.encode(spark, docs, folder).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["ids"], r["n_tokens"], r["ids_sha256"]) == (ids, len(ids), sha(" ".join(map(str, ids))))
+        assert r["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False))

@@ -238,6 +238,27 @@ def decode(ids: Column, path: str) -> Column:
     return of(ids)
 
 
+def round_trip(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
+    """struct(ids, n_tokens, ids_sha256, decoded_sha256): the ids of each text, and the digests of :func:`digests` in the same pass."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_for(path)
+        for texts in batches:
+            rows = []
+            for run in _batches(texts, batch_chars):
+                for ids in encoder.encode(run):
+                    rows.append((np.asarray(ids, np.int32), len(ids), *_digests(encoder, ids)))
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return of(text)
+
+
+def _digests(encoder: Encoder, ids: list[int]) -> tuple[str, str]:
+    shown = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    return shown, hashlib.sha256(encoder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def digests(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256): each text encoded and decoded again, without carrying its ids on."""
 
@@ -248,9 +269,7 @@ def digests(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
             rows = []
             for run in _batches(texts, batch_chars):
                 for ids in encoder.encode(run):
-                    shown = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-                    back = hashlib.sha256(encoder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((len(ids), shown, back))
+                    rows.append((len(ids), *_digests(encoder, ids)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text)
