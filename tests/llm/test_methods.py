@@ -359,6 +359,28 @@ def test_groups_stay_together_where_they_fit(spark):
     assert 3 <= len(where["hot"]) <= 5 and sum(len(s) > 1 for t, s in where.items() if t != "hot") <= 8
 
 
+def test_no_group_that_fits_is_cut_beside_a_hot_one(spark):
+    # A third of the rows is one group, which starts with 1/24 of all rows in each shard; a tenth is another one.
+    rows = [(i, "hot" if i < 4000 else "warm" if i < 5200 else f"group {i % 600}" if i < 8200 else f"single {i}") for i in range(12000)]
+    out = label_shards.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(collections.Counter(r["shard"] for r in out).values()) == {1500}
+    where = collections.defaultdict(set)
+    for r in out:
+        where[r["text"]].add(r["shard"])
+    assert len(where["hot"]) == 3 and {t for t, s in where.items() if len(s) > 1} == {"hot"}
+
+
+def test_groups_without_room_are_cut_and_counts_stay_equal(spark):
+    # No rows without links: three groups of 30 for two shards of 45.
+    rows = [(i, f"group {i % 3}") for i in range(90)]
+    out = label_shards.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=2).collect()
+    assert set(collections.Counter(r["shard"] for r in out).values()) == {45}
+    where = collections.defaultdict(set)
+    for r in out:
+        where[r["text"]].add(r["shard"])
+    assert sum(len(s) > 1 for s in where.values()) == 1
+
+
 # the pipeline
 
 

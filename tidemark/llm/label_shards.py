@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation, in DataFrame functions alone.
 
-Linked documents move towards the shard in which most of their group is, as far as quotas allow; then counts are made
-equal: what is above a shard's capacity moves on, and documents without links fill the gaps. No group and no shard is ever
-held by one task: ranks come from counts of small buckets and row numbers inside a bucket.
+Groups that exceed every shard are laid over as few shards as they need. The other groups move as a whole to the shard in
+which most of their members are, or to the next best with room, until none that is left fits anywhere; those are cut, and
+documents without links fill the gaps. No group and no shard is ever held by one task: ranks come from counts of small
+buckets and row numbers inside a bucket.
 """
 
 from __future__ import annotations
@@ -50,41 +51,60 @@ def _interval(room: list[int], place: Column) -> Column:
     return reduce(lambda rest, k: F.when(place < ends[k], F.lit(k)).otherwise(rest), reversed(range(len(room) - 1)), F.lit(len(room) - 1))
 
 
-def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """Label propagation on rows (id, link, size, shard): each round moves members to the shard that holds most of their group.
+def _rest(room: list[int], taken: int) -> list[int]:
+    """What is left of ``room`` when ``taken`` places are used from the first shard on."""
+    left = []
+    for r in room:
+        used = min(r, taken)
+        taken -= used
+        left.append(r - used)
+    return left
+
 
-    A move from a to b is open to all members of the group in a. The rows that want to go into b are admitted up to the
-    room of b (its quota, less what it holds, plus what leaves it); if more want in, the share that fits is chosen by a
-    hash of the group, so that groups move as a whole, and a group that alone is too large is split by a hash of the row.
+def propagate(groups: DataFrame, room: list[int]) -> tuple[DataFrame, list[int]]:
+    """((link, to), room left) for groups (link, members, held: rows in each shard): the shard of each whole group, -1 if it fits nowhere.
+
+    In a round each open group wants the shard that holds most of it among those whose room takes it whole. Of those that want
+    a shard the largest are admitted, as many as fit, so the room that a refused group leaves behind at least halves from round to
+    round. Room never grows, so a group that fits nowhere stays cut; rounds end when no group is open.
     """
-    shards = len(quotas)
-    for number in range(rounds):
-        held = linked.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        best = held.groupBy("link").agg(F.max(F.struct(col("n"), (-col("shard")).alias("s"))).alias("m"))
-        wish = held.join(best, "link").select("link", "shard", "n", (-F.col("m.s")).alias("to"))
-        wish = cut_lineage(wish)
-        flows = {(r["shard"], r["to"]): r["n"] for r in wish.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
-        if not any(a != b for a, b in flows):
-            break
-        sizes = [sum(n for (a, _), n in flows.items() if a == k) for k in range(shards)]
-        share = []
-        for b in range(shards):
-            come = sum(n for (a, t), n in flows.items() if t == b and a != b)
-            leave = sum(n for (a, t), n in flows.items() if a == b and t != b)
-            share.append(min(1.0, max(0, quotas[b] - sizes[b] + leave) / come) if come else 0.0)
-        chance = F.pmod(F.xxhash64("link", F.lit(number)), F.lit(1 << 20)) / (1 << 20)
-        # A group above a quota fits nowhere as a whole: its rows are drawn one by one.
-        by_row = F.pmod(F.xxhash64("id", "link", F.lit(number)), F.lit(1 << 20)) / (1 << 20)
-        target = col("to").cast("int")
-        draw = F.when(col("n") > F.lit(min(quotas)), by_row).otherwise(chance)
-        moves = wish.filter("shard <> to").select("link", "shard", "to", "n")
-        limit = F.get(F.array(*[F.lit(s) for s in share]), target)
-        linked = cut_lineage(
-            linked.join(moves, ["link", "shard"], "left")
-            .withColumn("shard", F.when(col("to").isNotNull() & (draw < limit), target).otherwise(col("shard")))
-            .select("id", "link", "size", "crc", "rec", "shard")
+    done = None
+    while True:
+        choices = [
+            F.when(col("members") <= r, F.struct(F.get("held", F.lit(k)).alias("n"), F.xxhash64("link", F.lit(k)).alias("tie"), F.lit(k).alias("k")))
+            for k, r in enumerate(room)
+        ]
+        wish = cut_lineage(
+            groups.withColumn("to", F.coalesce(F.array_max(F.array(*choices))["k"], F.lit(-1)))
+            .withColumn("_g", F.pmod(F.xxhash64("link"), F.lit(SPREAD * 16)))
         )
-    return linked
+        sums = wish.groupBy("to", "members", "_g").agg(F.sum("members").alias("_n"))
+        before = W.partitionBy("to").orderBy(F.desc("members"), "_g").rowsBetween(W.unboundedPreceding, -1)
+        bases = sums.select("to", "members", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        inside = F.row_number().over(W.partitionBy("to", "members", "_g").orderBy("link"))
+        end = col("_base") + col("members") * col("_i")
+        judged = wish.withColumn("_i", inside).join(bases, ["to", "members", "_g"])
+        judged = judged.withColumn("settled", (col("to") < 0) | (end <= _at(room, F.greatest("to", F.lit(0)))))
+        judged = cut_lineage(judged.select("link", "members", "held", "to", "settled"))
+        settled = judged.filter("settled").select("link", "to")
+        done = settled if done is None else done.unionByName(settled)
+        filled = {r["to"]: r["n"] for r in judged.filter("settled").groupBy("to").agg(F.sum("members").alias("n")).collect()}
+        room = [r - filled.get(k, 0) for k, r in enumerate(room)]
+        groups = judged.filter("not settled").select("link", "members", "held")
+        if groups.isEmpty():
+            return done, room
+
+
+def in_line(linked: DataFrame) -> DataFrame:
+    """``linked`` with ``place``: groups one after the other, members of a group one after the other."""
+    parts = linked.groupBy("link").agg(F.count("*").alias("n")).withColumn("_g", F.pmod(F.xxhash64("link"), F.lit(SPREAD * 16)))
+    sums = parts.groupBy("_g").agg(F.sum("n").alias("_n"))
+    before = W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = W.partitionBy("_g").orderBy("link").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.withColumn("_s", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(bases, "_g")
+    starts = starts.select("link", (col("_base") + col("_s")).alias("start"))
+    return ranked(linked, ["link"], SPREAD, "_k").join(starts, "link").withColumn("place", col("start") + col("_k")).drop("start", "_k")
 
 
 def assign(
@@ -93,13 +113,12 @@ def assign(
     text: str = "text",
     id_col: str = "doc_id",
     carry: list[str] | None = None,
-    rounds: int = 5,
     link: Column | None = None,
 ) -> DataFrame:
     """Every row with ``size``, ``text_crc32``, ``law`` ('rows'), ``shard``, ``slot`` and ``grown_shard`` (null).
 
     Law ``rows``: the counts of any two shards differ by one at most, ties and repeated rows included. Rows with equal
-    ``link`` (the text if not given) are linked; as few groups are cut as the quotas allow. ``slot`` numbers the rows of a
+    ``link`` (the text if not given) are linked; a group is cut only if no shard has room for all of it. ``slot`` numbers the rows of a
     shard from 0 without gaps. ``size`` is the number of UTF-8 bytes of the text plus 1, that of a null text 1; a null text
     is linked with the empty one. An empty table gives no rows; null ids are ranked like any other. Input columns stay
     (``carry`` names fewer), but results replace columns of their names.
@@ -116,36 +135,27 @@ def assign(
     rows = cut_lineage(rows.withColumn("shard", F.pmod(F.xxhash64("id", "link"), F.lit(shards)).cast("int")))
     total = rows.count()
     quotas = [total // shards + (k < total % shards) for k in range(shards)]
-    groups = cut_lineage(rows.groupBy("link").agg(F.count("*").alias("members")).filter("members > 1"))
-    linked = cut_lineage(rows.join(groups.select("link"), "link", "left_semi").select("id", "link", "size", "crc", "rec", "shard"))
-    single = rows.join(groups.select("link"), "link", "left_anti").select("id", "link", "size", "crc", "rec", "shard")
-    linked = propagate(linked, quotas, rounds)
-
-    # Places of the linked rows inside their shard: groups one after the other, members of a group one after the other.
-    parts = linked.groupBy("shard", "link").agg(F.count("*").alias("n")).withColumn("_g", F.pmod(F.xxhash64("link"), F.lit(SPREAD * 16)))
-    sums = parts.groupBy("shard", "_g").agg(F.sum("n").alias("_n"))
-    before = W.partitionBy("shard").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select("shard", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inner = W.partitionBy("shard", "_g").orderBy("link").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.withColumn("_s", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(bases, ["shard", "_g"])
-    starts = cut_lineage(starts.select("shard", "link", (col("_base") + col("_s")).alias("start")))
-    placed = ranked(linked, ["shard", "link"], SPREAD, "_k").join(starts, ["shard", "link"]).withColumn("place", col("start") + col("_k"))
-    placed = cut_lineage(placed.drop("start", "_k"))
-
-    sizes = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    have = [sizes.get(k, 0) for k in range(shards)]
-    over = [max(0, h - q) for h, q in zip(have, quotas)]
-    room = [max(0, q - h) for h, q in zip(have, quotas)]
-    # Rows above the quota of their shard queue up in the order of shards and take the free places from the first on.
-    queue = _at([sum(over[:k]) for k in range(shards)], col("shard")) + col("place") - _at(quotas, col("shard"))
-    settled = placed.withColumn(
-        "shard", F.when(col("place") >= _at(quotas, col("shard")), _interval(room, queue)).otherwise(col("shard")).cast("int")
-    ).drop("place")
-    taken, left = sum(over), []
-    for r in room:
-        used = min(r, taken)
-        taken -= used
-        left.append(r - used)
+    held = F.array(*[F.count(F.when(col("shard") == k, 1)) for k in range(shards)]).alias("held")
+    groups = cut_lineage(rows.groupBy("link").agg(F.count("*").alias("members"), held).filter("members > 1"))
+    rows = rows.select("id", "link", "size", "crc", "rec")
+
+    # A group above every quota fits nowhere as a whole. There are fewer such groups than shards; they fill shards from the first on.
+    large = groups.filter(col("members") > max(quotas)).select("link", "members").orderBy("link").collect()
+    names = [r["link"] for r in large]
+    start = reduce(lambda rest, k: F.when(col("link") == names[k], F.lit(sum(r["members"] for r in large[:k]))).otherwise(rest), range(len(large)), F.lit(0))
+    split = ranked(rows.filter(col("link").isin(names)), ["link"], SPREAD * 16, "_k")
+    split = split.withColumn("shard", _interval(quotas, start + col("_k")).cast("int")).drop("_k")
+    taken = sum(r["members"] for r in large)
+    homes, room = propagate(groups.filter(col("members") <= max(quotas)), _rest(quotas, taken))
+
+    homed = cut_lineage(rows.filter(~col("link").isin(names)).join(homes, "link", "left"))
+    whole = homed.filter("to >= 0").withColumn("shard", col("to").cast("int")).drop("to")
+    # Groups that fit nowhere take the free places from the first on, and rows without links those that are left.
+    cut = cut_lineage(in_line(homed.filter("to < 0").drop("to")))
+    left = _rest(room, cut.count())
+    cut = cut.withColumn("shard", _interval(room, col("place")).cast("int")).drop("place")
+    settled = split.unionByName(whole).unionByName(cut)
+    single = homed.filter("to is null").drop("to")
     filled_up = ranked(single, [], SPREAD * 16, "_k")
     filled_up = filled_up.withColumn("shard", _interval(left, col("_k")).cast("int")).drop("_k")
     everything = cut_lineage(settled.unionByName(filled_up))
