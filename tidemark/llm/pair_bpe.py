@@ -245,11 +245,10 @@ def round_trip(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = encoder_for(path)
         for texts in batches:
-            rows = []
+            # Each run leaves by itself, so a worker holds the ids of about ``batch_chars`` characters and not of all rows.
             for run in _batches(texts, batch_chars):
-                for ids in encoder.encode(run):
-                    rows.append((np.asarray(ids, np.int32), len(ids), *_digests(encoder, ids)))
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows = [(np.asarray(ids, np.int32), len(ids), *_digests(encoder, ids)) for ids in encoder.encode(run)]
+                yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text)
 
