@@ -223,6 +223,13 @@ def test_random_strings_are_found_and_allowed_ones_are_not():
         assert secrets.entropy_spans(f"see {harmless} there") == []
 
 
+def test_an_allowed_word_beside_a_random_string_does_not_hide_it():
+    key = "kJ8vQ2mZx7Lp0RtY5nWc3HbD"
+    for lead in ("placeholder=", "example-aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/"):
+        spans = secrets.entropy_spans(f"see {lead}{key} there")
+        assert any(a < 4 + len(lead) + len(key) and b > 4 + len(lead) for _, a, b in spans), lead
+
+
 # 5 and 7: tokens
 
 ODD = [

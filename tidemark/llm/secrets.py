@@ -98,12 +98,13 @@ def _mixed(text: str) -> int:
 
 def entropy_spans(text: str, window: int = 20, allowed: Sequence[re.Pattern] = ALLOWED) -> list[Span]:
     """Unions of overlapping random windows inside candidate runs. A span is dropped if it does not mix the kinds of
-    character of its class, or if an allowed pattern is found in it or in its run."""
+    character of its class, or if it overlaps a match of an allowed pattern in its run."""
     spans: set[tuple[int, int]] = set()
     for start, end in candidate_runs(text, window):
         run = text[start:end]
-        if any(p.search(run) for p in allowed):
-            continue
+        # A pattern that is tied to the start of the run speaks for all of it.
+        fine = [(start, end) if "^" in p.pattern else (start + m.start(), start + m.end()) for p in allowed for m in p.finditer(run)]
+        found: set[tuple[int, int]] = set()
         for pattern, least, kinds in CLASSES.values():
             for piece in pattern.finditer(run):
                 if len(piece.group()) < window:
@@ -113,11 +114,12 @@ def entropy_spans(text: str, window: int = 20, allowed: Sequence[re.Pattern] = A
                     if h >= least:
                         if i > closed:
                             if opened >= 0:
-                                spans.add(_checked(piece, opened, closed, kinds, start))
+                                found.add(_checked(piece, opened, closed, kinds, start))
                             opened = i
                         closed = i + window
                 if opened >= 0:
-                    spans.add(_checked(piece, opened, closed, kinds, start))
+                    found.add(_checked(piece, opened, closed, kinds, start))
+        spans |= {f for f in found if not any(f[0] < e and a < f[1] for a, e in fine)}
     spans.discard((-1, -1))
     inside = {s for s in spans if any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)}
     return [("entropy", a, b) for a, b in sorted(spans - inside)]
