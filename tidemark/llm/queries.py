@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, secrets, simhash, toxicity
+from tidemark.llm import bloom_dedup, centroids, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, secrets, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,40 @@ def op3_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _centroid_sql(clusters: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """The rounds of op13 as chained tables; every number is an exact integer."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS q FROM embeddings
+            WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+        f"""c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h) - 1 AS k, q AS c
+            FROM (SELECT q, sha256('3:' || vec_id::VARCHAR) AS h FROM kept ORDER BY h LIMIT {clusters}))""",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+            SELECT vec_id, any_value(q) AS q, min({{'d': d, 'k': k}}) AS best
+            FROM (SELECT vec_id, q, k, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d
+                  FROM kept, c{t}) GROUP BY vec_id)""")
+        if t < rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (
+            SELECT k, coalesce(m, c) AS c FROM c{t} LEFT JOIN (
+                SELECT k, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i) AS m
+                FROM (SELECT best.k AS k, i, sum(q[i]) AS s, count(*) AS n
+                      FROM a{t}, (SELECT unnest(range(1, {width + 1})) AS i) GROUP BY ALL) GROUP BY k) USING (k))""")
+    return "WITH " + ",\n".join(parts) + f"""
+        SELECT vec_id, best.k::INT AS cluster, best.d::BIGINT AS distance,
+               sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON best.k = c{rounds}.k"""
+
+
+@query("op13_centroids", _centroid_sql())
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    placed = centroids.cluster(table(spark, folder, "embeddings"), carry=["vec_id"])
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
