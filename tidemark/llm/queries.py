@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, centroids, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, secrets, simhash, toxicity
+from tidemark.llm import bloom_dedup, centroids, collocations, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, secrets, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,42 @@ def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+@query(
+    "op11_collocations",
+    r"""
+    WITH pieces AS MATERIALIZED (
+        SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w
+        FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+    counts AS MATERIALIZED (
+        SELECT lang, m, p, count(*) AS f FROM (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS p
+            FROM pieces, (SELECT unnest([1, 2, 3]) AS m)) GROUP BY ALL),
+    candidates AS (SELECT lang, m, p, f AS a, string_split(p, ' ') AS w FROM counts WHERE m > 1 AND f >= 10),
+    longer AS (
+        SELECT lang, p, max(a) AS a FROM (
+            SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM candidates WHERE m = 3)
+        GROUP BY ALL),
+    kept AS (
+        SELECT c.* FROM candidates c LEFT JOIN longer l ON c.lang = l.lang AND c.p = l.p AND c.m = 2
+        WHERE l.a IS NULL OR 100 * l.a < 50 * c.a),
+    cuts AS (
+        SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+        FROM kept, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+    scored AS (
+        SELECT c.lang, c.p, c.a, k, h.f AS l, t.f AS r, 1000000::HUGEINT * c.a * c.a // (h.f::HUGEINT * t.f) AS score
+        FROM cuts c JOIN counts h ON h.lang = c.lang AND h.p = head JOIN counts t ON t.lang = c.lang AND t.p = tail),
+    lowest AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)),
+    sizes AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang)
+    SELECT lang, rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM lowest JOIN sizes USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
