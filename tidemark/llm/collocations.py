@@ -1,104 +1,230 @@
 """Phrase collocations by dynamic itemset counting.
 
-The texts are dealt to shards, which are scanned in a cycle. Words are counted from the first shard on. As soon as both
-subphrases of a longer phrase (all but its last word, all but its first) have reached the threshold, the phrase is
-activated: it is counted from the next shard on until it has seen each shard once, however often the cycle wraps. So
-several lengths are counted in one scan, and phrases that cannot be frequent are hardly ever counted.
+The texts are dealt to shards, which are scanned in a cycle; one scan counts words and longer phrases together. A longer
+phrase is activated once both subphrases (all but its last word, all but its first) have reached the threshold: it is
+counted from the next shard on until it has seen each shard once, however the cycle wraps. Phrases that cannot be
+frequent are hardly ever counted.
+
+A scan splits texts into words in Arrow batches and counts numbered words with numpy, a bounded run of words at a time.
+Phrases are known by the 64-bit hashes of their words, which are checked to be different for all words; should two words
+ever share one, the count starts again with another seed.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import col
-from tidemark.session import cut_lineage, shared_folder
+from tidemark.session import cut_lineage
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters that end a piece. Between pieces the word list holds a line feed, which no word contains.
-ENDS = ".,;:!?\n\x0b\x0c\r"
+#: Characters that end a piece, all written as line feeds; tabs part words like blanks.
+ENDS = b".,;:!?\n\x0b\x0c\r"
+PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(ENDS) + b" ")
+ROW = "length int, lang string, word string, h1 long, h2 long, h3 long, n long"
+NEVER = np.iinfo(np.int32).max
 
 
-def words(text: Column) -> Column:
-    """The words of a text in order, A-Z in lower case, with a line feed wherever a piece ends. Null counts as empty."""
-    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + ENDS + "\t", LOWER + "\n" * len(ENDS) + " ")
-    return F.array_remove(F.split(F.replace(plain, F.lit("\n"), F.lit(" \n ")), " +"), "")
+class Frequent:
+    """Frequent words and pairs with the step that activated them, as sorted arrays that tasks search."""
 
+    def __init__(self, words: list, pairs: list | None):
+        order = np.argsort(np.array([w[0] for w in words], np.int64), kind="stable")
+        self.words = np.array([w[0] for w in words], np.int64)[order]
+        self.acts = np.array([w[1] for w in words], np.int32)[order]
+        self.pairs = self.pair_acts = None
+        if pairs is not None:
+            keys = [self.find(np.array([p[i] for p in pairs], np.int64))[0] for i in (0, 1)]
+            keys = keys[0] << 32 | keys[1]
+            order = np.argsort(keys, kind="stable")
+            self.pairs, self.pair_acts = keys[order], np.array([p[2] for p in pairs], np.int32)[order]
 
-def phrases(shard: DataFrame, length: int) -> DataFrame:
-    """(lang, w1 ... w``length``): every occurrence of a phrase of that length inside a piece."""
-    shifted = [F.slice("words", i + 1, F.greatest(F.size("words") - i, F.lit(0))).alias(f"w{i + 1}") for i in range(length)]
-    rows = shard.select("lang", F.inline(F.arrays_zip(*shifted)))
-    return reduce(lambda df, i: df.filter(col(f"w{i + 1}") != "\n"), range(length), rows)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, activating step) of each word, NEVER as the step of those that are not frequent."""
+        return _search(self.words, self.acts, hashes)
 
+    def find_pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return _search(self.pairs, self.pair_acts, first << 32 | second)[1]
 
-def joined(first: int, last: int) -> Column:
-    return F.concat_ws(" ", *[f"w{i}" for i in range(first, last + 1)])
 
+def _search(keys: np.ndarray, acts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.full(len(wanted), NEVER, np.int32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, np.where(keys[at] == wanted, acts[at], NEVER)
 
-def _matched(rows: DataFrame, length: int, step: int, shards: int, active: DataFrame, small: bool) -> DataFrame:
-    """(lang, phrase, n) of the phrases of ``length`` that are active in this step.
 
-    ``active`` has (lang, phrase, act) of the frequent phrases one word shorter. A small one is broadcast and met by every
-    occurrence; a large one meets the counts of this shard by shuffle. Both give the same rows.
-    """
-    rows = rows.select("lang", joined(1, length).alias("phrase"), joined(1, length - 1).alias("head"), joined(2, length).alias("tail"))
-    if not small:
-        rows = rows.groupBy("lang", "phrase", "head", "tail").agg(F.count("*").alias("n"))
-    else:
-        rows = rows.withColumn("n", F.lit(1).cast("long"))
-    for side in ("head", "tail"):
-        known = active.select("lang", F.col("phrase").alias(side), F.col("act").alias(f"{side}_act"))
-        rows = rows.join(F.broadcast(known) if small else known, ["lang", side])
-    start = F.greatest("head_act", "tail_act") + 1
-    return rows.filter((start <= step) & (F.lit(step) < start + shards)).select("lang", "phrase", "n")
-
-
-def count_frequent(
-    docs: DataFrame, text: str, lang: str, longest: int, least: int, shards: int, max_broadcast_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """((lang, length, phrase, n) for every phrase of 1 to ``longest`` words with n >= ``least``, (lang, n) of all words)."""
-    tokens = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"), words(col(text)).alias("words"))
-    # Rows are dealt in turn inside each partition; the stored deal is what every scan reads.
-    dealt = tokens.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
-    folder = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    dealt.write.partitionBy("shard").parquet(folder)
-    table = docs.sparkSession.read.schema(dealt.schema).parquet(folder)
-    sizes = table.groupBy("lang").agg(F.sum(F.size(F.array_remove("words", "\n"))).alias("n"))
-    state = None
+def words(text: str | None) -> list[bytes]:
+    """The words of a text in order, A-Z in lower case; an empty word stands wherever a piece ends."""
+    out = []
+    for piece in (text or "").encode("utf-8", "surrogatepass").translate(PLAIN).split(b"\n"):
+        if piece:
+            out += piece.split()
+            out.append(b"")
+    return out
+
+
+def _runs(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(numbers), return_counts=True)
+
+
+def scan(lengths: list[int], step: int, shards: int, frequent, seed: int, run: int):
+    """A function over Arrow batches (lang, text) that gives rows of ROW: counts of the active phrases of ``lengths``."""
+
+    def start_in_window(acts: np.ndarray) -> np.ndarray:
+        return (acts < step) & (step <= acts.astype(np.int64) + shards)
+
+    def count(ids: np.ndarray, names: list, hashes: np.ndarray):
+        known = frequent.value if frequent is not None else None
+        at, acts = known.find(hashes) if known is not None else (None, None)
+        if 1 in lengths:
+            n = np.bincount(ids, minlength=len(names))
+            n[0] = 0
+            hit = np.flatnonzero(n)
+            yield 1, [names[i][0] for i in hit], [names[i][1] for i in hit], [hashes[hit]], n[hit]
+        for length in sorted(set(lengths) - {1}):
+            windows = [ids[i : len(ids) - length + 1 + i] for i in range(length)]
+            fits = reduce(np.logical_and, [w > 0 for w in windows])
+            if known is not None:
+                if length == 2:
+                    fits &= start_in_window(np.maximum(*[acts[w] for w in windows]))
+                else:
+                    fits &= reduce(np.logical_and, [acts[w] != NEVER for w in windows])
+            windows = [w[fits] for w in windows]
+            if length == 3 and known is not None and known.pairs is not None:
+                pair_acts = np.maximum(*[known.find_pairs(at[windows[i]], at[windows[i + 1]]) for i in (0, 1)])
+                fits = start_in_window(pair_acts)
+                windows = [w[fits] for w in windows]
+            key, n = np.unique(windows[0].astype(np.int64) << 32 | windows[1], return_counts=True) if length == 2 else (None, None)
+            if length == 3:
+                pairs, place = np.unique(windows[0].astype(np.int64) << 32 | windows[1], return_inverse=True)
+                key, n = np.unique(place.astype(np.int64) << 32 | windows[2], return_counts=True)
+                head = pairs[key >> 32] if len(key) else key
+                parts = [head >> 32, head & 0xFFFFFFFF, key & 0xFFFFFFFF]
+            else:
+                parts = [key >> 32, key & 0xFFFFFFFF]
+            yield length, None, None, [hashes[p] for p in parts], n
+
+    def rows(ids, names, digests):
+        for length, langs, texts, keys, n in count(np.concatenate(ids), names, np.array(digests, np.int64)):
+            for at in range(0, len(n), 100_000):
+                part = slice(at, at + 100_000)
+                size = len(n[part])
+                empty = pa.nulls(size, pa.string())
+                columns = [pa.array(np.full(size, length, np.int32))]
+                columns += [pa.array(langs[part], pa.string()), pa.array(texts[part], pa.string())] if langs is not None else [empty, empty]
+                columns += [pa.array(k[part]) for k in keys] + [pa.nulls(size, pa.int64())] * (3 - len(keys))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[part].astype(np.int64))], ["length", "lang", "word", "h1", "h2", "h3", "n"])
+
+    def fresh():
+        # Number 0 is the end of a piece.
+        return [], [("", "")], [0], {}
+
+    def work(batches):
+        ids, names, digests, numbers = fresh()
+        held = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of = numbers.setdefault(lang, {b"": 0})
+                tokens = words(text)
+                new = set(tokens).difference(of)
+                for w in new:
+                    of[w] = len(names)
+                    names.append((lang, w.decode("utf-8", "replace")))
+                    digests.append(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\t" + w, seed) - (1 << 63))
+                ids.append(np.fromiter(map(of.__getitem__, tokens), np.int32, len(tokens)))
+                held += len(tokens)
+                if held >= run:
+                    yield from rows(ids, names, digests)
+                    ids, names, digests, numbers = fresh()
+                    held = 0
+        if held:
+            yield from rows(ids, names, digests)
+
+    return work
+
+
+def _matched(rows: DataFrame, length: int, step: int, shards: int, active: DataFrame) -> DataFrame:
+    """The counted phrases of ``length`` that are active in this step, by shuffle joins with their two subphrases."""
+    for side, first in (("head", 1), ("tail", 2)):
+        names = [F.col(f"h{i}").alias(f"h{i + first - 1}") for i in range(1, length)]
+        rows = rows.join(active.select(*names, F.col("act").alias(side)), [f"h{i + first - 1}" for i in range(1, length)])
+    late = F.greatest("head", "tail")
+    return rows.filter((late < step) & (F.lit(step) <= late + shards)).drop("head", "tail")
+
+
+def _total(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _count(docs: DataFrame, longest: int, least: int, shards: int, max_broadcast_rows: int, run: int, seed: int):
+    """[words, pairs, triples] with n >= ``least``, and all words; None if two words share a hash."""
+    spark = docs.sparkSession
+    keys = {1: ["lang", "word", "h1"], 2: ["h1", "h2"], 3: ["h1", "h2", "h3"]}
+    deltas: dict[int, list[DataFrame]] = {1: [], 2: [], 3: []}
+    active: dict[int, DataFrame] = {}
+    sizes = {1: 0, 2: 0, 3: 0}
+    everything = None
+
+    def activate(length: int, step: int) -> None:
+        nonlocal everything
+        total = _total(deltas[length], keys[length])
+        if length == 1 and step == shards - 1:
+            everything = total = cut_lineage(total)
+        reached = total.filter(F.col("n") >= least).drop("n")
+        if length in active:
+            old = active[length].drop("n")
+            reached = reached.join(old, keys[length], "left").withColumn("act", F.coalesce("act", F.lit(step)))
+        else:
+            reached = reached.withColumn("act", F.lit(step))
+        active[length] = cut_lineage(reached)
+        sizes[length] = active[length].count()
+
     for step in range(longest * shards):
-        shard = table.filter(F.col("shard") == step % shards)
-        found = []
-        if step < shards:
-            found.append(phrases(shard, 1).select("lang", F.lit(1).alias("length"), F.col("w1").alias("phrase"), F.lit(1).cast("long").alias("n")))
-        active = {} if state is None else {
-            r["length"]: r["rows"] for r in state.filter("act IS NOT NULL").groupBy("length").agg(F.count("*").alias("rows")).collect()
-        }
-        for length in range(2, longest + 1):
-            # A phrase of this length starts in step length - 1 at the earliest and ends within `length` cycles.
-            if active.get(length - 1) and length - 1 <= step < length * shards:
-                rows = phrases(shard, length)
-                if active[length - 1] > max_broadcast_rows and active[1] <= max_broadcast_rows:
-                    frequent = F.broadcast(state.filter("act IS NOT NULL AND length = 1"))
-                    for i in range(1, length + 1):
-                        rows = rows.join(frequent.select("lang", F.col("phrase").alias(f"w{i}")), ["lang", f"w{i}"], "left_semi")
-                known = state.filter((F.col("length") == length - 1) & F.col("act").isNotNull())
-                rows = _matched(rows, length, step, shards, known, active[length - 1] <= max_broadcast_rows)
-                found.append(rows.select("lang", F.lit(length).alias("length"), "phrase", "n"))
-        if not found:
+        # Words run in the first cycle; a longer phrase may start behind the first test of the next shorter ones.
+        lengths = [1] if step < shards else []
+        lengths += [k for k in range(2, longest + 1) if sizes[k - 1] and step < k * shards]
+        if not lengths:
             continue
-        new = reduce(DataFrame.unionByName, found).withColumn("act", F.lit(None).cast("int"))
-        if state is not None:
-            # Lengths whose cycles are over keep their frequent phrases only.
-            over = step // shards
-            new = new.unionByName(state.filter((F.col("length") > over) | F.col("act").isNotNull()))
-        merged = new.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"), F.min("act").alias("act"))
-        reached = F.coalesce("act", F.when(F.col("n") >= least, F.lit(step)))
-        state = cut_lineage(merged.select("lang", "length", "phrase", "n", reached.alias("act")))
-    return state.filter("act IS NOT NULL").drop("act"), sizes
+        known = None
+        by_shuffle = set()
+        if len(lengths) > 1 or lengths[0] > 1:
+            if sizes[1] <= max_broadcast_rows:
+                found = active[1].select("h1", "act").collect()
+                pairs = None
+                if 3 in lengths and sizes[2] <= max_broadcast_rows:
+                    pairs = active[2].select("h1", "h2", "act").collect()
+                known = spark.sparkContext.broadcast(Frequent(found, pairs))
+                by_shuffle = {3} if pairs is None else set()
+            else:
+                by_shuffle = {2, 3}
+        shard = docs.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(shards)) == step % shards)
+        rows = shard.mapInArrow(scan(lengths, step, shards, known, seed, run), ROW)
+        rows = cut_lineage(rows.groupBy("length", "lang", "word", "h1", "h2", "h3").agg(F.sum("n").alias("n")))
+        for length in lengths:
+            part = rows.filter(F.col("length") == length).select(*keys[length], "n")
+            if length in by_shuffle:
+                part = cut_lineage(_matched(part, length, step, shards, active[length - 1]))
+            deltas[length].append(part)
+        if step < shards:
+            activate(1, step)
+        # Pairs are tested at the end of each cycle: a later test only starts triples later.
+        if longest > 2 and step % shards == shards - 1 and step < 2 * shards and deltas[2]:
+            activate(2, step)
+        if known is not None:
+            known.unpersist()
+        if step == shards - 1 and not everything.groupBy("h1").count().filter("count > 1").isEmpty():
+            return None
+    frequent = [cut_lineage(everything.filter(F.col("n") >= least))]
+    for length in range(2, longest + 1):
+        if deltas[length]:
+            frequent.append(cut_lineage(_total(deltas[length], keys[length]).filter(F.col("n") >= least)))
+    return frequent, everything
 
 
 def collocations(
@@ -109,37 +235,70 @@ def collocations(
     least: int = 10,
     covered: int = 50,
     top: int = 2000,
-    shards: int = 4,
-    max_broadcast_rows: int = 500_000,
+    shards: int = 2,
+    max_broadcast_rows: int = 1_000_000,
+    run: int = 2_000_000,
 ) -> DataFrame:
-    """The ``top`` phrases of 2 to ``longest`` words for each language: lang, rank, phrase, a, l, r, n, score.
+    """The ``top`` phrases of 2 to ``longest`` (2 or 3) words for each language: lang, rank, phrase, a, l, r, n, score.
 
     a, l, r are the occurrences of the phrase, of its first part and of its rest at the cut with the lowest score
     floor(1000000 a a / (l r)), of equal ones the first; n counts all words of the language. Phrases with fewer than
     ``least`` occurrences do not count, and one that lies inside a longer phrase with at least ``covered`` percent of its
     occurrences goes. Texts split into pieces at ``.,;:!?`` and line ends, pieces into words at blanks and tabs; only A-Z
     change case. Null texts count as empty, a null language is ``und``, repeated rows count each time; no texts, no rows.
-    Arithmetic is exact for counts below 10**15. Other columns are not read. Runs one job a shard scan
-    (at most ``longest * shards``) while it builds the result.
+    Arithmetic is exact for counts below 10**15. Other columns are not read.
+
+    Runs one job a shard scan (at most ``longest * shards``) while it builds the result. Up to ``max_broadcast_rows``
+    frequent words (and pairs) are broadcast to the scans; more of them meet the counts by shuffle, with the same result.
     """
-    counts, sizes = count_frequent(docs, text, lang, longest, least, shards, max_broadcast_rows)
-    many = counts.filter("length > 1").withColumnRenamed("n", "a").withColumn("w", F.split("phrase", " "))
-    # Every proper part of two words or more of every frequent phrase, with the largest count that covers it.
-    starts = F.expr("flatten(transform(sequence(2, length - 1), m -> transform(sequence(1, length - m + 1), s -> array_join(slice(w, s, m), ' '))))")
-    inside = many.filter("length > 2").select("lang", "a", F.explode(starts).alias("phrase"))
-    longer = inside.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = many.join(longer, ["lang", "phrase"], "left").filter(
-        F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * covered)
-    )
-    cuts = kept.select("lang", "phrase", "a", "w", "length", F.explode(F.expr("sequence(1, length - 1)")).alias("k"))
-    cuts = cuts.withColumn("first", F.expr("array_join(slice(w, 1, k), ' ')")).withColumn("rest", F.expr("array_join(slice(w, k + 1, length), ' ')"))
-    for part, name in (("first", "l"), ("rest", "r")):
-        cuts = cuts.join(counts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name)), ["lang", part])
-    wide = {c: F.col(c).cast("decimal(15,0)") for c in "alr"}
-    cuts = cuts.withColumn("top", F.lit(1_000_000).cast("decimal(7,0)") * (wide["a"] * wide["a"])).withColumn("under", wide["l"] * wide["r"])
-    best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(F.expr("top div under").alias("score"), "k", "l", "r")).alias("cut"))
+    docs = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text), F.lit("")).alias("text"))
+    seed = 42
+    while (counted := _count(docs, longest, least, shards, max_broadcast_rows, run, seed)) is None:
+        seed += 1
+    (singles, *longer), everything = counted
+    sizes = everything.groupBy("lang").agg(F.sum("n").alias("n"))
+    singles = singles.withColumnRenamed("n", "n1")
+    scored = []
+    for table in longer:
+        scored.append(_scored(table, len(table.columns) - 1, singles, longer, covered))
+    if not scored:
+        scored = [_scored(everything.limit(0).select("h1", F.col("h1").alias("h2"), "n"), 2, singles, [], covered)]
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.join(F.broadcast(sizes), "lang").select(
+    ranked = reduce(DataFrame.unionByName, scored).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").alias("score")
     )
+
+
+def _score(a: Column, left: Column, right: Column, k: int) -> Column:
+    """struct(score, k, l, r) of one cut, exact."""
+    wide = [c.cast("decimal(15,0)") for c in (a, left, right)]
+    above = F.lit(1_000_000).cast("decimal(7,0)") * (wide[0] * wide[0])
+    score = F.call_function("div", above, wide[1] * wide[2])
+    return F.struct(score.alias("score"), F.lit(k).alias("k"), left.alias("l"), right.alias("r"))
+
+
+def _scored(table: DataFrame, length: int, singles: DataFrame, longer: list[DataFrame], covered: int) -> DataFrame:
+    """(lang, phrase, a, cut) of the frequent phrases of one length that no longer phrase covers."""
+    rows = table.withColumnRenamed("n", "a")
+    for more in longer:
+        size = len(more.columns) - 1
+        if size > length:
+            starts = [F.struct(*[F.col(f"h{s + i}").alias(f"h{i}") for i in range(1, length + 1)]) for s in range(size - length + 1)]
+            inside = more.select("n", F.inline(F.array(*starts)))
+            most = inside.groupBy(*[f"h{i}" for i in range(1, length + 1)]).agg(F.max("n").alias("most"))
+            rows = rows.join(most, [f"h{i}" for i in range(1, length + 1)], "left")
+            rows = rows.filter(F.col("most").isNull() | (F.col("most") * 100 < F.col("a") * covered)).drop("most")
+    for i in range(1, length + 1):
+        keep = [F.col("word").alias(f"w{i}"), F.col("n1").alias(f"n{i}"), *(["lang"] if i == 1 else [])]
+        rows = rows.join(singles.select(F.col("h1").alias(f"h{i}"), *keep), f"h{i}")
+    cuts = []
+    if length == 2:
+        cuts = [_score(F.col("a"), F.col("n1"), F.col("n2"), 1)]
+    else:
+        pairs = longer[0]
+        rows = rows.join(pairs.select("h1", "h2", F.col("n").alias("n12")), ["h1", "h2"])
+        rows = rows.join(pairs.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("n").alias("n23")), ["h2", "h3"])
+        cuts = [_score(F.col("a"), F.col("n1"), F.col("n23"), 1), _score(F.col("a"), F.col("n12"), F.col("n3"), 2)]
+    phrase = F.concat_ws(" ", *[f"w{i}" for i in range(1, length + 1)])
+    return rows.select("lang", phrase.alias("phrase"), "a", F.array_min(F.array(*cuts)).alias("cut"))
