@@ -69,8 +69,18 @@ def words(text: str | None) -> list[bytes]:
     return out
 
 
-def _runs(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(numbers), return_counts=True)
+class Numbers(dict):
+    """Numbers of the words of one language; a new word gets the next number, its name and its hash."""
+
+    def __init__(self, lang: str, names: list, digests: list, seed: int):
+        super().__init__({b"": 0})
+        self.lang, self.prefix, self.names, self.digests, self.seed = lang, lang.encode("utf-8", "surrogatepass") + b"\t", names, digests, seed
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        self.names.append((self.lang, word))
+        self.digests.append(xxhash.xxh64_intdigest(self.prefix + word, self.seed) - (1 << 63))
+        return number
 
 
 def scan(lengths: list[int], step: int, shards: int, frequent, seed: int, run: int):
@@ -86,7 +96,7 @@ def scan(lengths: list[int], step: int, shards: int, frequent, seed: int, run: i
             n = np.bincount(ids, minlength=len(names))
             n[0] = 0
             hit = np.flatnonzero(n)
-            yield 1, [names[i][0] for i in hit], [names[i][1] for i in hit], [hashes[hit]], n[hit]
+            yield 1, [names[i][0] for i in hit], [names[i][1].decode('utf-8', 'replace') for i in hit], [hashes[hit]], n[hit]
         for length in sorted(set(lengths) - {1}):
             windows = [ids[i : len(ids) - length + 1 + i] for i in range(length)]
             fits = reduce(np.logical_and, [w > 0 for w in windows])
@@ -123,20 +133,17 @@ def scan(lengths: list[int], step: int, shards: int, frequent, seed: int, run: i
 
     def fresh():
         # Number 0 is the end of a piece.
-        return [], [("", "")], [0], {}
+        return [], [("", b"")], [0], {}
 
     def work(batches):
         ids, names, digests, numbers = fresh()
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                of = numbers.setdefault(lang, {b"": 0})
+                of = numbers.get(lang)
+                if of is None:
+                    of = numbers[lang] = Numbers(lang, names, digests, seed)
                 tokens = words(text)
-                new = set(tokens).difference(of)
-                for w in new:
-                    of[w] = len(names)
-                    names.append((lang, w.decode("utf-8", "replace")))
-                    digests.append(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\t" + w, seed) - (1 << 63))
                 ids.append(np.fromiter(map(of.__getitem__, tokens), np.int32, len(tokens)))
                 held += len(tokens)
                 if held >= run:
