@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bloom_dedup, centroids, collocations, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, secrets, simhash, toxicity
+from tidemark.llm import (
+    bloom_dedup, centroids, collocations, decontaminate, gam, label_shards, minhash, ngram_lm, packed_ids, pair_bpe, secrets, simhash,
+    toxicity,
+)
 from tidemark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +169,32 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(documents(spark, folder))
 
 
+@query(
+    "op12_minhash",
+    r"""
+    WITH RECURSIVE split AS MATERIALIZED (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    shingles AS MATERIALIZED (
+        SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM split WHERE len(w) > 0),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+    ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+    FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+    """,
+)
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, folder), carry=["doc_id"])
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
