@@ -69,8 +69,8 @@ def cluster(
     and replaces every centroid that has vectors by the floor of their mean. Rows of another width, or with a null or
     non-finite component, are left out. With fewer vectors than ``clusters`` there are fewer centroids; no vectors give no
     rows. A null id hashes as empty text; rows of equal ids start in the order of their components, equal vectors fall
-    into one cluster. Components beyond 2**27 are computed as 38-digit decimals, more digits raise Spark's overflow error
-    rather than wrap. ``carry`` names the input columns that are kept (all if not given); results replace columns of their
+    into one cluster. Components beyond 2**27 are computed as 38-digit decimals; more digits there, and distances or inertias
+    beyond 63 bits, raise Spark's overflow error rather than wrap. ``carry`` names the input columns that are kept (all if not given); results replace columns of their
     names. Runs one job a round while it builds the result.
     """
     columns = vectors.columns if carry is None else carry
@@ -96,7 +96,7 @@ def cluster(
         columns,
         cluster=number.cast("int"),
         distance=F.col("best.distance").cast("long"),
-        cluster_inertia=F.get(F.array(*[F.lit(inertia.get(k, 0)).cast("long") for k in range(len(centroids))]), number),
-        inertia=F.lit(sum(inertia.values())).cast("long"),
+        cluster_inertia=F.get(F.array(*[F.expr(f"bigint({inertia.get(k, 0)})") for k in range(len(centroids))]), number),
+        inertia=F.expr(f"bigint({sum(inertia.values())})"),
         centroid_sha256=F.get(F.array(*[F.lit(d) for d in digests]), number),
     )
