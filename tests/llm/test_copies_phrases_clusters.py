@@ -61,9 +61,10 @@ def test_near_copies_like_brute_force(spark):
             for _ in range(rng.choice([0, 1, 1, 2, 4])):
                 text[rng.randrange(len(text))] = f"x{rng.randrange(100)}"
             texts[len(texts)] = " ".join(text)
-    rows = near_rows(spark, texts)
     sets = brute_sets(texts)
-    assert {k: r["component_id"] for k, r in rows.items()} == brute_components(sets)
+    for direct in (0, 8):
+        rows = near_rows(spark, texts, direct=direct)
+        assert {k: r["component_id"] for k, r in rows.items()} == brute_components(sets)
     assert all(r["n_shingles"] == len(sets[k]) and r["kept"] == (r["component_id"] == k) for k, r in rows.items())
 
 
@@ -81,6 +82,21 @@ def test_a_crowd_around_one_text_is_one_component(spark):
     assert {k: r["component_id"] for k, r in rows.items()} == brute_components(brute_sets(texts))
 
 
+def test_links_inside_a_crowd_that_its_leader_does_not_reach(spark):
+    """Texts with many changes, some shared by a few, and cut ones of other lengths: nothing is lost without all pairs."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    texts = {}
+    for k in range(90):
+        text = list(base[: rng.choice([160, 150, 140, 130])])
+        for i in rng.sample(range(len(text)), rng.choice([1, 4, 5, 6])):
+            text[i] = f"x{rng.choice([k, k % 7])}"
+        texts[k] = " ".join(text)
+    want = brute_components(brute_sets(texts))
+    rows = near_rows(spark, texts, direct=0)
+    assert {k: r["component_id"] for k, r in rows.items()} == want and 1 < len(set(want.values())) < 90
+
+
 def test_chains_are_followed(spark):
     """Neighbours are linked, ends are not: a sliding text of 40 steps is one component."""
     words = [f"w{i}" for i in range(500)]

@@ -2,7 +2,8 @@
 
 Texts with one shingle set are one node. A node's ``bands * band_rows`` minima are cut into bands; nodes that share a band
 meet. A crowd is never paired with itself at once: each band value first compares its best linked member with all
-others, and only members that are still apart meet each other. Pairs are sifted by how many minima agree and confirmed on
+others, and only members that are still apart meet each other. In a crowd they do so only where the parts of their sets
+outside the leader's set touch, or where sizes alone leave a link open; no other pair can be linked. Pairs are sifted by how many minima agree and confirmed on
 the full sets, so every link is exact; a link at the threshold is missed by all bands with a chance of
 (1 - threshold ** band_rows) ** bands, 7e-9 as given.
 """
@@ -172,6 +173,45 @@ def _led(members: DataFrame, among: DataFrame) -> DataFrame:
     return pairs.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
 
 
+def _crowded(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of members with different roots that may be linked, without meeting all pairs of a crowd.
+
+    With L the leader's set, two sets share at most min(|X & L|, |Y & L|) shingles inside L and those of X - L and Y - L that
+    are equal outside. So a pair needs an equal shingle outside L, or sizes that leave the bound inside L open: the latter
+    takes a set smaller than L, as at least one of the two is not linked with the leader.
+    """
+    leader = members.groupBy("key").agg(F.max(F.struct("crowd", "node", "n", "root")).alias("l"))
+    led = members.join(leader, "key").select(F.col("l.node").alias("lead"), F.col("l.n").alias("nl"), F.col("l.root").alias("rl"), "node", "n", "root")
+    led = led.distinct()
+
+    @F.pandas_udf("array<long>")
+    def outside(own: pd.Series, led_by: pd.Series) -> pd.Series:
+        return pd.Series([np.setdiff1d(x, y, assume_unique=True) for x, y in zip(own, led_by)])
+
+    for side in ("node", "lead"):
+        led = led.join(nodes.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+    led = led.select("lead", "nl", "rl", "node", "n", "root", outside("s_node", "s_lead").alias("extra"))
+    led = cut_lineage(led.withColumn("inner", F.col("n") - F.size("extra")))
+    apart = led.select("lead", "node", "n", "root", "inner", F.explode("extra").alias("s"))
+    touched = apart.groupBy("lead", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    apart = cut_lineage(apart.join(touched.select("lead", "s"), ["lead", "s"]))
+    sides = [apart.select("lead", "s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "inner")]) for x in "ab"]
+    shared = sides[0].join(sides[1], ["lead", "s"]).filter("node_a < node_b AND root_a <> root_b")
+    shared = shared.groupBy("lead", "node_a", "node_b", "n_a", "n_b", "inner_a", "inner_b").agg(F.count("*").alias("same"))
+    shared = shared.filter((F.least("inner_a", "inner_b") + F.col("same")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    # Nothing equal outside L: 100 i >= percent (na + nb - i) with i at most |X & L| bounds the other set's size.
+    open_to = F.floor(F.col("inner") * (100 + percent) / percent - F.col("n"))
+    one = led.filter("root <> rl").select("lead", F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), open_to.alias("most"))
+    one = one.join(led.groupBy("lead").agg(F.min("n").alias("smallest")), "lead").filter("most >= smallest")
+    other = led.filter("n < nl").select(
+        "lead", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"),
+        F.floor(F.col("inner") * (100 + percent) / percent - F.col("n")).alias("most_b"),
+    )
+    sized = one.join(other, "lead").filter("n_b <= most AND n_a <= most_b AND root_a <> root_b")
+    pairs = [p.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")) for p in (shared, sized)]
+    return pairs[0].unionByName(pairs[1])
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -182,6 +222,7 @@ def near_duplicates(
     bands: int = 32,
     band_rows: int = 5,
     seed: int = 11,
+    direct: int = 8,
 ) -> DataFrame:
     """Every row with ``n_shingles``, ``component_id`` (the smallest id reachable over links) and ``kept`` (it is the own id).
 
@@ -219,9 +260,14 @@ def near_duplicates(
     others = apart.join(first, "key").filter("root <> done").drop("done")
     links.append(_confirmed(_led(apart, others), nodes, percent, count))
     apart, roots = _apart(apart, links)
-    left = apart.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = apart.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    # Few members meet each other directly; both ways find the same links.
+    fill = apart.groupBy("key").agg(F.count("*").alias("fill"))
+    apart = cut_lineage(apart.join(fill, "key"))
+    few = apart.filter(F.col("fill") <= direct)
+    left = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = left.join(right, "key").filter("a < b AND ra <> rb").select("a", "b", "na", "nb")
+    pairs = pairs.unionByName(_crowded(apart.filter(F.col("fill") > direct).drop("fill"), nodes, percent))
     links.append(_confirmed(pairs, nodes, percent, count))
     roots = alternating_stars(reduce(DataFrame.unionByName, links))
 
