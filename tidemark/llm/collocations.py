@@ -33,16 +33,15 @@ NEVER = np.iinfo(np.int32).max
 class Frequent:
     """Frequent words and pairs with the step that activated them, as sorted arrays that tasks search."""
 
-    def __init__(self, words: list, pairs: list | None):
-        order = np.argsort(np.array([w[0] for w in words], np.int64), kind="stable")
-        self.words = np.array([w[0] for w in words], np.int64)[order]
-        self.acts = np.array([w[1] for w in words], np.int32)[order]
+    def __init__(self, words: pa.Table, pairs: pa.Table | None):
+        hashes = words["h1"].to_numpy()
+        order = np.argsort(hashes)
+        self.words, self.acts = hashes[order], words["act"].to_numpy().astype(np.int32)[order]
         self.pairs = self.pair_acts = None
         if pairs is not None:
-            keys = [self.find(np.array([p[i] for p in pairs], np.int64))[0] for i in (0, 1)]
-            keys = keys[0] << 32 | keys[1]
-            order = np.argsort(keys, kind="stable")
-            self.pairs, self.pair_acts = keys[order], np.array([p[2] for p in pairs], np.int32)[order]
+            keys = self.find(pairs["h1"].to_numpy())[0] << 32 | self.find(pairs["h2"].to_numpy())[0]
+            order = np.argsort(keys)
+            self.pairs, self.pair_acts = keys[order], pairs["act"].to_numpy().astype(np.int32)[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, activating step) of each word, NEVER as the step of those that are not frequent."""
@@ -202,10 +201,10 @@ def _count(docs: DataFrame, longest: int, least: int, shards: int, max_broadcast
         by_shuffle = set()
         if len(lengths) > 1 or lengths[0] > 1:
             if sizes[1] <= max_broadcast_rows:
-                found = active[1].select("h1", "act").collect()
+                found = active[1].select("h1", "act").toArrow()
                 pairs = None
                 if 3 in lengths and sizes[2] <= max_broadcast_rows:
-                    pairs = active[2].select("h1", "h2", "act").collect()
+                    pairs = active[2].select("h1", "h2", "act").toArrow()
                 known = spark.sparkContext.broadcast(Frequent(found, pairs))
                 by_shuffle = {3} if pairs is None else set()
             else:

@@ -192,17 +192,25 @@ def _crowded(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         led = led.join(nodes.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     led = led.select("lead", "nl", "rl", "node", "n", "root", outside("s_node", "s_lead").alias("extra"))
     led = cut_lineage(led.withColumn("inner", F.col("n") - F.size("extra")))
-    apart = led.select("lead", "node", "n", "root", "inner", F.explode("extra").alias("s"))
-    touched = apart.groupBy("lead", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    apart = cut_lineage(apart.join(touched.select("lead", "s"), ["lead", "s"]))
-    sides = [apart.select("lead", "s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "inner")]) for x in "ab"]
+    lowest = led.groupBy("lead").agg(F.min("n").alias("smallest"))
+    # How many equal shingles outside L every link of X needs, whatever the other set is. So a link shows among the rarest
+    # |X - L| - need + 1 of them on both sides, and shingles that nobody else has keep most sets apart.
+    other_size = F.greatest(F.ceil(F.col("n") * percent / 100), "smallest")
+    need = F.greatest(F.lit(1), F.ceil((F.col("n") + other_size) * percent / (100 + percent)) - F.col("inner"))
+    apart = led.join(lowest, "lead").select("lead", "node", "n", "root", (F.size("extra") - need + 1).cast("int").alias("first"), F.explode("extra").alias("s"))
+    apart = cut_lineage(apart.filter("first > 0"))
+    held = apart.groupBy("lead", "s").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rarest = apart.join(held, ["lead", "s"]).groupBy("lead", "node", "n", "root", "first").agg(
+        F.sort_array(F.collect_list(F.struct("c", "s", (F.col("low") < F.col("high")).alias("met")))).alias("order")
+    )
+    rarest = rarest.select("lead", "node", "n", "root", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o")).filter("o.met")
+    rarest = cut_lineage(rarest.select("lead", "node", "n", "root", F.col("o.s").alias("s")))
+    sides = [rarest.select("lead", "s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "ab"]
     shared = sides[0].join(sides[1], ["lead", "s"]).filter("node_a < node_b AND root_a <> root_b")
-    shared = shared.groupBy("lead", "node_a", "node_b", "n_a", "n_b", "inner_a", "inner_b").agg(F.count("*").alias("same"))
-    shared = shared.filter((F.least("inner_a", "inner_b") + F.col("same")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     # Nothing equal outside L: 100 i >= percent (na + nb - i) with i at most |X & L| bounds the other set's size.
     open_to = F.floor(F.col("inner") * (100 + percent) / percent - F.col("n"))
     one = led.filter("root <> rl").select("lead", F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), open_to.alias("most"))
-    one = one.join(led.groupBy("lead").agg(F.min("n").alias("smallest")), "lead").filter("most >= smallest")
+    one = one.join(lowest, "lead").filter("most >= smallest")
     other = led.filter("n < nl").select(
         "lead", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"),
         F.floor(F.col("inner") * (100 + percent) / percent - F.col("n")).alias("most_b"),
