@@ -176,7 +176,7 @@ def library_tokenizer(path: str, remembered: int = 1_000_000) -> Callable[[], Ca
 
 
 @functools.lru_cache(maxsize=2)
-def _library(path: str, remembered: int) -> Callable[[pd.Series], list[np.ndarray]]:
+def _library(path: str, remembered: int, run_chars: int = 2_000_000) -> Callable[[pd.Series], list[np.ndarray]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -184,35 +184,51 @@ def _library(path: str, remembered: int) -> Callable[[pd.Series], list[np.ndarra
     tokenizer.no_padding()
     split = vocabulary(path).split_word
     words: dict[str, bytes] = {}
-    pieces: dict[str | int, bytes] = {}
+    pieces: dict[str, bytes] = {}
 
     def ids_of(text: str) -> bytes:
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(word: str) -> bytes:
-        if any(map(unicodedata.combining, word)):
-            return ids_of(word)  # marks are put in order for the whole word
-        parts = split(word)
-        for part in parts:
-            if part not in pieces:
-                pieces[part] = np.asarray([part], "<u4").tobytes() if isinstance(part, int) else ids_of(part)
-        return b"".join([pieces[part] for part in parts])
+    def learn_pieces(fresh: list[str]) -> None:
+        """One call for many pieces between blanks. Where the library does not find as many pieces, each is encoded alone."""
+        for start in range(0, len(fresh), 1000):
+            part = fresh[start : start + 1000]
+            coded = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, places = np.asarray(coded.ids, "<u4"), np.asarray(coded.word_ids, np.float64)
+            found = np.flatnonzero(np.diff(places)) + 1
+            if len(ids) and len(found) + 1 == len(part) and not np.isnan(places).any():
+                pieces.update(zip(part, (p.tobytes() for p in np.split(ids, found))))
+            else:
+                pieces.update((p, ids_of(p)) for p in part)
+
+    def learn(new: set[str]) -> None:
+        split_up = {}
+        for word in new:
+            if any(map(unicodedata.combining, word)):
+                words[word] = ids_of(word)  # marks are put in order for the whole word
+            else:
+                split_up[word] = split(word)
+        learn_pieces(list({p for parts in split_up.values() for p in parts if isinstance(p, str) and p not in pieces}))
+        for word, parts in split_up.items():
+            words[word] = b"".join([pieces[p] if isinstance(p, str) else np.asarray([p], "<u4").tobytes() for p in parts])
 
     def encode(texts: pd.Series) -> list[np.ndarray]:
-        out = []
-        for text in texts:
+        """Runs of texts are learnt together, so that a call of the library takes many new pieces."""
+        out, run, held = [], [], 0
+        for k, text in enumerate(texts, 1):
+            run.append(text)
+            held += len(text)
+            if held < run_chars and k < len(texts):
+                continue
             if len(words) > remembered:
                 words.clear()
             if len(pieces) > remembered:
                 pieces.clear()
-            if SEPARATORS.search(text):
-                out.append(np.frombuffer(ids_of(text), "<u4"))
-                continue
-            run = text.split()
-            for word in set(run):
-                if word not in words:
-                    words[word] = learn(word)
-            out.append(np.frombuffer(b"".join([words[w] for w in run]), "<u4"))
+            split_run = [None if SEPARATORS.search(t) else t.split() for t in run]
+            learn({w for ws in split_run if ws for w in ws}.difference(words))
+            for t, ws in zip(run, split_run):
+                out.append(np.frombuffer(ids_of(t) if ws is None else b"".join([words[w] for w in ws]), "<u4"))
+            run, held = [], 0
         return out
 
     return encode

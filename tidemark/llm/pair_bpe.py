@@ -20,8 +20,9 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words remembered per worker before the memory starts anew.
+#: Words, and pieces of words, remembered per worker before that memory starts anew.
 REMEMBERED = 200_000
+PIECES = 600_000
 #: White space for str.split that the vocabulary's own pattern treats as a symbol.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -154,8 +155,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of words and of pieces as packed four-byte numbers, which take a third of the room of lists of numbers.
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _words_of(self, text: str) -> list[str]:
         if SEPARATORS.search(text):
@@ -163,26 +165,29 @@ class Encoder:
         return text.split()
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the words that are not yet remembered, all pieces of them in one pair index. A full memory starts anew
-        before the batch, so that all words of the batch are remembered after it."""
+        """Encode the words that are not yet remembered, all pieces never seen in one pair index. A full memory starts anew
+        before the batch, so that all words of the batch are remembered after it; words and pieces have their own bounds, as
+        most new words (a word with its comma) are made of known pieces."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
+        if len(self.known) > PIECES:
             self.known.clear()
-        split = {w: self.vocabulary.split_word(w) for w in set(words) if w not in self.words}
-        fresh = list({p for parts in split.values() for p in parts if isinstance(p, str) and p not in self.known})
+        split = {w: self.vocabulary.split_word(w) for w in set(words).difference(self.words)}
+        known = self.known
+        fresh = list({p for parts in split.values() for p in parts if isinstance(p, str) and p not in known})
         index = PairIndex([self.vocabulary.symbols(p) for p in fresh], self.vocabulary.ranks)
         index.merge_all()
-        self.known.update(zip(fresh, map(tuple, index.pieces())))
+        known.update(zip(fresh, (np.asarray(ids, np.int32).tobytes() for ids in index.pieces())))
         for word, parts in split.items():
-            self.words[word] = tuple(i for p in parts for i in (self.known[p] if isinstance(p, str) else (p,)))
+            self.words[word] = b"".join([known[p] if isinstance(p, str) else np.int32(p).tobytes() for p in parts])
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; null counts as empty. The whole batch is merged together."""
         split = [self._words_of(t or "") for t in texts]
         self.learn({w for ws in split for w in ws})
         words = self.words
         for ws in split:
-            yield [i for w in ws for i in words[w]]
+            yield np.frombuffer(b"".join([words[w] for w in ws]), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens of the ids between single blanks, word-end marks and special tokens included; unknown ids are left out.
@@ -220,7 +225,7 @@ def encode(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
         encoder = encoder_for(path)
         for texts in batches:
             # Arrays of four bytes an id: lists of Python numbers would take nine times as much for a batch of rows.
-            coded = (np.asarray(ids, np.int32) for run in _batches(texts, batch_chars) for ids in encoder.encode(run))
+            coded = (ids for run in _batches(texts, batch_chars) for ids in encoder.encode(run))
             yield pd.Series(list(coded), dtype=object)
 
     return of(text)
@@ -247,13 +252,14 @@ def round_trip(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
         for texts in batches:
             # Each run leaves by itself, so a worker holds the ids of about ``batch_chars`` characters and not of all rows.
             for run in _batches(texts, batch_chars):
-                rows = [(np.asarray(ids, np.int32), len(ids), *_digests(encoder, ids)) for ids in encoder.encode(run)]
+                rows = [(ids, len(ids), *_digests(encoder, ids)) for ids in encoder.encode(run)]
                 yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text)
 
 
-def _digests(encoder: Encoder, ids: list[int]) -> tuple[str, str]:
+def _digests(encoder: Encoder, coded: np.ndarray) -> tuple[str, str]:
+    ids = coded.tolist()
     shown = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     return shown, hashlib.sha256(encoder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
 
