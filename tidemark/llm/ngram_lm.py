@@ -84,14 +84,10 @@ class Filter:
         return out
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Expected counts: the geometric middle of the level's range, 0 below level 1."""
+        """Expected counts: the geometric middle of the least and the largest count of a level, 0 below level 1."""
         level = self.levels(hashes)
-        least = self.least[shard_of(hashes, self.shard_bits)]
-        return np.where(level > 0, least * np.exp2(level - 1.0) * (2.0**0.5 if self.rounded else 1.0), 0.0)
-
-    @property
-    def rounded(self) -> bool:
-        return bool((self.least > 1).any())
+        low = self.least[shard_of(hashes, self.shard_bits)] * np.exp2(level - 1.0)
+        return np.where(level > 0, np.sqrt(low * np.maximum(2 * low - 1, 0)), 0.0)
 
 
 def shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -142,7 +138,7 @@ def train_filter(texts: DataFrame, total_bytes: int, max_filter_mb: int, chunk_b
     A task sends, for each shard, the sorted keys of a chunk of text with their counts, single ones without; a shard is
     merged by one task. Shards grow in number with the text and have about a million n-grams each.
     """
-    shard_bits = max(0, min(14, int(np.ceil(np.log2(max(total_bytes, 1) / 3e6)))))
+    shard_bits = max(0, int(np.ceil(np.log2(max(total_bytes, 1) / 3e6))))
     shards = 1 << shard_bits
     # Two bits for each byte of text, up to the bound.
     block_bytes = max(64, min(total_bytes // 4, max_filter_mb << 20) // shards)
@@ -151,7 +147,10 @@ def train_filter(texts: DataFrame, total_bytes: int, max_filter_mb: int, chunk_b
         found, held, memory = [], 0, {}
 
         def flush():
-            grams, n = np.unique(np.concatenate(found), return_counts=True)
+            every = np.concatenate(found)
+            found.clear()
+            grams, n = np.unique(every, return_counts=True)
+            del every
             shard, key = shard_of(grams, shard_bits), key_of(grams, shard_bits)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             rows = []
@@ -297,7 +296,7 @@ def text_scores(runs: list[np.ndarray], model: Filter, n: int, v: int, kappa: fl
 
 def score_texts(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, folds: int = 10,
-    kappa: float = 20.0, max_filter_mb: int = 64, chunk_mb: int = 24,
+    kappa: float = 20.0, max_filter_mb: int = 64, chunk_mb: int = 6,
 ) -> DataFrame:
     """Every row with ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -335,7 +334,7 @@ def score_texts(
                 if held >= PROBED or k == len(texts):
                     out.append(text_scores(runs, filter_, n, v, kappa))
                     runs, held = [], 0
-            if len(memory) > 400_000:
+            if len(memory) > 150_000:
                 memory.clear()
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 

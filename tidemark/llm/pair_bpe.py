@@ -181,8 +181,12 @@ class Encoder:
         for word, parts in split.items():
             self.words[word] = b"".join([known[p] if isinstance(p, str) else np.int32(p).tobytes() for p in parts])
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text; null counts as empty. The whole batch is merged together."""
+        return (ids.tolist() for ids in self.arrays(texts))
+
+    def arrays(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of :meth:`encode` as four-byte numbers."""
         split = [self._words_of(t or "") for t in texts]
         self.learn({w for ws in split for w in ws})
         words = self.words
@@ -225,7 +229,7 @@ def encode(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
         encoder = encoder_for(path)
         for texts in batches:
             # Arrays of four bytes an id: lists of Python numbers would take nine times as much for a batch of rows.
-            coded = (ids for run in _batches(texts, batch_chars) for ids in encoder.encode(run))
+            coded = (ids for run in _batches(texts, batch_chars) for ids in encoder.arrays(run))
             yield pd.Series(list(coded), dtype=object)
 
     return of(text)
@@ -252,7 +256,7 @@ def round_trip(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
         for texts in batches:
             # Each run leaves by itself, so a worker holds the ids of about ``batch_chars`` characters and not of all rows.
             for run in _batches(texts, batch_chars):
-                rows = [(ids, len(ids), *_digests(encoder, ids)) for ids in encoder.encode(run)]
+                rows = [(ids, len(ids), *_digests(encoder, ids)) for ids in encoder.arrays(run)]
                 yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text)
@@ -273,7 +277,7 @@ def digests(text: Column, path: str, batch_chars: int = 2_000_000) -> Column:
         for texts in batches:
             rows = []
             for run in _batches(texts, batch_chars):
-                for ids in encoder.encode(run):
+                for ids in encoder.arrays(run):
                     rows.append((len(ids), *_digests(encoder, ids)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
