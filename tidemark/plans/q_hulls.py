@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import geo as G
 from tidemark.functions import labels as L
 from tidemark.operators import hulls as H
 from tidemark.operators.scenes import with_georeference
@@ -150,6 +151,39 @@ def _(v):
     return rounded(H.add_polygon_iou(d, "pa", "pb").select("det_id", "iou"))
 
 
+RECTS = {
+    # Every outline is a few rectangles that do not overlap: (left, top, right, bottom) in shares of w and h.
+    "L": ((0.0, 0.0, 1.0, 0.4), (0.0, 0.4, 0.3, 1.0)),
+    "U": ((0.1, 0.2, 0.35, 0.8), (0.35, 0.6, 0.8, 0.8), (0.8, 0.2, 1.1, 0.8)),
+}
+
+
+def _common(scale: str) -> str:
+    terms = []
+    for l1, t1, r1, b1 in RECTS["L"]:
+        for l2, t2, r2, b2 in RECTS["U"]:
+            terms.append(f"greatest(0, least({r1} * w, {r2} * w) - greatest({l1} * w, {l2} * w)) * greatest(0, least({b1} * h, {b2} * h {scale}) - greatest({t1} * h, {t2} * h {scale}))")
+    return " + ".join(terms)
+
+
+@query("d12_concave_iou", f"""
+WITH x AS (SELECT det_id, ({_common('+ score * h')})::double AS i, (0.58::double + {0.25 * 0.6 + 0.45 * 0.2 + 0.3 * 0.6}::double) * w * h AS u FROM v_dets)
+SELECT det_id, round(CASE WHEN i > 0 THEN i / (u - i) ELSE 0 END, 6) AS iou FROM x""")
+def _(v):
+    """An L and a U that slides along it, both turned by the same angle: turning does not change the overlap."""
+    t = F.radians(F.col("score") * 360)
+    pt = lambda a, b: F.struct(
+        (F.col("cx") + a * F.col("w") * F.cos(t) - (b * F.col("h")) * F.sin(t)).alias("x"),
+        (F.col("cy") + a * F.col("w") * F.sin(t) + (b * F.col("h")) * F.cos(t)).alias("y"))
+    down = F.col("score")
+    ell = [(0, 0), (1, 0), (1, 0.4), (0.3, 0.4), (0.3, 1), (0, 1)]
+    you = [(0.1, 0.2), (0.35, 0.2), (0.35, 0.6), (0.8, 0.6), (0.8, 0.2), (1.1, 0.2), (1.1, 0.8), (0.1, 0.8)]
+    d = v.dets.withColumns({
+        "pa": F.array(*[pt(F.lit(float(a)), F.lit(float(b))) for a, b in ell]),
+        "pb": F.array(*[pt(F.lit(float(a)), F.lit(float(b)) + down) for a, b in you])})
+    return rounded(G.add_outline_iou(d, "pa", "pb").select("det_id", "iou"))
+
+
 @query("g20_outline_centres", """
 SELECT det_id, CASE det_id % 4 WHEN 0 THEN 'markers' WHEN 1 THEN 'manual' WHEN 2 THEN 'pca' ELSE 'fallback' END AS outline_source,
  CASE WHEN det_id % 4 = 3 THEN (greatest(0, least(47, 30.0 - 4)) + greatest(0, least(47, 30.0 + 4))) / 2 ELSE 10 + w / 2 END + cx AS cx_new,

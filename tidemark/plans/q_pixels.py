@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import geo as G
 from tidemark.operators import pixels as P
 from tidemark.plans.q_eval import rounded
 from tidemark.plans.q_labels import BASE
@@ -129,6 +130,20 @@ def _(v):
         P.in_centre_box("r", "c", 8).alias("in_box"))
 
 
+@query("h10_concave_mask", """
+WITH x AS (SELECT chip_id, r, c, band, c - chip_id % 3 AS x, r AS y, c + v * 4 AS fx FROM v_pixels)
+SELECT chip_id, r, c, band, (x >= 0 AND x <= 5 AND y >= 1 AND y <= 2.5) OR (x >= 0 AND x <= 1.5 AND y >= 1 AND y <= 6) AS in_l,
+ fx >= 1 AND fx <= 7 AND r >= 1 AND r <= 6 AND NOT (fx > 2.5 AND fx < 5 AND r < 4.5) AS in_u FROM x""")
+def _(v):
+    """An L that moves with the chip and a U, borders included."""
+    pt = lambda x, y: F.struct((F.lit(float(x)) + F.col("chip_id") % 3).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    up = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    ell = F.array(*[pt(*p) for p in ((0, 1), (5, 1), (5, 2.5), (1.5, 2.5), (1.5, 6), (0, 6))])
+    you = F.array(*[up(*p) for p in ((1, 1), (2.5, 1), (2.5, 4.5), (5, 4.5), (5, 1), (7, 1), (7, 6), (1, 6))])
+    return v.pixels.select(
+        "chip_id", "r", "c", "band", G.in_polygon("c", "r", ell).alias("in_l"), G.in_polygon(F.col("c") + F.col("v") * 4, "r", you).alias("in_u"))
+
+
 @query("c9_drop_land_tiles", f"""
 WITH {WIN}, a AS (SELECT scene, col0, row0, avg({LAND}) AS land FROM pix GROUP BY ALL)
 SELECT det_id FROM win LEFT JOIN a USING (scene, col0, row0) WHERE land IS NULL OR land < 1""")

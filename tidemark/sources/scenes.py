@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import basename, col
+from tidemark.functions.names import BANDS, SPECTRUM_BANDS
 
 RASTER_SUFFIXES = ("jp2", "tif", "tiff", "img", "vrt")
 
@@ -51,8 +52,8 @@ def missing_chips(want: DataFrame, have: DataFrame) -> DataFrame:
     )
 
 
-# Fixed order: position of each of the 12 channels in a 13-band spectrum file (band 10 is not used).
-LIBRARY_ORDER = (3, 2, 1, 7, 4, 5, 6, 8, 11, 12, 0, 9)
+#: Position of each channel in a 13-band spectrum file (band 10 is no channel).
+LIBRARY_ORDER = tuple(SPECTRUM_BANDS.index(band) for _, band, *_ in BANDS)
 LIBRARY_DELETED = -1e30
 
 
