@@ -164,6 +164,86 @@ def block_mean(pixels: DataFrame, image: str, k: int, v: str = "v") -> DataFrame
     return pixels.groupBy(image, cell("r").alias("r"), cell("c").alias("c")).agg(F.avg(v).alias(v))
 
 
+def fitted_size(width, height, longest: int) -> Column:
+    """struct(out_w, out_h): the size whose longer side is at most ``longest``; never larger than the image, at least one pixel.
+    Halves round to even."""
+    scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(col(width), col(height)))
+    fit = lambda side: F.greatest(F.lit(1), F.rint(col(side) * scale).cast("int"))
+    return F.struct(fit(width).alias("out_w"), fit(height).alias("out_h"))
+
+
+def area_resize(pixels: DataFrame, sizes: DataFrame, image: str, bands=("v",)) -> DataFrame:
+    """Resize by area: a target pixel is the mean of the source pixels it covers, each weighted by the share it covers.
+
+    ``sizes`` has one row an image: width, height, out_w, out_h. Factors need not divide, and a larger target repeats its
+    source. Rows and columns weigh separately, so a source pixel sends its value to the few targets it meets (four at
+    most when shrinking) and one aggregate with map-side sums adds them up. Pixels that are missing are left out of the
+    mean; targets that cover none have no row.
+    """
+    def shares(at: Column, full: str, out: str) -> Column:
+        step = F.col(full) / F.col(out)
+        targets = F.sequence(F.floor(at / step).cast("int"), (F.ceil((at + 1) / step) - 1).cast("int"))
+        share = lambda i: F.least(at + 1.0, (i + 1) * step) - F.greatest(at + 0.0, i * step)
+        pieces = F.transform(targets, lambda i: F.struct(i.alias("i"), share(i).alias("s")))
+        # Bounds on a pixel border can differ in the last bit.
+        return F.filter(pieces, lambda p: (p["s"] > 1e-9) & (p["i"] < F.col(out)))
+
+    d = pixels.select(image, "r", "c", *bands).join(sizes.select(image, "width", "height", "out_w", "out_h"), image)
+    d = d.withColumn("_r", F.explode(shares(F.col("r"), "height", "out_h")))
+    d = d.withColumn("_c", F.explode(shares(F.col("c"), "width", "out_w")))
+    weight = F.col("_r.s") * F.col("_c.s")
+    return d.groupBy(image, F.col("_r.i").alias("r"), F.col("_c.i").alias("c")).agg(
+        *[(F.sum(F.col(b) * weight) / F.sum(F.when(F.col(b).isNotNull(), weight))).alias(b) for b in bands]
+    )
+
+
+def pixel_blocks(pixels: DataFrame, image: str, bands=("b0", "b1", "b2"), block: int = 256) -> DataFrame:
+    """Pixels as blocks: image, br, bc, ``top`` (largest value of all bands), ``px`` (array of r, c, bands).
+
+    Made once and stored, blocks let a wide window read one number from each block that lies inside it.
+    """
+    at = lambda c: F.floor(F.col(c) / block).cast("int")
+    return pixels.groupBy(image, at("r").alias("br"), at("c").alias("bc")).agg(
+        F.max(F.greatest(*bands) if len(bands) > 1 else F.col(bands[0])).alias("top"), F.collect_list(F.struct("r", "c", *bands)).alias("px")
+    )
+
+
+def _in_window(p: Column, row0, col0, h, w) -> Column:
+    return (p["r"] >= col(row0)) & (p["r"] < col(row0) + col(h)) & (p["c"] >= col(col0)) & (p["c"] < col(col0) + col(w))
+
+
+def _touched(windows: DataFrame, row0: str, col0: str, h: str, w: str, block: int) -> DataFrame:
+    span = lambda start, size: F.sequence(F.floor(F.col(start) / block).cast("int"), F.floor((F.col(start) + F.col(size) - 1) / block).cast("int"))
+    return windows.withColumn("br", F.explode(span(row0, h))).withColumn("bc", F.explode(span(col0, w)))
+
+
+def closeup_normalise(windows: DataFrame, blocks: DataFrame, image: str, bands=("b0", "b1", "b2"), block: int = 256) -> DataFrame:
+    """Close-ups at 0-255 by the largest value of their wider window, so that both look alike: pixel rows of each close-up.
+
+    ``windows`` has image, row0, col0, h, w of the close-up and wide_row0, wide_col0, wide_h, wide_w around it; equal
+    windows are measured once, and windows of no size give no rows. Of the blocks of :func:`pixel_blocks` those inside the
+    wider window give their stored largest value, only those on its rim open their pixels, as arrays inside the row.
+    Pixels outside the image do not count.
+    """
+    wide = ["wide_row0", "wide_col0", "wide_h", "wide_w"]
+    near = ["row0", "col0", "h", "w"]
+    windows = windows.select(image, *near, *wide).filter("h > 0 AND w > 0 AND wide_h > 0 AND wide_w > 0").distinct()
+    met = _touched(windows.select(image, *wide).distinct(), *wide, block)
+    inside = (
+        (F.col("br") * block >= F.col("wide_row0")) & ((F.col("br") + 1) * block <= F.col("wide_row0") + F.col("wide_h"))
+        & (F.col("bc") * block >= F.col("wide_col0")) & ((F.col("bc") + 1) * block <= F.col("wide_col0") + F.col("wide_w"))
+    )
+    full = met.filter(inside).join(blocks.select(image, "br", "bc", "top"), [image, "br", "bc"]).select(image, *wide, "top")
+    most = (lambda p: F.greatest(*[p[b] for b in bands])) if len(bands) > 1 else (lambda p: p[bands[0]])
+    rim = met.filter(~inside).join(blocks.select(image, "br", "bc", "px"), [image, "br", "bc"])
+    rim = rim.select(image, *wide, F.array_max(F.transform(F.filter("px", lambda p: _in_window(p, *wide)), most)).alias("top"))
+    tops = full.unionByName(rim).groupBy(image, *wide).agg(F.greatest(F.max("top"), F.lit(1e-6)).alias("_mx"))
+    spots = _touched(windows.join(tops, [image, *wide]), *near, block).join(blocks.select(image, "br", "bc", "px"), [image, "br", "bc"])
+    px = spots.select(image, *near, *wide, "_mx", F.inline(F.filter("px", lambda p: _in_window(p, *near))))
+    scaled = {b: F.least(F.greatest(F.col(b) / F.col("_mx") * 255.0, F.lit(0.0)), F.lit(255.0)).cast("int") for b in bands}
+    return px.withColumns(scaled).drop("_mx")
+
+
 def align_nearest(classes: DataFrame, targets: DataFrame, image: str) -> DataFrame:
     """Class of the source pixel under each target pixel centre, both rasters on one map grid.
 

@@ -76,6 +76,36 @@ def _(v):
     return rounded(P.block_mean(v.mosaic, "scene", 4))
 
 
+@query("h4_area_resize", """
+WITH sz AS (SELECT scene, max(c) + 1 AS width, max(r) + 1 AS height FROM v_mosaic GROUP BY scene),
+o AS (SELECT *, greatest(1, round_even(width * least(1.0::double, 27.0::double / greatest(width, height)), 0)::int) AS out_w,
+  greatest(1, round_even(height * least(1.0::double, 27.0::double / greatest(width, height)), 0)::int) AS out_h FROM sz),
+g AS (SELECT o.*, i::int AS i, j::int AS j FROM o, (SELECT unnest(generate_series(0, 26)) AS i) x, (SELECT unnest(generate_series(0, 26)) AS j) y WHERE i < out_h AND j < out_w),
+m AS (SELECT g.scene, i, j, v, (least((r + 1) * out_h, (i + 1) * height) - greatest(r * out_h, i * height)) * (least((c + 1) * out_w, (j + 1) * width) - greatest(c * out_w, j * width)) AS share
+  FROM g JOIN v_mosaic p ON p.scene = g.scene AND (r + 1) * out_h > i * height AND r * out_h < (i + 1) * height AND (c + 1) * out_w > j * width AND c * out_w < (j + 1) * width)
+SELECT scene, i AS r, j AS c, round(sum(v * share) / sum(share), 6) AS v FROM m GROUP BY scene, i, j""")
+def _(v):
+    """Scenes of 64 columns at a longest side of 27: no factor divides."""
+    m = v.mosaic
+    sizes = m.groupBy("scene").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
+    sizes = sizes.select("*", P.fitted_size("width", "height", 27).alias("o")).select("*", "o.*")
+    return rounded(P.area_resize(m, sizes, "scene").select("scene", "r", "c", "v"))
+
+
+@query("h3_closeup", f"""
+WITH win AS (SELECT DISTINCT scene, greatest(0, floor(cx / 2000 * 64)::int - 4) AS col0, greatest(0, floor(cy / 2000 * 12)::int - 2) AS row0 FROM v_dets),
+t AS (SELECT win.*, greatest(max(greatest(b0, b1, b2)), 1e-6) AS mx FROM win JOIN v_mosaic m ON m.scene = win.scene
+  AND m.c >= col0 - 28 AND m.c < col0 + 36 AND m.r >= row0 - 14 AND m.r < row0 + 18 GROUP BY ALL)
+SELECT t.scene, row0, col0, r, c, {', '.join(f"trunc(least(greatest({b} / mx * 255.0::double, 0), 255))::int AS {b}" for b in ('b0', 'b1', 'b2'))}
+FROM t JOIN v_mosaic m ON m.scene = t.scene AND m.c >= col0 AND m.c < col0 + 8 AND m.r >= row0 AND m.r < row0 + 4""")
+def _(v):
+    """Close-ups of 8 by 4 pixels in windows eight times as wide."""
+    w = mosaic_windows(v).withColumns({
+        "wide_row0": F.col("row0") - 14, "wide_col0": F.col("col0") - 28, "wide_h": F.lit(32), "wide_w": F.lit(64)})
+    blocks = P.pixel_blocks(v.mosaic, "scene", block=8)
+    return P.closeup_normalise(w, blocks, "scene", block=8).select("scene", "row0", "col0", "r", "c", "b0", "b1", "b2")
+
+
 @query("h5_align_nearest", """
 WITH t AS (SELECT k, scene, r, c, floor((305.0::double + (c + 0.5) * 5 - 300) / 10)::int AS sc, floor((200.0::double + (r + 0.5) * -5 - 198) / -10)::int AS sr FROM v_mosaic)
 SELECT t.scene, t.r, t.c, coalesce(s.cls, 0) AS cls FROM t LEFT JOIN v_mosaic s ON s.scene = t.scene AND s.r = t.sr AND s.c = t.sc""")
