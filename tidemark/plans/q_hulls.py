@@ -9,6 +9,7 @@ from tidemark.functions import labels as L
 from tidemark.operators import hulls as H
 from tidemark.operators.scenes import with_georeference
 from tidemark.plans.q_eval import rounded
+from tidemark.plans.q_scenes import DET_BASE, lines_sql
 from tidemark.plans.registry import query
 
 H1 = "list_filter(markers, lambda m: coalesce(m.hull, 1) <> 2)"
@@ -92,17 +93,19 @@ def _(v):
 
 
 @query("g13_marker_metrics", f"""
-WITH x AS (SELECT m.id, {H1} AS h, epsg FROM v_markers m JOIN v_scenes s USING (scene) WHERE epsg IS NULL OR epsg <> 4326),
-y AS (SELECT id, epsg, {LAST.format(r='bow')} AS b, {LAST.format(r='stern')} AS s, {LAST.format(r='port')} AS po, {LAST.format(r='starboard')} AS sb, {ROLE.format(r='side')} AS d,
-  {ROLE.format(r='end')} AS e, {LAST.format(r='wake')} AS w, {ROLE.format(r='wake')} AS wl, {LAST.format(r='bridge')} AS br FROM x),
-z AS (SELECT *, CASE WHEN b IS NOT NULL AND s IS NOT NULL THEN 'bow_stern' WHEN len(e) >= 2 THEN 'ambiguous_end_end' WHEN w IS NOT NULL AND s IS NOT NULL THEN 'wake_stern'
-  WHEN len(wl) >= 2 THEN 'wake_polyline' WHEN br IS NOT NULL AND b IS NOT NULL THEN 'bridge_bow' END AS src FROM y)
-SELECT id, round(10 * CASE WHEN b IS NOT NULL AND s IS NOT NULL THEN sqrt(pow(b.x - s.x, 2) + pow(b.y - s.y, 2)) WHEN len(e) >= 2 THEN sqrt(pow(e[-1].x - e[-2].x, 2) + pow(e[-1].y - e[-2].y, 2)) END, 5) AS length_m,
- round(10 * CASE WHEN po IS NOT NULL AND sb IS NOT NULL THEN sqrt(pow(po.x - sb.x, 2) + pow(po.y - sb.y, 2)) WHEN len(d) >= 2 THEN sqrt(pow(d[-1].x - d[-2].x, 2) + pow(d[-1].y - d[-2].y, 2)) END, 5) AS width_m,
- CASE WHEN epsg IS NOT NULL THEN src END AS heading_source FROM z""")
+WITH x AS (SELECT m.id, {H1} AS h, m.col_off, m.row_off, s.* FROM v_markers m LEFT JOIN v_scenes s USING (scene)),
+y AS (SELECT * EXCLUDE (h), {LAST.format(r='bow')} AS b, {LAST.format(r='stern')} AS s, {LAST.format(r='port')} AS po, {LAST.format(r='starboard')} AS sb, {ROLE.format(r='side')} AS d,
+  {ROLE.format(r='end')} AS ends, {LAST.format(r='wake')} AS w, {ROLE.format(r='wake')} AS wl, {LAST.format(r='bridge')} AS br FROM x),
+z AS (SELECT *, CASE WHEN b IS NOT NULL AND s IS NOT NULL THEN 'bow_stern' WHEN len(ends) >= 2 THEN 'ambiguous_end_end' WHEN w IS NOT NULL AND s IS NOT NULL THEN 'wake_stern'
+  WHEN len(wl) >= 2 THEN 'wake_polyline' WHEN br IS NOT NULL AND b IS NOT NULL THEN 'bridge_bow' END AS src,
+  CASE WHEN b IS NOT NULL AND s IS NOT NULL THEN [s.x, s.y, b.x, b.y] WHEN len(ends) >= 2 THEN [ends[-2].x, ends[-2].y, ends[-1].x, ends[-1].y] END AS l1,
+  CASE WHEN po IS NOT NULL AND sb IS NOT NULL THEN [po.x, po.y, sb.x, sb.y] WHEN len(d) >= 2 THEN [d[-2].x, d[-2].y, d[-1].x, d[-1].y] END AS l2 FROM y),
+both_lines AS (SELECT id, epsg, a, e, x0, y0, col_off, row_off, line, CASE line WHEN 1 THEN l1 ELSE l2 END AS p FROM z, (SELECT unnest([1, 2]) AS line) q),
+{lines_sql('col_off + p[1]', 'row_off + p[2]', 'col_off + p[3]', 'row_off + p[4]', 'both_lines')}
+SELECT z.id, round(m.metres_, 3) AS length_m, round(n.metres_, 3) AS width_m, CASE WHEN z.epsg IS NOT NULL THEN src END AS heading_source
+FROM z JOIN measured m ON m.id = z.id AND m.line = 1 JOIN measured n ON n.id = z.id AND n.line = 2""")
 def _(v):
-    d = placed(v).filter("epsg is null or epsg <> 4326")
-    return rounded(H.add_marker_metrics(d).select("id", "length_m", "width_m", "heading_source"), 5)
+    return rounded(H.add_marker_metrics(placed(v)).select("id", "length_m", "width_m", "heading_source"), 3)
 
 
 @query("g13_marker_headings")
@@ -116,15 +119,19 @@ def _(v):
     return rounded(H.add_axes(p).select("id", "edge_deg", "axis_deg"))
 
 
-@query("g21_quad_sides", """
-SELECT det_id, round(least(w, h) * 10, 5) AS shorter_m, round(greatest(w, h) * 10, 5) AS longer_m FROM v_dets JOIN v_scenes USING (scene) WHERE epsg IS NULL OR epsg <> 4326""")
+@query("g21_quad_sides", f"""
+WITH {DET_BASE}, sides AS (SELECT base.*, i, cx + [0, w, w, 0][i] AS px, cy + [0, 0, h, h][i] AS py, cx + [w, w, 0, 0][i] AS qx, cy + [0, h, h, 0][i] AS qy
+  FROM base, (SELECT unnest([1, 2, 3, 4]) AS i) q),
+{lines_sql('px', 'py', 'qx', 'qy', 'sides')},
+pairs AS (SELECT det_id, i % 2 AS way, avg(metres_) AS m FROM measured GROUP BY ALL)
+SELECT det_id, round(min(m), 3) AS shorter_m, round(max(m), 3) AS longer_m FROM pairs GROUP BY det_id""")
 def _(v):
-    d = with_georeference(v.dets, v.scenes, "scene").filter("epsg is null or epsg <> 4326")
+    d = with_georeference(v.dets, v.scenes, "scene")
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     z = F.lit(0.0)
     d = d.withColumns({"quad": F.array(pt(z, z), pt(F.col("w"), z), pt(F.col("w"), F.col("h")), pt(z, F.col("h"))),
                        "col_off": F.col("cx"), "row_off": F.col("cy")})
-    return rounded(H.add_quad_sides(d).select("det_id", "shorter_m", "longer_m"), 5)
+    return rounded(H.add_quad_sides(d).select("det_id", "shorter_m", "longer_m"), 3)
 
 
 @query("g25_heading_truth", f"""

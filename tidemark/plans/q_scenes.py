@@ -35,6 +35,33 @@ ll AS (SELECT *, CASE WHEN epsg = 4326 THEN mx WHEN epsg IS NOT NULL THEN degree
   CASE WHEN epsg = 4326 THEN my WHEN epsg IS NOT NULL THEN degrees(chi {terms_lat}) END AS lat_ FROM g3)"""
 
 
+def geodesic_sql(source: str, steps: int = 6) -> str:
+    """Vincenty's inverse written out for DuckDB, one table a step: ``geo`` adds dist_ and az_ to rows with lo1, la1, lo2, la2."""
+    f, a = G.WGS84_F, G.WGS84_A
+    b = a * (1 - f)
+    parts = [f"""v0 AS (SELECT *, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, dl AS lam FROM (
+  SELECT *, atan({1 - f!r} * tan(radians(la1))) AS u1, atan({1 - f!r} * tan(radians(la2))) AS u2, radians(lo2) - radians(lo1) AS dl FROM {source}))"""]
+    arc = f"""SELECT *, CASE WHEN ca2 > 1e-15 THEN cs - 2 * s1 * s2 / ca2 ELSE 0 END AS c2m, {f / 16!r} * ca2 * (4 + {f!r} * (4 - 3 * ca2)) AS k FROM (
+  SELECT *, 1 - sa * sa AS ca2 FROM (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM (
+  SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM {{}})))"""
+    for i in range(steps):
+        parts.append(f"""v{i + 1} AS (SELECT * EXCLUDE (ss, cs, sigma, sa, ca2, c2m, k) REPLACE (
+  dl + (1 - k) * {f!r} * sa * (sigma + k * ss * (c2m + k * cs * (2 * c2m * c2m - 1))) AS lam) FROM ({arc.format(f'v{i}')}))""")
+    parts.append(f"""geo AS (SELECT *, {b!r} * aa * (sigma - bb * ss * (c2m + bb / 4 * (cs * (2 * c2m * c2m - 1) - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) AS dist_,
+  (degrees(atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam))) + 360) % 360 AS az_ FROM (
+  SELECT *, 1 + uu / 16384 * (4096 + uu * (uu * (320 - 175 * uu) - 768)) AS aa, uu / 1024 * (256 + uu * (uu * (74 - 47 * uu) - 128)) AS bb FROM (
+  SELECT *, ca2 * {(a * a - b * b) / (b * b)!r} AS uu FROM ({arc.format(f'v{steps}')}))))""")
+    return ",\n".join(parts)
+
+
+def lines_sql(x1: str, y1: str, x2: str, y2: str, source: str = "base") -> str:
+    """``geo``: the geodesic between two pixels of geographic scenes; ``plane_`` is the plane distance, for all others."""
+    place = [c.format(p) for p, c in zip((x1, y1, x2, y2), CENTRE * 2)]
+    return f"""lines AS (SELECT *, {place[0]} AS lo1, {place[1]} AS la1, {place[2]} AS lo2, {place[3]} AS la2 FROM {source}),
+{geodesic_sql("lines")},
+measured AS (SELECT *, CASE WHEN epsg = 4326 THEN dist_ ELSE sqrt(pow(lo2 - lo1, 2) + pow(la2 - la1, 2)) END AS metres_ FROM geo)"""
+
+
 CENTRE = ("x0 + ({} + 0.5) * a", "y0 + ({} + 0.5) * e")
 
 
@@ -271,17 +298,25 @@ def _(v):
     return v.dets.select("det_id", F.round(G.pixel_distance("cx", "cy", "w", "h", 10.0), 6).alias("metres"))
 
 
-@query("g2_ground_distance")
+@query("g2_ground_distance", f"""
+WITH {DET_BASE}, {lines_sql('cx', 'cy', 'cx + w', 'cy + h')}
+SELECT det_id, round(metres_, 3) AS metres FROM measured""")
 def _(v):
     d = SC.with_georeference(v.dets, v.scenes, "scene")
-    return d.select("det_id", F.round(G.ground_distance("cx", "cy", F.col("cx") + F.col("w"), F.col("cy") + F.col("h")), 6).alias("metres"))
+    return d.select("det_id", F.round(G.ground_distance("cx", "cy", F.col("cx") + F.col("w"), F.col("cy") + F.col("h")), 3).alias("metres"))
 
 
-@query("g3_bearing")
+@query("g3_bearing", f"""
+WITH base AS (SELECT d.det_id, p, round_even(CASE p WHEN 1 THEN cx ELSE cx + w END * 4, 0) / 4 AS px, round_even(CASE p WHEN 1 THEN cy ELSE cy - h END * 4, 0) / 4 AS py,
+  s.epsg, s.a, s.e, s.x0, s.y0 FROM v_dets d LEFT JOIN v_scenes s USING (scene), (SELECT unnest([1, 2]) AS p) q),
+{lonlat_sql(CENTRE[0].format('px'), CENTRE[1].format('py'))},
+lines AS (SELECT m.det_id, m.lon_ AS lo1, m.lat_ AS la1, n.lon_ AS lo2, n.lat_ AS la2 FROM ll m JOIN ll n ON n.det_id = m.det_id AND m.p = 1 AND n.p = 2),
+{geodesic_sql("lines")}
+SELECT det_id, round(az_, 4) AS bearing_deg FROM geo""")
 def _(v):
     d = SC.with_georeference(v.dets, v.scenes, "scene")
     d = G.add_bearing(d, "cx", "cy", F.col("cx") + F.col("w"), F.col("cy") - F.col("h"))
-    return d.select("det_id", F.round("bearing_deg", 6).alias("bearing_deg"))
+    return d.select("det_id", F.round("bearing_deg", 4).alias("bearing_deg"))
 
 
 @query("g5_metres_per_pixel", f"""

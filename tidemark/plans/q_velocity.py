@@ -8,6 +8,7 @@ from tidemark.functions import angles as A
 from tidemark.operators import pixels as P
 from tidemark.operators import velocity as V
 from tidemark.plans.q_eval import rounded
+from tidemark.plans.q_scenes import DET_BASE, lines_sql
 from tidemark.plans.registry import query
 
 KN = "(1 / 0.514444::double)"
@@ -93,13 +94,13 @@ def _(v):
     return V.backfill_errors(d).select("id", "speed_error_kn", "heading_error_deg", "filled")
 
 
-@query("j7_wake_from_pixels", """
-SELECT det_id, round(sqrt(w * w + h * h) * 10 / (2 + det_id % 5), 6) AS lambda_m, round(sqrt(sqrt(w * w + h * h) * 10 / (2 + det_id % 5) * 9.8 / (2 * pi())) * 1.94384, 6) AS v_kn
-FROM v_dets JOIN v_scenes USING (scene) WHERE epsg IS NULL OR epsg <> 4326""")
+@query("j7_wake_from_pixels", f"""
+WITH {DET_BASE}, {lines_sql('cx', 'cy', 'cx + w', 'cy - h')}
+SELECT det_id, round(metres_ / (2 + det_id % 5), 3) AS lambda_m, round(sqrt(metres_ / (2 + det_id % 5) * 9.8 / (2 * pi())) * 1.94384, 3) AS v_kn FROM measured""")
 def _(v):
     from tidemark.operators.scenes import with_georeference
 
-    d = with_georeference(v.dets, v.scenes, "scene").filter("epsg is null or epsg <> 4326")
+    d = with_georeference(v.dets, v.scenes, "scene")
     d = d.withColumns({"x1": F.col("cx"), "y1": F.col("cy"), "x2": F.col("cx") + F.col("w"), "y2": F.col("cy") - F.col("h"),
                        "crests": 2 + F.col("det_id") % 5})
-    return rounded(V.wake_from_pixels(d).select("det_id", "lambda_m", "v_kn"))
+    return rounded(V.wake_from_pixels(d).select("det_id", "lambda_m", "v_kn"), 3)
