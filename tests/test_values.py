@@ -225,3 +225,31 @@ def test_quantiles_with_infinities_and_close_values(spark):
     assert of([float("-inf"), 1.0, 2.0, float("inf"), float("nan"), None], [0.0, 0.5, 1.0]) == [float("-inf"), 1.5, float("inf")]
     assert of([1.0, 1.0 + 2**-52, 1.0, 1e308, -1e308], [0.5, 0.75]) == [1.0, 1.0 + 2**-52]
     assert of([], [0.5]) == [None]
+
+
+def test_geodesic_in_the_plan_equals_the_iterated_one(spark):
+    rng = np.random.default_rng(1)
+    one = np.c_[rng.uniform(-180, 180, 300), rng.uniform(-80, 80, 300)]
+    rows = np.r_[np.c_[one, one + rng.normal(0, 0.01, (300, 2))], np.c_[one, one + rng.uniform(-60, 60, (300, 2)) * [1, 0.2]]].tolist()
+    rows += [[1.0, 2.0, 1.0, 2.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 90.0], [None, 0.0, 1.0, 1.0]]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = df.select(G.geodesic("a", "b", "c", "d").alias("g")).select("g.*").collect()
+    assert got[-1]["dist_m"] is None and got[-4]["dist_m"] == 0
+    dist, az = G._vincenty(*np.array(rows[:-1]).T)
+    assert np.abs(dist - [r["dist_m"] for r in got[:-1]]).max() < 1e-6
+    assert np.abs((az - [r["bearing_deg"] for r in got[:-1]] + 180) % 360 - 180).max() < 1e-6
+
+
+def test_outlines_of_any_shape(spark):
+    point = "array<struct<x:double,y:double>>"
+    ell = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
+    box = [(2.0, 2.0), (3.0, 2.0), (3.0, 3.0), (2.0, 3.0)]
+    cross = [(0.5, -1.0), (2.5, -1.0), (2.5, 5.0), (0.5, 5.0)]
+    rows = [(ell, ell), (ell, box), (ell, cross), (ell, ell[::-1]), (ell, []), (ell, None), (ell, [(0.0, 0.0), (1.0, 1.0)])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k int, a {point}, b {point}")
+    got = {r["k"]: r["iou"] for r in G.add_outline_iou(df, "a", "b").collect()}
+    # The L has area 7; the upright box shares 0.5 * 4 + 1.5 * 1 with it.
+    assert got == pytest.approx({0: 1.0, 1: 0.0, 2: 3.5 / (7 + 12 - 3.5), 3: 1.0, 4: 0.0, 5: 0.0, 6: 0.0})
+    spots = [(0.5, 3.0, True), (2.0, 2.0, False), (4.0, 0.5, True), (1.0, 2.0, True), (-0.1, 0.0, False), (3.0, 1.0, True), (5.0, 0.0, False)]
+    df = spark.createDataFrame([(x, y, ell, w) for x, y, w in spots], f"x double, y double, p {point}, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("want", G.in_polygon("x", "y", "p").alias("got")).collect())
