@@ -18,6 +18,7 @@ import corpus_pipeline
 from tidemark.llm import (
     bloom_dedup, decontaminate, gam, label_shards, ngram_lm, packed_ids, pair_bpe, queries, secrets, simhash, toxicity,
 )
+from tests.llm.test_similar_texts import brute_kept
 from tidemark.llm.components import components
 from tidemark.plans.check import compare
 
@@ -397,9 +398,7 @@ def test_pipeline_like_brute_force(spark, folder, texts):
     last = {}
     for i in sorted(clean):
         last[texts[i]] = i
-    ids = sorted(last.values())
-    roots = brute_components([simhash.fingerprint(texts[i]) & (2**64 - 1) for i in ids])
-    ids = [i for k, i in enumerate(ids) if roots[k] == k]
+    ids = brute_kept({i: texts[i] for i in last.values()})
     items = dict(duckdb.sql(f"select item_id, text from '{folder}/benchmark.parquet'").fetchall())
     leaked = {d for d, _ in brute_leaks({i: texts[i] for i in ids}, items)}
     out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, folder).collect()}

@@ -10,6 +10,7 @@ the full sets, so every link is exact; a link at the threshold is missed by all
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache, reduce
 from math import comb
 
@@ -134,13 +135,19 @@ def alternating_stars(edges: DataFrame) -> DataFrame:
         stars = cut_lineage(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, count: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= ``percent`` * union, first sifted by size and minima."""
-    least = cutoff(count, percent / 100)
+def agreeing_minima(share: float, count: int) -> Callable[[Column, Column], Column]:
+    """Whether two signatures of ``count`` minima agree in as many as a pair of similarity ``share`` does, but for a chance of 1e-12."""
+    least = cutoff(count, share)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("boolean")
     def agreeing(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) for x, y in zip(left, right)], dtype="int32")
+        return pd.Series([bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum() >= least) for x, y in zip(left, right)], dtype="bool")
+
+    return agreeing
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, sift: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= ``percent`` * union, first sifted by size and signature."""
 
     @F.pandas_udf("long")
     def common(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -150,7 +157,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, count: int) ->
     pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).distinct()
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}")), side)
-    pairs = cut_lineage(pairs.filter(agreeing("sa", "sb") >= least).drop("sa", "sb"))
+    pairs = cut_lineage(pairs.filter(sift(F.col("sa"), F.col("sb"))).drop("sa", "sb"))
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
     both = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), common("sa", "sb").alias("same"))
@@ -220,6 +227,44 @@ def _crowded(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
+def linked_roots(
+    rows: DataFrame, members: DataFrame, words: int, percent: int, sift: Callable[[Column, Column], Column], direct: int = 8
+) -> DataFrame:
+    """(node, root) for the nodes of ``members`` that are linked, but the roots; root is the least node that they can reach.
+
+    ``members`` (key, size, node, n) says which nodes of ``rows`` (row, text, signature; row is the node) share a key, whose
+    crowd has ``size`` nodes, and how many shingles each has. ``sift`` says whether two signatures may belong to a linked pair.
+    Links are confirmed on the full sets. Runs its joins while it builds the result.
+    """
+    crowds = members.groupBy("node").agg(F.sum("size").alias("crowd"))
+    members = cut_lineage(members.join(crowds, "node").select("key", "node", "n", "crowd", F.col("node").alias("root")))
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
+
+    nodes = rows.join(crowds.select(F.col("node").alias("row")), "row", "left_semi")
+    nodes = cut_lineage(nodes.select(F.col("row").alias("node"), "signature", shingles("text").alias("shingles")))
+
+    links = [_confirmed(_led(members, members), nodes, percent, sift)]
+    # A second leader from outside the first one's component takes in what the first could not reach.
+    apart, roots = _apart(members, links)
+    first = apart.groupBy("key").agg(F.max(F.struct("crowd", "node", "n", "root")).alias("l")).select("key", F.col("l.root").alias("done"))
+    others = apart.join(first, "key").filter("root <> done").drop("done")
+    links.append(_confirmed(_led(apart, others), nodes, percent, sift))
+    apart, roots = _apart(apart, links)
+    # Few members meet each other directly; both ways find the same links.
+    fill = apart.groupBy("key").agg(F.count("*").alias("fill"))
+    apart = cut_lineage(apart.join(fill, "key"))
+    few = apart.filter(F.col("fill") <= direct)
+    left = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = left.join(right, "key").filter("a < b AND ra <> rb").select("a", "b", "na", "nb")
+    pairs = pairs.unionByName(_crowded(apart.filter(F.col("fill") > direct).drop("fill"), nodes, percent))
+    links.append(_confirmed(pairs, nodes, percent, sift))
+    return alternating_stars(reduce(DataFrame.unionByName, links))
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -250,34 +295,8 @@ def near_duplicates(
     keyed = cut_lineage(keyed.select("node", "n", F.explode("keys").alias("key")))
     met = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut_lineage(keyed.join(met, "key"))
-    crowds = members.groupBy("node").agg(F.sum("size").alias("crowd"))
-    members = cut_lineage(members.join(crowds, "node").select("key", "node", "n", "crowd", F.col("node").alias("root")))
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
-
-    nodes = rows.join(crowds.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = cut_lineage(nodes.select(F.col("row").alias("node"), "signature", shingles("text").alias("shingles")))
-
-    count = bands * band_rows
-    links = [_confirmed(_led(members, members), nodes, percent, count)]
-    # A second leader from outside the first one's component takes in what the first could not reach.
-    apart, roots = _apart(members, links)
-    first = apart.groupBy("key").agg(F.max(F.struct("crowd", "node", "n", "root")).alias("l")).select("key", F.col("l.root").alias("done"))
-    others = apart.join(first, "key").filter("root <> done").drop("done")
-    links.append(_confirmed(_led(apart, others), nodes, percent, count))
-    apart, roots = _apart(apart, links)
-    # Few members meet each other directly; both ways find the same links.
-    fill = apart.groupBy("key").agg(F.count("*").alias("fill"))
-    apart = cut_lineage(apart.join(fill, "key"))
-    few = apart.filter(F.col("fill") <= direct)
-    left = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = left.join(right, "key").filter("a < b AND ra <> rb").select("a", "b", "na", "nb")
-    pairs = pairs.unionByName(_crowded(apart.filter(F.col("fill") > direct).drop("fill"), nodes, percent))
-    links.append(_confirmed(pairs, nodes, percent, count))
-    roots = alternating_stars(reduce(DataFrame.unionByName, links))
+    sift = agreeing_minima(percent / 100, bands * band_rows)
+    roots = linked_roots(rows, members, words, percent, sift, direct)
 
     owned = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = owned.groupBy("root").agg(F.min("least").alias("component"))

@@ -4,6 +4,10 @@ A pair within ``distance`` bits agrees within t_i bits on at least one part i, f
 distance - parts + 1 (a threshold of -1 leaves a part out). Correlated bits go to one part, so that the crowded
 values meet in few parts, and a dynamic programme gives each part the threshold that makes the estimated candidates
 and probes fewest. Candidates are verified on all 64 bits.
+
+:func:`keep_one_similar` decides by the similarity of shingle sets instead. Texts that share 0.8 of their shingles differ in 15 %
+of the bits, more than 64 bits can tell by parts. So it takes several fingerprints a text, 2688 bits as given, in two
+partitions of equal parts without flips, and confirms candidates on the full sets.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import col, record, unpack
 from tidemark.llm.components import components
+from tidemark.llm.minhash import linked_roots, shingle_set
 from tidemark.session import cut_lineage
 
 BITS = 64
@@ -217,3 +222,105 @@ def keep_one(
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
     stay = firsts.join(owner, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return unpack(rows.join(stay, "row", "left_semi"), docs.columns)
+
+
+def wide_fingerprint(shingles: np.ndarray, bits: int, seed: int = 42) -> np.ndarray:
+    """SimHash of ``bits`` bits (a multiple of 64) of a sorted set of 64-bit shingle hashes, as packed bytes. A bit is 1 if set in over
+    half the shingles; where exactly half have it, a hash of the least shingle decides. An empty set gives zeros."""
+    words = bits // 64
+    a, b = np.random.default_rng(seed).integers(0, 1 << 63, (2, words + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        x = x[:, None] * a[None, :words] + b[None, :words]
+        for factor in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15):
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(32)
+        return np.unpackbits(x.view(np.uint8), axis=1)
+
+    twice = np.zeros(bits, np.int64)
+    for start in range(0, len(shingles), 255):  # a block's sums fit a byte
+        twice += 2 * spread(shingles[start : start + 255]).sum(axis=0, dtype=np.uint8).astype(np.int64)
+    over = twice > len(shingles)
+    if len(shingles) and len(shingles) % 2 == 0:
+        over |= (twice == len(shingles)) & spread(shingles[:1] ^ a[words])[0].astype(bool)
+    return np.packbits(over)
+
+
+def part_keys(prints: np.ndarray, part_bits: int) -> np.ndarray:
+    """Keys (rows, parts) of packed fingerprints: the values of all parts of ``part_bits`` bits of two partitions, one of neighbouring
+    bits, one of bits far apart; the part's number stands above the value. ``part_bits`` is at most 32."""
+    x = np.unpackbits(prints, axis=1)
+    parts = x.shape[1] // part_bits
+    both = np.concatenate([x.reshape(len(x), parts, part_bits), x.reshape(len(x), part_bits, parts).swapaxes(1, 2)], axis=1)
+    filled = np.zeros((len(x), 2 * parts, 32), np.uint8)
+    filled[:, :, 32 - part_bits :] = both
+    value = np.packbits(filled, axis=2).view(">u4")[:, :, 0].astype(np.int64)
+    return value + (np.arange(2 * parts, dtype=np.int64) << 32)[None, :]
+
+
+def keep_one_similar(
+    docs: DataFrame,
+    text: str = "text",
+    id_col: str = "doc_id",
+    words: int = 5,
+    percent: int = 80,
+    bits: int = 2688,
+    part_bits: int = 28,
+    seed: int = 42,
+    direct: int = 8,
+) -> DataFrame:
+    """The row of the smallest id of each group of similar texts, unchanged.
+
+    Two texts are linked when 100 * intersection >= ``percent`` * union of their sets of distinct ``words``-word shingles (fewer words:
+    the whole sequence is one) and a part of their fingerprints agrees; groups are what links reach. Links are exact, so no
+    text leaves for a dissimilar one. With an angle of p half turns between two sets, a pair is met with a chance of about
+    1 - (1 - (1 - p) ** part_bits) ** (2 * bits / part_bits): 0.87 at a similarity of 0.80, 0.98 at 0.85, 0.999 at 0.90.
+
+    Null and wordless texts have an empty set: they are linked with nothing and all stay. Rows with equal sets are one node; of
+    rows with equal ids in a group exactly one stays, and a row without an id stays only where its group has no other. An
+    empty table gives no rows. Runs its joins while it builds the result.
+    """
+    size = bits // 8
+
+    @F.pandas_udf("n long, digest binary, signature binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            s = shingle_set(t, words)
+            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"", wide_fingerprint(s, bits, seed).tobytes() if len(s) else b""))
+        return pd.DataFrame(out, columns=["n", "digest", "signature"])
+
+    @F.pandas_udf("array<long>")
+    def keys(prints: pd.Series) -> pd.Series:
+        return pd.Series(list(part_keys(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), size), part_bits)))
+
+    @F.pandas_udf("boolean")
+    def sift(left: pd.Series, right: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), size) for side in (left, right))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most)
+
+    # Small sets differ by steps, so the sift is wide: half as many bits again as sets at the limit differ in.
+    cosine = 2 * percent / (100 + percent)
+    most = int(1.5 * bits * np.arccos(cosine) / np.pi)
+
+    rows = docs.select(record(docs), col(id_col).alias("id"), col(text).alias("text"))
+    rows = rows.withColumn("s", sketch(col("text"))).withColumn("row", F.monotonically_increasing_id())
+    rows = cut_lineage(rows.select("rec", "id", "row", "s.n", "s.digest", "s.signature"))
+    owners = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node")))
+
+    prints = rows.select(F.col("row").alias("node"), "n", "signature").join(owners.select("node"), "node", "left_semi")
+    prints = cut_lineage(prints)
+    keyed = prints.select("node", "n", F.explode(keys("signature")).alias("key"))
+    met = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = cut_lineage(keyed.join(met, "key"))
+    texts = rows.select("row", col("rec").getField(text).alias("text"), "signature")
+    roots = linked_roots(texts, members, words, percent, sift, direct)
+
+    # Rows of one set meet by its digest, others stand alone.
+    owned = owners.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    firsts = rows.filter("n > 0").groupBy("digest").agg(F.min(order).alias("first"))
+    stay = firsts.join(owned, "digest").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    stay = stay.unionByName(rows.filter("n = 0").select("row"))
+    return unpack(rows.join(stay, "row", "left_semi"), docs.columns)
