@@ -293,7 +293,9 @@ def keep_one_similar(
 
     @F.pandas_udf("array<long>")
     def keys(prints: pd.Series) -> pd.Series:
-        return pd.Series(list(part_keys(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), size), part_bits)))
+        x = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), size)
+        # Unpacked bits take 14 kB a row, so few rows are open at a time.
+        return pd.Series([row for start in range(0, len(x), 128) for row in part_keys(x[start : start + 128], part_bits)])
 
     @F.pandas_udf("boolean")
     def sift(left: pd.Series, right: pd.Series) -> pd.Series:
