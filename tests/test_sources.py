@@ -142,3 +142,10 @@ def test_versions(spark, tmp_path):
     with pytest.raises(Exception):
         SL.write_version(df, str(tmp_path), 1)
     assert spark.read.parquet(path).count() == 1
+
+
+def test_latest_takes_the_last_batch_of_each_key(spark):
+    rows = [("a", 1, 0), ("b", 5, 0), ("a", 2, 1), ("a", 3, 10), (None, 1, 2), (None, 4, 3)]
+    changes = spark.createDataFrame(rows, "k string, hits long, batch int")
+    assert {tuple(r) for r in ST.latest(changes, ["k"]).collect()} == {("a", 3), ("b", 5), (None, 4)}
+    assert [tuple(r) for r in ST.latest(changes.drop("k"), []).collect()] == [(3,)]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels as L
-from tidemark.plans.q_labels import BASE
+from tidemark.plans.q_labels import BASE, Y
 from tidemark.plans.registry import query
 from tidemark.sources import labels as SL
 from tidemark.sources import scenes as SS
@@ -15,12 +15,12 @@ from tidemark.session import shared_folder
 from tidemark.streaming import labels as ST
 
 
-def log_lines(v, reviewed_at="reviewed_at"):
-    """Log text made from the labels: one in nine lines is cut off, water carries its old name."""
+def log_lines(v, reviewed_at="reviewed_at", *more):
+    """Log text made from the labels, with ``more`` of their columns: one in nine lines is cut off, water carries its old name."""
     cat = F.when(F.col("review_category") == "water", "not_vessel").otherwise(F.col("review_category"))
     extra = F.struct("label_confidence", "estimated_length_m", F.when(F.col("n") % 4 == 0, F.lit("wide")).otherwise(
         F.col("estimated_width_m").cast("string")).alias("estimated_width_m"), "wake_present")
-    doc = F.to_json(F.struct("id", "record_type", "tci_path", "cx_full", "cy_full", "is_vessel", cat.alias("review_category"), L.col(reviewed_at).alias("reviewed_at"), extra.alias("extra")))
+    doc = F.to_json(F.struct("id", "record_type", "tci_path", "cx_full", "cy_full", "is_vessel", cat.alias("review_category"), L.col(reviewed_at).alias("reviewed_at"), *more, extra.alias("extra")))
     cut = F.when(F.col("n") % 9 == 4, F.substring(doc, 1, 25)).when(F.col("n") % 9 == 5, F.lit("[1, 2]")).otherwise(doc)
     return v.labels.select("n", cut.alias("line"))
 
@@ -135,3 +135,28 @@ def _(v):
         lines.filter(rows).select("line").write.mode("append").text(log)
         ST.run_curation(v.spark, log, table, checkpoint).awaitTermination()
     return v.spark.read.parquet(table).select("id", "review_category", "cx_full", "label_confidence", "reviewed_at")
+
+
+def counted(v, counts):
+    """Changes that ``counts`` left in its table after three rounds of log, curation and counting; a fifth of the ids repeat."""
+    log, table, seen, target, checkpoint = (new_folder(v, f"counts-{name}") for name in ("log", "table", "seen", "target", "state"))
+    lines = log_lines(v, "reviewed_at", "lon", "lat")
+    for rows in ("n % 3 = 2", "n % 3 = 1", "n % 3 = 0 or n % 5 = 0"):
+        lines.filter(rows).select("line").write.mode("append").text(log)
+        ST.run_curation(v.spark, log, table, seen).awaitTermination()
+        ST.run_counts(v.spark, table, target, checkpoint, counts).awaitTermination()
+    return v.spark.read.parquet(target)
+
+
+@query("t1_running_counts", f"""
+WITH y AS (SELECT {Y} AS y FROM v_labels WHERE n % 9 NOT IN (4, 5))
+SELECT count(y) AS total, count(*) FILTER (y = 1) AS n_vessel, count(*) FILTER (y = 0) AS n_negative FROM y""")
+def _(v):
+    return ST.latest(counted(v, ST.running_counts), [])
+
+
+@query("t1_running_cells", """
+SELECT round_even(lon, 4) AS cell_lon, round_even(lat, 4) AS cell_lat, count(*) AS hits
+FROM v_labels WHERE n % 9 NOT IN (4, 5) AND record_type = 'static_sea_witness' AND lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1, 2""")
+def _(v):
+    return ST.latest(counted(v, ST.running_static_cells), ["cell_lon", "cell_lat"])

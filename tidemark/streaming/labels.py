@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +74,29 @@ def running_static_cells(rows: DataFrame, decimals: int = 4) -> DataFrame:
     return seen.withColumn("_c", G.cell_key("lon", "lat", decimals)).groupBy(
         F.col("_c.cell_lon").alias("cell_lon"), F.col("_c.cell_lat").alias("cell_lat")
     ).agg(F.count("*").alias("hits"))
+
+
+def run_counts(
+    spark: SparkSession, table: str, target: str, checkpoint: str, counts: Callable[[DataFrame], DataFrame], *, max_files: int = 1000, once: bool = True
+) -> StreamingQuery:
+    """Keep ``counts`` (:func:`running_counts`, :func:`running_static_cells`) of the curated ``table`` up to date in ``target``.
+
+    Reads only files that :func:`run_curation` has added since the last run; the counts themselves are the stream's state. Each batch
+    writes the rows that changed to its own ``batch`` folder, so a retry after a lost executor replaces what it wrote; :func:`latest`
+    gives the current rows. Run it after a curation has ended: a curation batch that fails and runs again writes new files.
+    """
+    saved = spark.read.parquet(table).schema
+    rows = spark.readStream.schema(saved).option("maxFilesPerTrigger", max_files).parquet(table)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+
+    writer = counts(rows).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The current row of each key of a table of changes, that of its last ``batch``; without keys the one current row."""
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*keys, "r.*")
