@@ -183,15 +183,54 @@ def test_filter_gives_levels_back():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 2**32, 3000, dtype=np.uint64)).astype(np.uint32)
     counts = rng.geometric(0.2, len(keys))
-    block, least = ngram_lm.build_block(keys, counts, 1 << 14)
-    model = ngram_lm.Filter(block[None, :], np.array([least]))
+    block = ngram_lm.build_block(keys, counts)
+    model = ngram_lm.Filter(block, np.array([0, len(block)]))
     found = model.levels(keys.astype(np.uint64) << np.uint64(32))
-    want = ngram_lm.quantised(counts, least)
-    assert least == 1 and (found >= want).all() and (found == want).mean() > 0.95
+    want = ngram_lm.quantised(counts)
+    assert (found >= want).all() and (found == want).mean() > 0.95
     absent = model.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))
     assert (absent > 0).mean() < 0.05
-    small, least = ngram_lm.build_block(keys, counts, 256)
-    assert least > 1
+    twice = ngram_lm.build_block(np.arange(6000, dtype=np.uint32), np.ones(6000, np.int64))
+    once = ngram_lm.build_block(np.arange(3000, dtype=np.uint32), np.ones(3000, np.int64))
+    assert abs(len(twice) - 2 * len(once)) <= 1
+
+
+def test_scores_near_those_of_quantised_counts(spark, texts):
+    """The model's score against exact counts put into their levels; false positives are rare, so most texts agree."""
+    rows = spark.createDataFrame([(i, t) for i, t in list(texts.items())[:300]], "doc_id long, text string")
+    words = {r["doc_id"]: ngram_lm.tokens(r["text"]) for r in rows.collect()}
+    learnt = [ws for i, ws in words.items() if zlib.crc32(str(i).encode()) % 10]
+    one = collections.Counter(w for ws in learnt for w in ws)
+    two = collections.Counter(p for ws in learnt for p in zip([None, *ws], ws))
+    n, v = sum(one.values()), len(one)
+
+    def middle(c):
+        low = 2 ** (c.bit_length() - 1)
+        return math.sqrt(low * (2 * low - 1)) if c else 0.0
+
+    def brute(ws):
+        total = 0.0
+        for u, w in zip([None, *ws], ws):
+            before = middle(one[ngram_lm.END] if u is None else one[u])
+            alone = min((middle(one[w]) + 0.1) / (n + 0.1 * (v + 1)), 1)
+            total += math.log10((min(middle(two[u, w]), before) + 20 * alone) / (before + 20))
+        return total
+
+    found = {r["doc_id"]: r["score"] for r in ngram_lm.score_texts(rows, carry=["doc_id"]).collect()}
+    off = [abs(found[i] - brute(ws)) / len(ws) for i, ws in words.items()]
+    assert len(off) == len(found) and np.median(off) < 0.02 and max(off) < 0.5
+
+
+def test_shards_score_like_the_broadcast_filter(spark, texts, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "shard_bits_for", lambda size: 5)
+    some = [(i, t) for i, t in list(texts.items())[:200]] + [(None, None), (9, ""), (9, ""), (10, "rare " * 50_000)]
+    rows = spark.createDataFrame(some, "doc_id long, text string")
+    take = lambda **more: sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in ngram_lm.score_texts(rows, carry=["doc_id"], **more).collect())
+    whole, apart = take(), take(max_broadcast_mb=-1)
+    assert [x[:2] for x in whole] == [x[:2] for x in apart]
+    assert [x[2] for x in whole] == pytest.approx([x[2] for x in apart], rel=1e-9)
+    none = ngram_lm.score_texts(rows.limit(0), max_broadcast_mb=-1)
+    assert none.collect() == []
 
 
 # 4: secrets

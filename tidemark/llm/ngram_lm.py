@@ -2,11 +2,14 @@
 
 The filter holds quantised counts: an n-gram of level j is entered j times, as (n-gram, 1) to (n-gram, j), and its level is read
 back by probing 1, 2, ... until a probe fails. False positives can only raise a level. Words and bigrams share the filter.
-It is built in shards, each from all the counts of its n-grams, and is broadcast with a fixed upper size.
+It is built in shards, each from all the counts of its n-grams and as large as they need, so it grows with the corpus. Up to a
+size that is checked it is broadcast; above it the n-grams of a run of texts travel to the shards and their levels back. The
+bits, the probes and the scores are the same.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -59,35 +62,40 @@ def with_start(words: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filter:
-    """``blocks``: shards x bytes; ``least[s]`` is the count of level 1 in shard s."""
+    """The bytes of all shards in one array; shard s has those from ``starts[s]`` to ``starts[s + 1]``."""
 
-    blocks: np.ndarray
-    least: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
 
     @property
     def shard_bits(self) -> int:
-        return int(len(self.least)).bit_length() - 1
+        return int(len(self.starts) - 1).bit_length() - 1
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probes go on for those that have passed all before."""
-        out = np.zeros(len(hashes), np.int8)
+        """The level of each n-gram."""
         shard = shard_of(hashes, self.shard_bits)
-        key = key_of(hashes, self.shard_bits)
-        alive = np.arange(len(hashes))
-        for level in range(1, LEVELS + 1):
-            for probe in range(PROBES):
-                if not len(alive):
-                    return out
-                at = positions(key[alive], level, probe, self.blocks.shape[1] * 8)
-                alive = alive[(self.blocks[shard[alive], at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = level
-        return out
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Expected counts: the geometric middle of the least and the largest count of a level, 0 below level 1."""
-        level = self.levels(hashes)
-        low = self.least[shard_of(hashes, self.shard_bits)] * np.exp2(level - 1.0)
-        return np.where(level > 0, np.sqrt(low * np.maximum(2 * low - 1, 0)), 0.0)
+        start = self.starts[shard]
+        return probed(self.data, key_of(hashes, self.shard_bits), start, (self.starts[shard + 1] - start) * 8)
+
+
+def probed(data: np.ndarray, keys: np.ndarray, start: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Levels of keys whose shards begin at byte ``start`` and have ``bits`` bits: probes go on for those that have passed all before."""
+    out = np.zeros(len(keys), np.int8)
+    alive = np.flatnonzero(bits > 0)
+    for level in range(1, LEVELS + 1):
+        for probe in range(PROBES):
+            if not len(alive):
+                return out
+            at = positions(keys[alive], level, probe, bits[alive])
+            alive = alive[(data[start[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        out[alive] = level
+    return out
+
+
+def middles(levels: np.ndarray) -> np.ndarray:
+    """Expected counts: the geometric middle of the least and the largest count of a level, 0 below level 1."""
+    low = np.exp2(levels - 1.0)
+    return np.where(levels > 0, np.sqrt(low * (2 * low - 1)), 0.0)
 
 
 def shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -99,30 +107,32 @@ def key_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
-def positions(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def positions(keys: np.ndarray, level: int, probe: int, bits: int | np.ndarray) -> np.ndarray:
     seed = np.uint64((level * 64 + probe + 1) * int(_ODD[1]) % (1 << 64))
-    return (mix(keys.astype(np.uint64) * _ODD[0] + seed) % np.uint64(bits)).astype(np.int64)
+    return (mix(keys.astype(np.uint64) * _ODD[0] + seed) % np.asarray(bits, np.uint64)).astype(np.int64)
 
 
-def quantised(counts: np.ndarray, least: int) -> np.ndarray:
-    """Level of each count: 0 below ``least``, then one more for each doubling."""
-    level = np.floor(np.log2(np.maximum(counts, 1) / least) + 1e-9).astype(np.int64) + 1
-    return np.where(counts >= least, np.minimum(level, LEVELS), 0)
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """Level of each count: 1 for a single one, then one more for each doubling."""
+    return np.minimum(np.floor(np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64) + 1, LEVELS) * (counts > 0)
 
 
-def build_block(keys: np.ndarray, counts: np.ndarray, block_bytes: int) -> tuple[np.ndarray, int]:
-    """The bits of one shard and the count of its level 1: the smallest with which the block stays at most half full."""
-    room = block_bytes * 8 * np.log(2) / PROBES
-    least = 1
-    while quantised(counts, least).sum() > room:
-        least += 1
-    bits = np.zeros(block_bytes * 8, np.uint8)
-    level = quantised(counts, least)
+def build_block(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bytes of one shard, half full: its size follows the number of entries."""
+    level = quantised(counts)
+    size = max(8, math.ceil(int(level.sum()) * PROBES / math.log(2) / 8))
+    bits = np.zeros(size * 8, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         entered = keys[level >= j]
         for probe in range(PROBES):
-            bits[positions(entered, j, probe, block_bytes * 8)] = 1
-    return np.packbits(bits, bitorder="little"), least
+            bits[positions(entered, j, probe, size * 8)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def runs_of(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    yield from zip(sorted_[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(sorted_)])
 
 
 def _hashed(words: list[bytes], memory: dict[bytes, int]) -> np.ndarray:
@@ -132,16 +142,17 @@ def _hashed(words: list[bytes], memory: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
 
 
-def train_filter(texts: DataFrame, total_bytes: int, max_filter_mb: int, chunk_bytes: int) -> Filter:
-    """Count all words and bigrams of ``texts`` (column text) and enter them.
+def shard_bits_for(total_bytes: int) -> int:
+    """Shards grow in number with the text: one has the n-grams of 3 MB of it, about a million."""
+    return max(0, math.ceil(math.log2(max(total_bytes, 1) / 3e6)))
+
+
+def train_filter(texts: DataFrame, shard_bits: int, chunk_bytes: int) -> DataFrame:
+    """(shard, block): all words and bigrams of ``texts`` (column text), counted and entered.
 
     A task sends, for each shard, the sorted keys of a chunk of text with their counts, single ones without; a shard is
-    merged by one task. Shards grow in number with the text and have about a million n-grams each.
+    merged by one task. Shards without n-grams have no row.
     """
-    shard_bits = max(0, int(np.ceil(np.log2(max(total_bytes, 1) / 3e6))))
-    shards = 1 << shard_bits
-    # Two bits for each byte of text, up to the bound.
-    block_bytes = max(64, min(total_bytes // 4, max_filter_mb << 20) // shards)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, held, memory = [], 0, {}
@@ -152,12 +163,10 @@ def train_filter(texts: DataFrame, total_bytes: int, max_filter_mb: int, chunk_b
             grams, n = np.unique(every, return_counts=True)
             del every
             shard, key = shard_of(grams, shard_bits), key_of(grams, shard_bits)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
             rows = []
-            for s in range(shards):
-                k, c = key[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]]
-                if len(k):
-                    rows.append((s, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+            for s, begin, end in runs_of(shard):
+                k, c = key[begin:end], n[begin:end]
+                rows.append((s, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
             return pd.DataFrame(rows, columns=["shard", "singles", "keys", "counts"])
 
         for batch in batches:
@@ -180,15 +189,23 @@ def train_filter(texts: DataFrame, total_bytes: int, max_filter_mb: int, chunk_b
         order = np.argsort(every, kind="stable")
         every, weight = every[order], weight[order]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        block, least = build_block(every[first], np.add.reduceat(weight, first), block_bytes)
-        return pd.DataFrame({"shard": [key[0]], "block": [block.tobytes()], "least": [least]})
+        block = build_block(every[first], np.add.reduceat(weight, first))
+        return pd.DataFrame({"shard": [key[0]], "block": [block.tobytes()]})
 
-    sent = texts.select("text").mapInPandas(count, "shard int, singles binary, keys binary, counts binary")
-    blocks, least = np.zeros((shards, block_bytes), np.uint8), np.ones(shards)
-    for row in sent.groupBy("shard").applyInPandas(merge, "shard int, block binary, least long").collect():
-        blocks[row["shard"]] = np.frombuffer(row["block"], np.uint8)
-        least[row["shard"]] = row["least"]
-    return Filter(blocks, least)
+    sent = texts.select("text").mapInPandas(count, "shard long, singles binary, keys binary, counts binary")
+    return cut_lineage(sent.groupBy("shard").applyInPandas(merge, "shard long, block binary"))
+
+
+def gathered(blocks: DataFrame, shard_bits: int) -> Filter:
+    """The whole filter in memory; the caller has checked its size."""
+    sizes = np.zeros((1 << shard_bits) + 1, np.int64)
+    for row in blocks.select("shard", F.octet_length("block").alias("size")).collect():
+        sizes[row["shard"] + 1] = row["size"]
+    starts = np.cumsum(sizes)
+    data = np.zeros(int(starts[-1]), np.uint8)
+    for row in blocks.toLocalIterator():
+        data[starts[row["shard"]] : starts[row["shard"] + 1]] = np.frombuffer(row["block"], np.uint8)
+    return Filter(data, starts)
 
 
 def _lookups(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -275,28 +292,130 @@ def base_scores(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]
     return scored, n, v
 
 
-def text_scores(runs: list[np.ndarray], model: Filter, n: int, v: int, kappa: float) -> np.ndarray:
-    """log10 probabilities of texts from their word hashes (the end included), all texts probed together.
+@dataclass(frozen=True)
+class Smoothing:
+    """P(w | u) = (c(u w) + kappa * P1(w)) / (c(u) + kappa), P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); counts are those of the filter,
+    and a bigram never counts for more than its first word. The start of a text counts as often as texts were read."""
 
-    P(w | u) = (c(u w) + kappa * P1(w)) / (c(u) + kappa), P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); counts are those of the filter,
-    and a bigram never counts for more than its first word. The start of a text counts as often as texts were read.
-    """
+    n: int
+    v: int
+    kappa: float
+
+    def log_sums(self, single: np.ndarray, pair: np.ndarray, starts: np.ndarray, opening: float) -> np.ndarray:
+        """log10 probabilities of the texts that begin at ``starts``, from the counts of their words and bigrams."""
+        before = np.concatenate([[0.0], single[:-1]])
+        before[starts] = opening
+        alone = np.minimum((single + 0.1) / (self.n + 0.1 * (self.v + 1)), 1.0)
+        return np.add.reduceat(np.log10((np.minimum(pair, before) + self.kappa * alone) / (before + self.kappa)), starts)
+
+
+def grams(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, bigrams, starts) of texts from their word hashes, the end included, as the filter knows them."""
     words = np.concatenate(runs)
     starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]]).astype(np.int64)
     left = with_start(words)
     left[starts] = _START
+    return mix(words), bigram_hash(left, words), starts
+
+
+def text_scores(runs: list[np.ndarray], model: Filter, smoothing: Smoothing) -> np.ndarray:
+    """Scores of texts from their word hashes; the distinct n-grams of all texts are probed together."""
+    words, pairs, starts = grams(runs)
     distinct, place = np.unique(words, return_inverse=True)
-    single = model.counts(mix(distinct))[place]
-    before = np.concatenate([[0.0], single[:-1]])
-    before[starts] = model.counts(mix(np.array([word_hash(END)], np.uint64)))[0]
-    pair = np.minimum(model.counts(bigram_hash(left, words)), before)
-    alone = np.minimum((single + 0.1) / (n + 0.1 * (v + 1)), 1.0)
-    return np.add.reduceat(np.log10((pair + kappa * alone) / (before + kappa)), starts)
+    single = middles(model.levels(distinct))[place]
+    # Every text ends with the end token, which counts the texts.
+    return smoothing.log_sums(single, middles(model.levels(pairs)), starts, single[-1])
+
+
+def broadcast_scores(rows: DataFrame, model: Filter, smoothing: Smoothing) -> DataFrame:
+    """``rows`` with ``model``, the score of the text, by a filter that every worker holds."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.data, model.starts))
+
+    @F.pandas_udf("double")
+    def modelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        filter_ = Filter(*shared.value)
+        memory: dict[bytes, int] = {}
+        for texts in batches:
+            out, runs, held = [], [], 0
+            for k, text in enumerate(texts, 1):
+                runs.append(_hashed(tokens(text), memory))
+                held += len(runs[-1])
+                if held >= PROBED or k == len(texts):
+                    out.append(text_scores(runs, filter_, smoothing))
+                    runs, held = [], 0
+            if len(memory) > 150_000:
+                memory.clear()
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return rows.select("rec", "row", "learn", modelled(col("text")).alias("model"))
+
+
+def shard_scores(rows: DataFrame, blocks: DataFrame, shard_bits: int, smoothing: Smoothing, chunk_bytes: int) -> DataFrame:
+    """(row, model) by a filter of any size, whose blocks stay where they are stored.
+
+    The distinct n-grams of a chunk of texts are numbered by hash, so those of one shard follow each other. Each such run is
+    probed next to its block, and the levels of a chunk meet its texts again. A shard sees a few n-grams of every chunk,
+    in all about as many as it holds itself times the chunks that repeat them.
+    """
+    schema = "kind string, chunk long, row long, payload binary, shard long, first long"
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        base, seq, ids, runs, held, memory = TaskContext.get().partitionId() << 32, 0, [], [], 0, {}
+
+        def flush() -> pd.DataFrame:
+            words, pairs, starts = grams(runs)
+            distinct, place = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+            single, pair = np.split(place.astype("<u4"), 2)
+            ends = [*starts[1:].tolist(), len(words)]
+            docs = [
+                ("docs", base + seq, row, zlib.compress(single[b:e].tobytes() + pair[b:e].tobytes(), 1), -1, -1)
+                for row, b, e in zip(ids, starts.tolist(), ends)
+            ]
+            key = key_of(distinct, shard_bits)
+            probes = [
+                ("probes", base + seq, -1, key[b:e].tobytes(), s, b) for s, b, e in runs_of(shard_of(distinct, shard_bits))
+            ]
+            return pd.DataFrame(docs + probes, columns=["kind", "chunk", "row", "payload", "shard", "first"])
+
+        for batch in batches:
+            for row, text in zip(batch["row"], batch["text"]):
+                ids.append(row)
+                runs.append(_hashed(tokens(text), memory))
+                held += len(text or "")
+                if held >= chunk_bytes:
+                    yield flush()
+                    seq, ids, runs, held, memory = seq + 1, [], [], 0, {}
+        if runs:
+            yield flush()
+
+    def probe(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        data = np.frombuffer(block["block"][0], np.uint8) if len(block) else np.zeros(0, np.uint8)
+        levels = []
+        for keys in asked["payload"]:
+            k = np.frombuffer(keys, np.uint32)
+            levels.append(probed(data, k, np.zeros(len(k), np.int64), np.full(len(k), len(data) * 8)).tobytes())
+        return pd.DataFrame({"part": asked["chunk"], "first": asked["first"], "levels": levels})
+
+    def add(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        levels = np.concatenate([np.frombuffer(b, np.int8) for b in found.sort_values("first")["levels"]])
+        count, out = middles(levels), []
+        for payload in docs["payload"]:
+            single, pair = np.split(count[np.frombuffer(zlib.decompress(payload), "<u4")], 2)
+            out.append(float(smoothing.log_sums(single, pair, np.zeros(1, np.int64), single[-1])[0]))
+        return pd.DataFrame({"row": docs["row"], "model": out})
+
+    stored = cut_lineage(rows.select("row", "text").mapInPandas(split, schema))
+    asked = stored.filter("kind = 'probes'").select("shard", "chunk", "first", "payload")
+    found = asked.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInPandas(probe, "part long, first long, levels binary")
+    docs = stored.filter("kind = 'docs'").select("chunk", "row", "payload")
+    return docs.groupBy("chunk").cogroup(found.groupBy("part")).applyInPandas(add, "row long, model double")
 
 
 def score_texts(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, folds: int = 10,
-    kappa: float = 20.0, max_filter_mb: int = 64, chunk_mb: int = 6,
+    kappa: float = 20.0, max_broadcast_mb: int = 256, chunk_mb: int = 6,
 ) -> DataFrame:
     """Every row with ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -305,8 +424,8 @@ def score_texts(
     table gives no rows; if nothing is learnt from, all counts are 0 and the scores use the smoothing alone. Input
     columns stay (``carry`` names fewer), but results replace columns of their names.
 
-    The filter takes two bits for each byte of text up to ``max_filter_mb``. If a shard cannot hold all its counts at that size,
-    the count from which an n-gram has level 1 rises there until it can; exact counts of ``base_score`` are not affected.
+    The filter has room for all n-grams at any size of the corpus. It is broadcast if its blocks take at most
+    ``max_broadcast_mb``; a larger one is probed shard by shard, with the same scores.
     """
     columns = docs.columns if carry is None else carry
     rows = docs.select(
@@ -319,26 +438,14 @@ def score_texts(
     chunk = chunk_mb << 20
     based, n, v = base_scores(rows, chunk)
     based = cut_lineage(based)
-    model = train_filter(rows.filter("learn"), size, max_filter_mb, chunk)
-    shared = docs.sparkSession.sparkContext.broadcast((model.blocks, model.least))
-
-    @F.pandas_udf("double")
-    def modelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        filter_ = Filter(*shared.value)
-        memory: dict[bytes, int] = {}
-        for texts in batches:
-            out, runs, held = [], [], 0
-            for k, text in enumerate(texts, 1):
-                runs.append(_hashed(tokens(text), memory))
-                held += len(runs[-1])
-                if held >= PROBED or k == len(texts):
-                    out.append(text_scores(runs, filter_, n, v, kappa))
-                    runs, held = [], 0
-            if len(memory) > 150_000:
-                memory.clear()
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    scored = rows.select("rec", "row", "learn", modelled(col("text")).alias("model")).join(based, "row")
+    shard_bits, smoothing = shard_bits_for(size), Smoothing(n, v, kappa)
+    blocks = train_filter(rows.filter("learn"), shard_bits, chunk)
+    held = blocks.agg(F.sum(F.octet_length("block")).alias("b")).first()["b"] or 0
+    if held <= max_broadcast_mb << 20:
+        scored = broadcast_scores(rows, gathered(blocks, shard_bits), smoothing)
+    else:
+        scored = rows.select("rec", "row", "learn").join(shard_scores(rows, blocks, shard_bits, smoothing, chunk), "row")
+    scored = scored.join(based, "row")
     return unpack(
         scored, columns, held_out=~col("learn"), n_tokens=col("n_tokens"), n_known=col("n_known"),
         train_tokens=F.lit(n).cast("long"), base_score=col("base_score"), score=col("model"),
