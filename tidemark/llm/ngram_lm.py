@@ -208,39 +208,39 @@ def gathered(blocks: DataFrame, shard_bits: int) -> Filter:
     return Filter(data, starts)
 
 
-def _lookups(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(docs: chunk, row, n, payload; words: chunk, word, place, n) for rows (row, learn, text).
+def _lookups(rows: DataFrame, shard_bits: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(docs: chunk, row, n, payload; words: shard, chunk, first, payload, counts) for rows (row, learn, text).
 
-    A chunk is a run of rows of about ``chunk_bytes``. Its distinct words get places by falling count; a document is kept as
-    its sorted places, as compressed differences. ``n`` of a word counts the rows that are learnt from.
+    A chunk is a run of rows of about ``chunk_bytes``. Its distinct words get places by shard, then by falling count; a document is
+    kept as its sorted places, as compressed differences. The words of a chunk and a shard are one row: the words, which hold no
+    line feed, from place ``first`` on, and how often they occur in the rows that are learnt from.
     """
-    schema = "kind string, chunk long, row long, n long, payload binary, word string, place int"
+    schema = "kind string, chunk long, row long, n long, payload binary, shard long, first long, counts binary"
+    names_of_columns = ["kind", "chunk", "row", "n", "payload", "shard", "first", "counts"]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         base, seq, run, held = TaskContext.get().partitionId() << 32, 0, [], 0
 
-        def flush():
+        def flush() -> pd.DataFrame:
             sizes = np.array([len(ids) for _, _, ids in run])
             flat = np.concatenate([ids for _, _, ids in run])
             learnt = np.repeat(np.array([learn for _, learn, _ in run]), sizes)
-            order = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
+            names = list(seen)
+            shard = shard_of(np.fromiter(map(word_hash, names), np.uint64, len(names)), shard_bits)
+            order = np.lexsort((-np.bincount(flat, minlength=len(names)), shard))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            taught = np.bincount(flat[learnt], minlength=len(seen))[order]
-            names = list(seen)
-            yield pd.DataFrame({
-                "kind": "docs", "chunk": base + seq, "row": [row for row, _, _ in run], "n": sizes,
-                "payload": [zlib.compress(np.diff(np.sort(place[ids]), prepend=0).astype("<u4").tobytes(), 1) for _, _, ids in run],
-                "word": None, "place": -1,
-            })
-            for start in range(0, len(names), 50_000):
-                part = order[start : start + 50_000]
-                yield pd.DataFrame({
-                    "kind": "words", "chunk": base + seq, "row": -1, "n": taught[start : start + 50_000], "payload": None,
-                    "word": [names[w].decode("utf-8", "surrogatepass") for w in part], "place": range(start, start + len(part)),
-                })
+            taught = np.bincount(flat[learnt], minlength=len(names))[order].astype("<i8")
+            out = [
+                ("docs", base + seq, row, len(ids), packed(np.diff(np.sort(place[ids]), prepend=0).astype("<u4").tobytes()), -1, -1, None)
+                for row, _, ids in run
+            ]
+            for s, begin, end in runs_of(shard[order]):
+                text = b"\n".join([names[i] for i in order[begin:end].tolist()])
+                out.append(("words", base + seq, -1, end - begin, packed(text), s, begin, packed(taught[begin:end].tobytes())))
+            return pd.DataFrame(out, columns=names_of_columns)
 
         def fresh() -> defaultdict:
             """Numbers words in the order in which they come."""
@@ -255,32 +255,48 @@ def _lookups(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
                 run.append((row, learn, np.fromiter(map(seen.__getitem__, words), np.int64, len(words))))
                 held += len(text or "")
                 if held >= chunk_bytes:
-                    yield from flush()
+                    yield flush()
                     run, held, seq, seen = [], 0, seq + 1, fresh()
         if run:
-            yield from flush()
+            yield flush()
 
     stored = cut_lineage(rows.select("row", "learn", "text").mapInPandas(split, schema))
     docs = stored.filter("kind = 'docs'").select("chunk", "row", "n", "payload")
-    return docs, stored.filter("kind = 'words'").select("chunk", "word", "place", "n")
+    return docs, stored.filter("kind = 'words'").select("shard", "chunk", "first", "payload", "counts")
+
+
+def packed(data: bytes) -> bytes:
+    return zlib.compress(data, 1)
 
 
-def base_scores(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
+def base_scores(rows: DataFrame, shard_bits: int, chunk_bytes: int) -> tuple[DataFrame, int, int]:
     """((row, n_tokens, n_known, base_score), N, V) for rows (row, learn, text): exact counts of all learnt tokens.
 
-    Words meet their counts once for each chunk, not for each document, so a frequent word is joined a few times, and the
-    counts come back to the chunk's documents by a cogroup of bounded size.
+    Words meet once for each chunk, not for each document, so a frequent word is sent a few times. They are counted by shards of
+    words that grow in number with the text, and the counts come back to the chunk's documents by a cogroup of bounded size.
     """
-    docs, words = _lookups(rows, chunk_bytes)
-    counted = words.groupBy("word").agg(F.sum("n").alias("c"))
-    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(col("c") > 0, 1)).alias("v")).first()
+    docs, words = _lookups(rows, shard_bits, chunk_bytes)
+
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total: dict[bytes, int] = defaultdict(int)
+        for names, counts in zip(group["payload"], group["counts"]):
+            for word, c in zip(zlib.decompress(names).split(b"\n"), np.frombuffer(zlib.decompress(counts), "<i8").tolist()):
+                total[word] += c
+        back = []
+        for names in group["payload"]:
+            each = [total[word] for word in zlib.decompress(names).split(b"\n")]
+            back.append(packed(np.array(each, "<i8").tobytes()))
+        out = pd.DataFrame({"part": group["chunk"], "first": group["first"], "counts": back, "n": 0, "v": 0})
+        out.loc[out.index[0], ["n", "v"]] = sum(total.values()), sum(c > 0 for c in total.values())
+        return out
+
+    counted = cut_lineage(words.groupBy("shard").applyInPandas(count, "part long, first long, counts binary, n long, v long"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
-    known = words.select(col("chunk").alias("part"), "word", "place").join(counted, "word").select("part", "place", "c")
     bottom = np.log10(n + 0.1 * (v + 1))
 
     def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(len(right), np.int64)
-        c[right["place"].to_numpy()] = right["c"].to_numpy()
+        c = np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for x in right.sort_values("first")["counts"]])
         logs = np.log10(c + 0.1) - bottom
         out = []
         for payload in left["payload"]:
@@ -288,6 +304,7 @@ def base_scores(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]
             out.append((int((c[at] > 0).sum()), float(logs[at].sum())))
         return pd.DataFrame({"row": left["row"], "n_tokens": left["n"], "n_known": [o[0] for o in out], "base_score": [o[1] for o in out]})
 
+    known = counted.select("part", "first", "counts")
     scored = docs.groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(add, "row long, n_tokens long, n_known long, base_score double")
     return scored, n, v
 
@@ -436,9 +453,9 @@ def score_texts(
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     chunk = chunk_mb << 20
-    based, n, v = base_scores(rows, chunk)
-    based = cut_lineage(based)
-    shard_bits, smoothing = shard_bits_for(size), Smoothing(n, v, kappa)
+    shard_bits = shard_bits_for(size)
+    based, n, v = base_scores(rows, shard_bits, chunk)
+    based, smoothing = cut_lineage(based), Smoothing(n, v, kappa)
     blocks = train_filter(rows.filter("learn"), shard_bits, chunk)
     held = blocks.agg(F.sum(F.octet_length("block")).alias("b")).first()["b"] or 0
     if held <= max_broadcast_mb << 20:
